@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import simhash
-from linescope.llm.common import table
+from linescope.llm import orc_ids, packing, quality, simhash
+from linescope.llm.common import Scratch, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, location = table(spark, sf_dir, "documents"), Scratch(spark).path("ids")
+    orc_ids.write_ids(docs, location)
+    return orc_ids.digests(orc_ids.read_ids(spark, location, kind=docs.schema["doc_id"].dataType))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_quality": op3_quality, "op7_orc_ids": op7_orc_ids}
 
 ORACLE_SQL: dict[str, str] = {}
