@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import orc_ids, packing, quality, simhash
+from linescope.llm import mixing, orc_ids, packing, pii, quality, simhash
 from linescope.llm.common import Scratch, table
 
+#: The key of the registered query's pseudonyms. Whoever runs the operator passes a secret of their own.
+KEY = "linescope registered query"
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -21,12 +24,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return done.select("doc_id", "text", *[f"n_{k}" for k in pii.PATTERNS])
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "size", "source_size", "target", "taken", "position"]
+    return mixing.schedule(table(spark, sf_dir, "documents")).select(*columns).orderBy("position", "doc_id")
+
+
 def op7_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, location = table(spark, sf_dir, "documents"), Scratch(spark).path("ids")
     orc_ids.write_ids(docs, location)
     return orc_ids.digests(orc_ids.read_ids(spark, location, kind=docs.schema["doc_id"].dataType))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_quality": op3_quality, "op7_orc_ids": op7_orc_ids}
+QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_pii": op4_pii, "op6_mixing": op6_mixing, "op7_orc_ids": op7_orc_ids}
 
 ORACLE_SQL: dict[str, str] = {}
