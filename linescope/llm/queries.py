@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import mixing, orc_ids, packing, pii, quality, simhash
+from linescope.llm import mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
 
 #: The key of the registered query's pseudonyms. Whoever runs the operator passes a secret of their own.
@@ -40,6 +40,23 @@ def op7_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.digests(orc_ids.read_ids(spark, location, kind=docs.schema["doc_id"].dataType))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_packing": op2_packing, "op3_quality": op3_quality, "op4_pii": op4_pii, "op6_mixing": op6_mixing, "op7_orc_ids": op7_orc_ids}
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
+    "op6_mixing": op6_mixing,
+    "op7_orc_ids": op7_orc_ids,
+    "op8_substrings": op8_substrings,
+    "op10_secrets": op10_secrets,
+}
 
 ORACLE_SQL: dict[str, str] = {}
