@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from codecs import charmap_decode
 from functools import lru_cache
 from itertools import chain
 
@@ -17,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker remembers, and texts' bytes that it encodes at once.
-REMEMBERED, AT_ONCE = 300_000, 4 << 20
+#: Words and pieces whose ids a worker remembers in each generation, and texts' bytes that it encodes at once.
+REMEMBERED, AT_ONCE = 250_000, 8 << 20
 #: Longer words are not remembered.
 LONGEST = 80
 
@@ -41,11 +42,38 @@ PIECES = re.compile(
 SIMPLE = re.compile("[\n -~¡-ɏ]+")
 
 
-def _byte_alphabet() -> dict[int, str]:
+#: A word's last character from here would join the blanks of the next one; an empty word is a second blank.
+RUN = r"(?:^|[\s\x0b\x1c-\x1f\x85\x{180e}\p{Z}])$"
+
+
+def _byte_alphabet() -> str:
     """Byte-level BPE writes printable bytes as themselves and the others, in order, as U+0100 and up."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return "".join(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256))
+
+
+class Remembered:
+    """A map that forgets what was not asked for lately: two generations of at most ``REMEMBERED`` entries."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def many(self, keys: list[str]) -> list[list[int]]:
+        young, old, make = self.young, self.old, self.make
+        out = []
+        for k in keys:
+            found = young.get(k)
+            if found is None:
+                found = old.get(k)
+                if found is None:
+                    found = make(k)
+                if len(k) <= LONGEST:
+                    young[k] = found
+            out.append(found)
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return out
 
 
 class Encoder:
@@ -57,38 +85,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words, self.pieces = Remembered(self._word), Remembered(self._piece)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = [t.id for t in self.model.tokenize(shown)]
-            if len(piece) <= LONGEST:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        return [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.alphabet)[0])]
 
     def _word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            if not word:
-                found = []
-            elif SIMPLE.fullmatch(word):
-                parts = PIECES.findall(word)
-                found = self._piece(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._piece(p)]
-            else:
-                found = self.whole(word)
-            if len(word) <= LONGEST:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        if not SIMPLE.fullmatch(word):
+            return self.whole(word) if word else []
+        parts = self.pieces.many(PIECES.findall(word))
+        return parts[0] if len(parts) == 1 else [i for p in parts for i in p]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order as uint32, and where each text's ids begin (with the end); null texts have none."""
@@ -98,14 +107,15 @@ class Encoder:
         begins = np.asarray(split.offsets).astype(np.int64)
         begins -= begins[0]
         known = split.flatten().dictionary_encode()
-        at, vocabulary = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary.to_pylist()
-        runs = np.array([not w or w[-1].isspace() or w[-1] == "᠎" for w in vocabulary])[at]
+        at, vocabulary = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary
+        runs = pc.match_substring_regex(vocabulary, RUN).to_numpy(zero_copy_only=False)[at]
         first = begins[:-1]
-        opening = [vocabulary[i] for i in at[first]]
+        opening = vocabulary.take(pa.array(at[first])).to_pylist()
         runs[first] &= np.array([w != "" for w in opening])
         odd = np.flatnonzero(np.logical_or.reduceat(runs, first))
         at[first] = len(vocabulary) + np.arange(len(opening))
-        ids = [self._word(" " + w) for w in vocabulary] + [self._word(w) for w in opening]
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), vocabulary, pa.scalar(" ", pa.large_string()))
+        ids = self.words.many(spaced.to_pylist() + opening)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         where = np.cumsum(sizes) - sizes
