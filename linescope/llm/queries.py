@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
+from linescope.llm import cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
 
 #: The key of the registered query's pseudonyms. Whoever runs the operator passes a secret of their own.
@@ -44,6 +44,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_orc_ids": op7_orc_ids,
     "op8_substrings": op8_substrings,
+    "op9_cover_tree": op9_cover_tree,
     "op10_secrets": op10_secrets,
 }
 
