@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
+from linescope.llm import additive, cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
 
 #: The key of the registered query's pseudonyms. Whoever runs the operator passes a secret of their own.
@@ -29,6 +29,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *[f"n_{k}" for k in pii.PATTERNS])
 
 
+def op5_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return additive.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "size", "source_size", "target", "taken", "position"]
     return mixing.schedule(table(spark, sf_dir, "documents")).select(*columns).orderBy("position", "doc_id")
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
+    "op5_additive": op5_additive,
     "op6_mixing": op6_mixing,
     "op7_orc_ids": op7_orc_ids,
     "op8_substrings": op8_substrings,
