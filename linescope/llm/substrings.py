@@ -71,43 +71,57 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, uid, seq, start, end, words, h1, h2)`` of every chunk; uid tells rows apart in one evaluation."""
-    schema = "doc long, uid long, seq int, start int, end int, words int, h1 long, h2 long"
-    names = [f.split()[0] for f in schema.split(", ")]
+    """``(doc, place, span, h1, h2)`` of every chunk, packed to few bytes as there are very many.
+
+    ``place`` is a number that ascends by one within a row of ``docs`` and by more between rows, times 256, plus the
+    chunk's words; ``span`` is its start times 2 ** 32 plus its end, in code points.
+    """
+    names = ["doc", "place", "span", "h1", "h2"]
 
     def cut(batches):
-        uid = TaskContext.get().partitionId() << 40
+        at = TaskContext.get().partitionId() << 34
         for b in (s for batch in batches for s in tokens.slices(batch, 1)):
             doc, seq, start, end, words, h1, h2 = chunks([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
-            row = uid + np.arange(b.num_rows)
-            keys = np.array([_NO_KEY + u if k is None else k for k, u in zip(b.column(0).to_pylist(), row.tolist())], np.int64)
-            small = [pa.array(x.astype(np.int32)) for x in (seq, start, end, words)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(row[doc]), *small, pa.array(h1), pa.array(h2)], names=names)
-            uid += b.num_rows
+            if not len(doc):
+                continue
+            number = at + np.arange(len(doc)) + doc  # one is left out between rows
+            keys = b.column(0)
+            if keys.null_count:
+                own = number[np.flatnonzero(seq == 0)]
+                own = dict(zip(doc[seq == 0].tolist(), own.tolist()))
+                keys = pa.array([_NO_KEY + own.get(i, 0) if k is None else k for i, k in enumerate(keys.to_pylist())], pa.int64())
+            columns = (keys.to_numpy()[doc], number * 256 + words, (start << 32) + end, h1, h2)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
+            at = int(number[-1]) + 2
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(cut, schema)
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each passage that an earlier document (or the same one, before) has: ``(key, start, end, words, first_<key>)``.
 
     ``start`` and ``end`` are code points of the text, ``first_<key>`` the document that keeps most of the passage's
-    chunks. Within ``min_words`` is what lies between chunk borders, so a repeated passage must be some words longer to
-    be sure of being found. Rows of one key are one document; rows without a key are documents of their own that come
-    first and are reported with a null key. Null, empty and unrepeated texts give no row. Keys are whole numbers.
+    chunks. ``min_words`` counts whole chunks, so a repeated passage must be some words longer to be sure of being
+    found. Rows of one key are one document; rows without a key are documents of their own that come first and are
+    reported with a null key. Null, empty and unrepeated texts give no row. Keys are whole numbers.
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(chunked(docs, key, text), "chunks")
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = found.join(repeated, ["h1", "h2"]).repartition("doc")
-    own = Window.partitionBy("doc", "h1", "h2").orderBy("uid", "seq")
+    own = Window.partitionBy("doc", "h1", "h2").orderBy("place")
     copies = copies.withColumn("turn", F.row_number().over(own)).where("first < doc or turn > 1")
-    islands = F.col("seq") - F.row_number().over(Window.partitionBy("doc", "uid").orderBy("seq"))
-    passages = copies.withColumn("run", islands).groupBy("doc", "uid", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.mode("first", True).alias("first")
+    number = F.shiftright("place", 8)
+    islands = number - F.row_number().over(Window.partitionBy("doc").orderBy("place"))
+    passages = copies.withColumn("run", islands).groupBy("doc", "run").agg(
+        F.min(F.shiftright("span", 32)).alias("start"),
+        F.max(F.col("span").bitwiseAND(0xFFFFFFFF)).alias("end"),
+        F.sum(F.col("place") % 256).alias("words"),
+        F.mode("first", True).alias("first"),
     )
     named = lambda c: F.when(F.col(c) >= _NO_KEY // 2, F.col(c))
-    return passages.where(F.col("words") >= min_words).select(named("doc").alias(key), "start", "end", "words", named("first").alias(f"first_{key}"))
+    place = [F.col(c).cast("int").alias(c) for c in ("start", "end")]
+    return passages.where(F.col("words") >= min_words).select(named("doc").alias(key), *place, "words", named("first").alias(f"first_{key}"))
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
