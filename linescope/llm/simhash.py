@@ -109,3 +109,26 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, key: str
     return fps.join(classes, "fp").select(
         key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, distance: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay when each group of near-duplicates keeps its smallest key.
+
+    Of several rows with that key, the one with the smallest text stays. A row without a key stays only if no other row
+    has its fingerprint, or as the one with the smallest text among rows without a key.
+    """
+    found = near_duplicates(docs, distance, words, key, text)
+    staying = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
+    one = Window.partitionBy("__key").orderBy(text)
+    keyed = docs.join(staying, F.col(key) == F.col("__key")).withColumn("__turn", F.row_number().over(one))
+    keyed = keyed.where("__turn = 1").select(*docs.columns)
+    bare = docs.where(F.col(key).isNull())
+    if bare.isEmpty():
+        return keyed
+    known = found.where(F.col(key).isNotNull()).select("fingerprint").distinct()
+    texts = fingerprints(bare.select(text, F.col(text).alias("__same")), "__same", text, words)
+    texts = texts.select("__same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).distinct()
+    first = texts.join(known, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min(F.coalesce("__same", F.lit(""))).alias("__text"))
+    chosen = bare.join(first, F.coalesce(F.col(text), F.lit("")) == F.col("__text"))
+    turn = F.row_number().over(Window.partitionBy("__text").orderBy(F.col(text).isNull()))
+    return keyed.union(chosen.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns))
