@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and pieces whose ids a worker remembers in each generation, and texts' bytes that it encodes at once.
-REMEMBERED, AT_ONCE = 250_000, 8 << 20
+REMEMBERED, AT_ONCE = 150_000, 4 << 20
 #: Longer words are not remembered.
 LONGEST = 80
 
