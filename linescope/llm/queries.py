@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linescope.llm import additive, cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
+from linescope.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The key of the registered query's pseudonyms. Whoever runs the operator passes a secret of their own.
 KEY = "linescope registered query"
@@ -69,5 +70,3 @@ QUERIES = {
     "op9_cover_tree": op9_cover_tree,
     "op10_secrets": op10_secrets,
 }
-
-ORACLE_SQL: dict[str, str] = {}
