@@ -1,14 +1,14 @@
-"""Whole-corpus encoding with a ``tokenizers`` vocabulary, at the speed of its distinct words.
+"""Whole-corpus encoding with a ``tokenizers`` vocabulary, at the speed of its distinct pieces.
 
-A byte-level BPE vocabulary never merges over a space that follows a non-space, so a text is the sequence of its words
-with their leading spaces. Arrow splits a batch into words and finds the distinct ones; only those that the worker has
-not met before reach the library, and the batch's ids are gathered from theirs. Texts with runs of white space, and words
-with characters beyond the Latin blocks, go through the library's whole ``encode``.
+Byte-level BPE cuts a text into pieces (contractions, letters, numbers, other signs, white space) and merges within a
+piece only. The cuts depend on classes of neighbouring characters, so they are found for a whole batch as vectors; Arrow
+finds the distinct pieces, the library's model encodes those that the worker has not met lately, and the batch's ids are
+gathered from theirs. Texts with characters whose class could depend on the library's Unicode version are left to its
+whole ``encode``.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from codecs import charmap_decode
 from functools import lru_cache
@@ -18,10 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces whose ids a worker remembers in each generation, and texts' bytes that it encodes at once.
-REMEMBERED, AT_ONCE = 150_000, 4 << 20
-#: Longer words are not remembered.
+#: Pieces whose ids a worker remembers in each of two generations, and texts' bytes that it encodes at once.
+REMEMBERED, AT_ONCE = 250_000, 4 << 20
+#: Longer pieces are not remembered.
 LONGEST = 80
+#: Classes of characters. Texts are put behind each other with a noncharacter between.
+BETWEEN, LETTER, NUMBER, OTHER, SPACE, BLANK, ODD = range(7)
+SEPARATOR = "\U0010ffff"
+#: What follows an apostrophe in a contraction.
+CONTRACTED = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -30,20 +35,37 @@ def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _latin(kind: str) -> str:
-    found = (chr(c) for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == kind)
-    return "".join(re.escape(c) for c in found)
-
-
-#: Within the Latin blocks, the pieces of byte-level BPE: contractions, letters, numbers, other signs, white space.
-PIECES = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_latin('L')}]+| ?[{_latin('N')}]+| ?[^\s{_latin('L')}{_latin('N')}]+|\s+(?!\S)|\s+"
-)
-SIMPLE = re.compile("[\n -~¡-ɏ]+")
-
-
-#: A word's last character from here would join the blanks of the next one; an empty word is a second blank.
-RUN = r"(?:^|[\s\x0b\x1c-\x1f\x85\x{180e}\p{Z}])$"
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Classes of the Latin blocks and of general punctuation; all other characters are odd."""
+    table = np.full(0x110000, ODD, np.uint8)
+    for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]:
+        kind = unicodedata.category(chr(c))
+        table[c] = {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+    table[[9, 10, 11, 12, 13, 0x85, 0xA0]] = BLANK
+    table[0x1C:0x20] = ODD
+    table[32], table[ord(SEPARATOR)] = SPACE, BETWEEN
+    return table
+
+
+def cuts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where pieces begin, of code points and their classes; the last one is a separator."""
+    before, after = np.roll(kinds, 1), np.roll(kinds, -1)
+    blank, blank_before = (kinds == SPACE) | (kinds == BLANK), (before == SPACE) | (before == BLANK)
+    # a run of blanks leaves its last one to what follows, where a space joins the piece and others stand alone
+    inside = blank & blank_before & ((after == SPACE) | (after == BLANK) | (after == BETWEEN))
+    joined = ~blank & (before == SPACE) & (kinds != BETWEEN)
+    begins = ~(inside | joined | (~blank & (kinds == before)))
+    begins |= kinds == BETWEEN
+    begins[0] = True
+    quotes = np.flatnonzero(begins & (points == ord("'")))
+    if len(quotes):
+        padded = np.concatenate((points, points[-1:], points[-1:]))
+        for tail in CONTRACTED:
+            at = quotes[np.logical_and.reduce([padded[quotes + 1 + i] == ord(c) for i, c in enumerate(tail)])]
+            begins[at + 1] = False
+            begins[at + 1 + len(tail)] = True
+    return np.flatnonzero(begins)
 
 
 def _byte_alphabet() -> str:
@@ -54,7 +76,7 @@ def _byte_alphabet() -> str:
 
 
 class Remembered:
-    """A map that forgets what was not asked for lately: two generations of at most ``REMEMBERED`` entries."""
+    """A map that forgets what was not asked for lately: two generations of at most about ``REMEMBERED`` entries."""
 
     def __init__(self, make):
         self.make, self.young, self.old = make, {}, {}
@@ -85,48 +107,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
-        self.words, self.pieces = Remembered(self._word), Remembered(self._piece)
+        self.pieces = Remembered(self._piece)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, piece: str) -> list[int]:
+        if piece == SEPARATOR:
+            return []
         return [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.alphabet)[0])]
 
-    def _word(self, word: str) -> list[int]:
-        if not SIMPLE.fullmatch(word):
-            return self.whole(word) if word else []
-        parts = self.pieces.many(PIECES.findall(word))
-        return parts[0] if len(parts) == 1 else [i for p in parts for i in p]
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order as uint32, and where each text's ids begin (with the end); null texts have none."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
-        begins = np.asarray(split.offsets).astype(np.int64)
-        begins -= begins[0]
-        known = split.flatten().dictionary_encode()
-        at, vocabulary = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary
-        runs = pc.match_substring_regex(vocabulary, RUN).to_numpy(zero_copy_only=False)[at]
-        first = begins[:-1]
-        opening = vocabulary.take(pa.array(at[first])).to_pylist()
-        runs[first] &= np.array([w != "" for w in opening])
-        odd = np.flatnonzero(np.logical_or.reduceat(runs, first))
-        at[first] = len(vocabulary) + np.arange(len(opening))
-        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), vocabulary, pa.scalar(" ", pa.large_string()))
-        ids = self.words.many(spaced.to_pylist() + opening)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        where = np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.cumsum(n)
-        out = pool[np.repeat(where[at] - (ends - n), n) + np.arange(ends[-1])]
-        bounds = np.concatenate(([0], ends))[begins]
+        strings = [t or "" for t in texts.to_pylist()]
+        joined = SEPARATOR.join(strings) + SEPARATOR
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kinds = _classes()[points]
+        begins = cuts(points, kinds)
+        sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        ends = np.cumsum(sizes)
+        offsets = np.append((ends - sizes)[begins], ends[-1])
+        known = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(joined.encode())).dictionary_encode()
+        ids = self.pieces.many(known.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        where = np.cumsum(lengths) - lengths
+        at = known.indices.to_numpy(zero_copy_only=False)
+        n = lengths[at]
+        upto = np.cumsum(n)
+        out = pool[np.repeat(where[at] - (upto - n), n) + np.arange(upto[-1])]
+        bounds = np.concatenate(([0], upto[kinds[begins] == BETWEEN]))
+        odd = np.unique(np.searchsorted(np.flatnonzero(kinds == BETWEEN), np.flatnonzero(kinds == ODD)))
+        if len(bounds) != len(strings) + 1:  # a text holds the separator
+            odd = np.arange(len(strings))
         if len(odd):
-            parts = [out[s:e] for s, e in zip(bounds[:-1], bounds[1:])]
-            for i in odd.tolist():
-                parts[i] = np.array(self.whole(texts[i].as_py()), np.uint32)
+            special = set(odd.tolist())
+            parts = [np.array(self.whole(t), np.uint32) if i in special else out[bounds[i] : bounds[i + 1]] for i, t in enumerate(strings)]
             out = np.concatenate(parts)
             bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         return out, bounds
@@ -134,7 +152,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process, so that its memory of words lasts over tasks."""
+    """One for each worker process, so that its memory of pieces lasts over tasks."""
     return Encoder(path)
 
 
