@@ -76,6 +76,37 @@ def _level(sources: DataFrame, share: float, most: float) -> float:
         level, full = (share * words - most * capped) / free, n
 
 
+def _planned(
+    docs: DataFrame, share: float, most: float, weights: tuple[int, ...], schedules: tuple[Knots, ...], key: str, text: str, source: str, keep: tuple[str, ...]
+) -> DataFrame:
+    """``keep`` and, under private names, each row's size and its place in its source."""
+    scratch = Scratch(docs.sparkSession)
+    order = F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).cast("binary"))
+    base = docs.select(*keep, F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), order.alias("_order"))
+    base = base.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
+    buckets = scratch.write(base.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
+    sources = _ranked(scratch, buckets.groupBy("_source").agg(F.sum("words").alias("source_size")), "_source")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = scratch.write(sources.select("_source", "source_size", weight.alias("weight"), (F.col("rank") % len(schedules)).alias("kind")), "sources")
+    level = _level(sources, share, most)
+    target = F.least(F.lit(most) * F.col("source_size"), F.lit(level) * F.col("weight"))
+    sources = sources.select("_source", F.col("source_size").alias("_source_size"), target.alias("_target"), F.col("kind").alias("_kind"))
+    smaller = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = buckets.select("_source", "_bucket", F.coalesce(F.sum("words").over(smaller), F.lit(0)).alias("_base"))
+    bases = bases.alias("b").join(sources.alias("s"), F.expr("b._source <=> s._source")).drop(F.col("s._source"))
+    running = Window.partitionBy("_source", "_bucket").orderBy("_order", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = base.withColumn("_within", F.coalesce(F.sum("_size").over(running), F.lit(0)))
+    rows = rows.alias("r").join(bases.alias("b"), F.expr("r._source <=> b._source and r._bucket = b._bucket"))
+    rows = rows.drop(F.col("b._source"), F.col("b._bucket"))
+    return rows.withColumn("_before", F.col("_base") + F.col("_within")).withColumn("_whole", F.floor("_target"))
+
+
+def _due(copy: Column, schedules: tuple[Knots, ...]) -> Column:
+    """The training position of a copy's first word."""
+    due = (F.col("_before") + copy * F.col("_source_size")) / F.col("_target")
+    return F.coalesce(*[F.when(F.col("_kind") == k, position(due, s)) for k, s in enumerate(schedules)])
+
+
 def schedule(
     docs: DataFrame,
     share: float = 1.5,
@@ -85,65 +116,55 @@ def schedule(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: key, *keep, ``size``, ``source_size``, ``target``, ``taken``, ``position``.
+    """One row per row of ``docs``: key, source, ``size``, ``source_size``, ``target``, ``taken``, ``position``.
 
     ``size`` counts words (null text: 0), ``taken`` those in the mix, repeats counted; ``position`` is the first copy's,
-    null if nothing is taken. Private columns ``_target`` (whole words) and ``_before`` tell where copies lie.
-    Null sources are one source, the last one. Rows with a null key are ordered by their text's md5 instead. Repeated
-    rows are documents of their own. Only whole numbers decide, so reruns agree.
+    null if nothing is taken. Null sources are one source, the last one. Rows with a null key are ordered by their
+    text's md5 instead. Repeated rows are documents of their own. Only whole numbers decide, so reruns agree.
     """
-    scratch = Scratch(docs.sparkSession)
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).cast("binary"))
-    taken_names = [F.col(c) for c in dict.fromkeys((key, *keep))]
-    base = docs.select(*taken_names, F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), order.alias("_order"))
-    base = base.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    buckets = scratch.write(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("words")), "buckets")
-    sources = _ranked(scratch, buckets.groupBy("_source").agg(F.sum("words").alias("source_size")), "_source")
-    n = len(weights)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % n + 1).cast("int"))
-    sources = scratch.write(sources.select("_source", "source_size", weight.alias("weight"), (F.col("rank") % len(schedules)).alias("_kind")), "sources")
-    level = _level(sources, share, most)
-    target = F.least(F.lit(most) * F.col("source_size"), F.lit(level) * F.col("weight"))
-    sources = sources.select("_source", "source_size", target.alias("target"), "_kind")
-    smaller = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = buckets.withColumn("_base", F.coalesce(F.sum("words").over(smaller), F.lit(0))).drop("words")
-    bases = bases.alias("b").join(sources.alias("s"), F.expr("b._source <=> s._source")).drop(F.col("s._source"))
-    running = Window.partitionBy("_source", "_bucket").orderBy("_order", key, "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.withColumn("_within", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    rows = rows.alias("r").join(bases.alias("b"), F.expr("r._source <=> b._source and r._bucket = b._bucket"))
-    rows = rows.drop(F.col("b._source"), F.col("b._bucket"))
-    rows = rows.withColumn("_before", F.col("_base") + F.col("_within")).withColumn("_target", F.floor("target"))
+    rows = _planned(docs, share, most, weights, schedules, key, text, source, ())
     taken = copy_words(0) + copy_words(1)
-    due = F.col("_before") / F.col("target")
-    at = F.coalesce(*[F.when(F.col("_kind") == k, position(due, s)) for k, s in enumerate(schedules)])
     return rows.select(
-        *taken_names, "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, at).alias("position"), "_target", "_before", "_kind"
+        F.col("_key").alias(key),
+        F.col("_source").alias(source),
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        taken.alias("taken"),
+        F.when(taken > 0, _due(F.lit(0), schedules)).alias("position"),
     )
 
 
 def copy_words(copy: int) -> Column:
     """Words that a document's copy brings into the mix."""
-    begin = F.col("_before") + F.lit(copy) * F.col("source_size")
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_target") - begin))
+    begin = F.col("_before") + F.lit(copy) * F.col("_source_size")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_whole") - begin))
 
 
-def mixed(docs: DataFrame, schedules: tuple[Knots, ...] = SCHEDULES, **options) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    share: float = 1.5,
+    most: float = 2.0,
+    weights: tuple[int, ...] = WEIGHTS,
+    schedules: tuple[Knots, ...] = SCHEDULES,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
     """The mix itself: a row with the columns of ``docs`` for each copy taken, in order of training position.
 
     The copy at which a source's target is reached is cut to its first words, and ``n_chars`` follows its text.
     Texts without words bring nothing and are left out.
     """
-    rows = schedule(docs, schedules=schedules, keep=tuple(docs.columns), **options)
+    rows = _planned(docs, share, most, weights, schedules, key, text, source, tuple(docs.columns))
     copies = F.array(*[F.struct(copy_words(c).alias("words"), F.lit(c).alias("copy")) for c in (0, 1)])
     rows = rows.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_copy.words").cast("int")), "")
-    shorter = F.col("_copy.words") < F.col("size")
-    due = (F.col("_before") + F.col("_copy.copy") * F.col("source_size")) / F.col("target")
-    at = F.coalesce(*[F.when(F.col("_kind") == k, position(due, s)) for k, s in enumerate(schedules)])
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_copy.words").cast("int")), "")
+    shorter = F.col("_copy.words") < F.col("_size")
     names = {c: F.col(c) for c in docs.columns}
-    names["text"] = F.when(shorter, cut).otherwise(F.col("text"))
+    names[text] = F.when(shorter, cut).otherwise(F.col(text))
     if "n_chars" in names:
         names["n_chars"] = F.when(shorter, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[c.alias(n) for n, c in names.items()], at.alias("_at")).orderBy("_at", "doc_id").drop("_at")
+    placed = rows.select(*[c.alias(n) for n, c in names.items()], _due(F.col("_copy.copy"), schedules).alias("_at"))
+    return placed.orderBy("_at", key).drop("_at")

@@ -164,8 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return _fit(np.minimum(counts, 60_000), found["label"].to_numpy(np.float64), prior)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, *keep, score)`` for every row; null and empty texts get the model's prior."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """``(key, *keep, name)`` for every row, ``name`` holding its score; null and empty texts get the model's prior."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [key, *keep]
 
@@ -173,9 +173,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for b in (s for batch in batches for s in _blocks(batch, len(columns))):
             counts = term_counts(_bytes(b.column(len(columns))))
             scores = np.clip(shared.value.score(np.minimum(counts, 60_000)), 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores, pa.float64())], names=[*columns, name])
 
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField(name, T.DoubleType())])
     body = F.col(text).alias("__text")
     return docs.select(*columns, body).mapInArrow(rate, schema)
 
@@ -189,4 +189,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: st
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (with all their columns) that score ``threshold`` or more."""
     others = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, fit(docs, labels), keep=others).where(F.col("score") >= threshold).select(*docs.columns)
+    return score(docs, fit(docs, labels), keep=others, name="__score").where(F.col("__score") >= threshold).select(*docs.columns)
