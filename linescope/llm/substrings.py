@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.llm import tokens
-from linescope.llm.common import Scratch
 
 #: Bytes that the rolling hash sees (a power of two), the bits that must be zero, words in a chunk at least and at most.
 WINDOW, ZEROS, FEWEST, MOST = 16, 3, 3, 128
@@ -105,8 +104,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, key: str = "doc_id",
     found. Rows of one key are one document; rows without a key are documents of their own that come first and are
     reported with a null key. Null, empty and unrepeated texts give no row. Keys are whole numbers.
     """
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.write(chunked(docs, key, text), "chunks")
+    found = chunked(docs, key, text)  # evaluated twice, which costs less than a table of all chunks
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = found.join(repeated, ["h1", "h2"]).repartition("doc")
     own = Window.partitionBy("doc", "h1", "h2").orderBy("place")
