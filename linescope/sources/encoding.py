@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE, NEWLINE_SAMPLE = 262_144, 65_536
 #: Byte order marks, in the order in which they are tried.
@@ -46,7 +47,7 @@ def detect(head: bytes) -> tuple[str, int]:
     return ("EUC-JP", 0) if (euc[0], -euc[1]) < (sjis[0], -sjis[1]) else ("Shift_JIS", 0)
 
 
-@F.pandas_udf("encoding string, bom_len int")
+@F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("bom_len", T.IntegerType())]))
 def detected(heads: pd.Series) -> pd.DataFrame:
     found = [detect(bytes(h) if h is not None else b"") for h in heads]
     return pd.DataFrame(found, columns=["encoding", "bom_len"])
