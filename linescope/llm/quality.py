@@ -25,8 +25,8 @@ LABELLED, RANK, NEIGHBOURS = 4096, 48, 15
 TERMS = 2048
 #: Rows for which counts are held at once.
 ROWS = 1024
-#: Power of the cosine in a vote.
-SHARPNESS = 4
+#: Power of the cosine in a vote, and votes of the prior, which decide where nothing is very similar (short texts).
+SHARPNESS, PRIOR_VOTES = 4, 1.0
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -97,15 +97,14 @@ class Model:
         return _unit(_unit(np.log1p(counts) * self.weights) @ self.directions)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest; the prior where nothing is similar."""
+        """Similarity-weighted share of label 1 among the nearest and the prior, which is all where nothing is similar."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
         found = self.embed(counts) @ self.vectors.T
         k = min(NEIGHBOURS, found.shape[1])
         near = np.argpartition(found, -k, axis=1)[:, -k:]
         votes = np.maximum(np.take_along_axis(found, near, axis=1), 0).astype(np.float64) ** SHARPNESS
-        total = votes.sum(axis=1)
-        return np.where(total > 0, (votes * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
+        return ((votes * self.labels[near]).sum(axis=1) + PRIOR_VOTES * self.prior) / (votes.sum(axis=1) + PRIOR_VOTES)
 
 
 def _fit(counts: np.ndarray, labels: np.ndarray, prior: float) -> Model:

@@ -96,7 +96,7 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long"), text).mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each passage that an earlier document (or the same one, before) has: ``(key, start, end, words, first_<key>)``.
 
     ``start`` and ``end`` are code points of the text, ``first_<key>`` the document that keeps most of the passage's
