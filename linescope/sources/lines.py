@@ -48,25 +48,47 @@ def decode_lines(raw_lines: DataFrame, encoding: str) -> DataFrame:
 
 
 def number_lines(raw_lines: DataFrame, boms: DataFrame | None = None) -> DataFrame:
-    """``lines`` with exact numbers and byte offsets, in two passes and without a window over a whole file.
+    """``lines`` with exact numbers and byte offsets, in two passes that shuffle no text.
 
-    Blocks of a file are summed up, their sums are added up along the file, and within a block numbers run on. ``boms``
-    (path, bom_len) shifts offsets by a byte order mark that the reader has dropped.
+    The first pass sums up bytes and lines of each block and adds the sums up along the files. The second numbers lines
+    within their block as they are read, in order, and adds the block's base; bases are one row per block, about as many
+    as the scan has tasks, and are broadcast. Call it on ``read_lines`` itself, whose rows are still in file order.
+    ``boms`` (path, bom_len) shifts offsets by a byte order mark that the reader has dropped.
     """
-    size = F.octet_length("raw").cast("long") + 1
-    blocks = raw_lines.groupBy("path", "block").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    blocks = raw_lines.groupBy("path", "block").agg(F.sum(F.octet_length("raw").cast("long") + 1).alias("bytes"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     bases = blocks.select("path", "block", F.coalesce(F.sum("bytes").over(before), zero).alias("b0"), F.coalesce(F.sum("n").over(before), zero).alias("n0"))
     if boms is not None:
         bases = bases.join(boms.select("path", "bom_len"), "path", "left").withColumn("b0", F.col("b0") + F.coalesce("bom_len", F.lit(0))).drop("bom_len")
-    inside = Window.partitionBy("path", "block").orderBy("seq")
-    rows = raw_lines.withColumn("k", F.row_number().over(inside) - 1).withColumn("s", F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.join(bases, ["path", "block"]).select(
-        "path", (F.col("n0") + F.col("k")).alias("line_no"), (F.col("b0") + F.coalesce("s", zero)).alias("byte_off"), F.octet_length("raw").alias("n_bytes"), "text"
+    size = F.octet_length("raw").alias("n_bytes")
+    rows = raw_lines.select("path", "block", size, "text").mapInArrow(_numbered, "path string, block long, k long, at long, n_bytes int, text string")
+    return rows.join(F.broadcast(bases), ["path", "block"]).select(
+        "path", (F.col("n0") + F.col("k")).alias("line_no"), (F.col("b0") + F.col("at")).alias("byte_off"), "n_bytes", "text"
     )
 
 
+def _numbered(batches):
+    """Number and offset of each line within its block; a block's lines come one after another."""
+    last, lines, total = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        path, block, sizes = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64) + 1
+        which = path.dictionary_encode().indices.to_numpy()
+        first = np.append(True, (block[1:] != block[:-1]) | (which[1:] != which[:-1]))
+        starts = np.flatnonzero(first)
+        owner = np.cumsum(first) - 1
+        before = np.cumsum(sizes) - sizes
+        k, at = np.arange(len(sizes)) - starts[owner], before - before[starts[owner]]
+        if last == (path[0].as_py(), int(block[0])):  # the batch goes on with a block
+            end = starts[1] if len(starts) > 1 else len(sizes)
+            k[:end] += lines
+            at[:end] += total
+        last, lines, total = (path[-1].as_py(), int(block[-1])), int(k[-1]) + 1, int(at[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([path, b.column(1), pa.array(k), pa.array(at), b.column(2), b.column(3)], names=["path", "block", "k", "at", "n_bytes", "text"])
+
+
 def lines_from_column(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """``lines`` of a text column, one value being one file: (key..., line_no, byte_off, n_bytes, text).
 

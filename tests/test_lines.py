@@ -42,17 +42,18 @@ def folder(tmp_path_factory):
 def test_numbers_and_offsets_over_many_splits(spark, folder):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # blocks go on over batches
     try:
         raw = lines.read_lines(spark, str(folder))
         boms = encoding.profile_files(spark, str(folder))
         assert raw.rdd.getNumPartitions() > 5
-        boms = boms.withColumn("path", boms["path"])
         found = {}
         for r in lines.number_lines(raw, boms).collect():
             found.setdefault(r["path"].rsplit("/", 1)[1], []).append(tuple(r)[1:])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for path in folder.iterdir():
         data = path.read_bytes()
         want = plain_lines(data, 3 if path.name == "big" else 0)
