@@ -53,3 +53,15 @@ def test_ranges_end_at_line_feeds(tmp_path, monkeypatch):
     assert len(parts) > 5
     rows = [r for p in parts for r in reader.read(p)]
     assert [r[2] for r in rows] == [f"line {i}" for i in range(20)]
+
+
+def test_replay_stream(spark, tmp_path):
+    for i, rows in enumerate(([("a", 1, "x"), ("b", 2, "y")], [("a", 3, "z")])):
+        spark.createDataFrame(rows, "k string, ts long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = tail.replay_stream(stream, "k", "ts", str(tmp_path / "table"), str(tmp_path / "cp")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "table" / "1")).collect()) == [("a", 3, "z"), ("b", 2, "y")]
