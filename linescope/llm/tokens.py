@@ -10,9 +10,9 @@ whole ``encode``.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from codecs import charmap_decode
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +81,7 @@ class Remembered:
     def __init__(self, make):
         self.make, self.young, self.old = make, {}, {}
 
-    def many(self, keys: list[str]) -> list[list[int]]:
+    def many(self, keys: list[str]) -> list:
         young, old, make = self.young, self.old, self.make
         out = []
         for k in keys:
@@ -112,10 +112,10 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> array:
         if piece == SEPARATOR:
-            return []
-        return [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.alphabet)[0])]
+            return array("I")
+        return array("I", [t.id for t in self.model.tokenize(charmap_decode(piece.encode(), "strict", self.alphabet)[0])])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order as uint32, and where each text's ids begin (with the end); null texts have none."""
@@ -132,7 +132,7 @@ class Encoder:
         known = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(joined.encode())).dictionary_encode()
         ids = self.pieces.many(known.dictionary.to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        pool = np.frombuffer(b"".join(ids), np.uint32)
         where = np.cumsum(lengths) - lengths
         at = known.indices.to_numpy(zero_copy_only=False)
         n = lengths[at]
