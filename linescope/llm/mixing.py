@@ -48,9 +48,9 @@ def position(share: Column, knots: Knots) -> Column:
 
 
 def _ranked(scratch: Scratch, names: DataFrame, column: str) -> DataFrame:
-    """``names`` with ``rank`` from 0 by ``column``, nulls last: a rank in each range, plus the rows of smaller ranges."""
-    ordered = names.repartitionByRange(partitions(scratch.spark), F.col(column).asc_nulls_last())
-    at = ordered.sortWithinPartitions(F.col(column).asc_nulls_last()).withColumn("at", F.monotonically_increasing_id())
+    """``names`` with ``rank`` from 0 by ``column``: a rank in each range, plus the rows of smaller ranges."""
+    ordered = names.repartitionByRange(partitions(scratch.spark), column)
+    at = ordered.sortWithinPartitions(column).withColumn("at", F.monotonically_increasing_id())
     at = scratch.write(at, "ranked").withColumn("range", F.shiftright("at", 33))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     bases = at.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -82,7 +82,9 @@ def _planned(
     """``keep`` and, under private names, each row's size and its place in its source."""
     scratch = Scratch(docs.sparkSession)
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).cast("binary"))
-    base = docs.select(*keep, F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), order.alias("_order"))
+    # never null, in the order of the names with null last: window and join then share one way of dealing rows out
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(">"))
+    base = docs.select(*keep, F.col(key).alias("_key"), name.alias("_source"), word_count(F.col(text)).alias("_size"), order.alias("_order"))
     base = base.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     buckets = scratch.write(base.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
     sources = _ranked(scratch, buckets.groupBy("_source").agg(F.sum("words").alias("source_size")), "_source")
@@ -93,11 +95,10 @@ def _planned(
     sources = sources.select("_source", F.col("source_size").alias("_source_size"), target.alias("_target"), F.col("kind").alias("_kind"))
     smaller = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = buckets.select("_source", "_bucket", F.coalesce(F.sum("words").over(smaller), F.lit(0)).alias("_base"))
-    bases = bases.alias("b").join(sources.alias("s"), F.expr("b._source <=> s._source")).drop(F.col("s._source"))
+    bases = bases.join(sources, "_source")
     running = Window.partitionBy("_source", "_bucket").orderBy("_order", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.withColumn("_within", F.coalesce(F.sum("_size").over(running), F.lit(0)))
-    rows = rows.alias("r").join(bases.alias("b"), F.expr("r._source <=> b._source and r._bucket = b._bucket"))
-    rows = rows.drop(F.col("b._source"), F.col("b._bucket"))
+    rows = rows.join(bases, ["_source", "_bucket"])
     return rows.withColumn("_before", F.col("_base") + F.col("_within")).withColumn("_whole", F.floor("_target"))
 
 
@@ -127,7 +128,7 @@ def schedule(
     taken = copy_words(0) + copy_words(1)
     return rows.select(
         F.col("_key").alias(key),
-        F.col("_source").alias(source),
+        F.when(F.col("_source") != ">", F.substring("_source", 2, 1 << 30)).cast(docs.schema[source].dataType).alias(source),
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
