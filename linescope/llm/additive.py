@@ -23,8 +23,9 @@ from linescope.llm.cover_tree import valid
 
 #: Rows of the sample, codebooks, codewords in each, partial codes kept by the beam search.
 SAMPLE, BOOKS, WORDS, BEAM = 8192, 16, 128, 4
-#: Candidates ranked again for each query, queries in a block.
-RERANKED, QUERIES = 600, 4096
+#: Candidates ranked again for each query, queries in a block, and rows of the index in a part: each part gives its best
+#: candidates for each query, so parts are large against their number.
+RERANKED, QUERIES, PART = 600, 4096, 131_072
 
 
 @dataclass(frozen=True)
@@ -141,6 +142,7 @@ def _search(scratch: Scratch, kept: DataFrame, asked: DataFrame, dims: int, k: i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["class", "codes", "norm"])
 
     index = scratch.write(classes.mapInArrow(encode, "class long, codes binary, norm float"), "index" + tag)
+    index = index.repartition(max(1, -(-index.count() // PART)))
     number = asked.count()
     blocks = -(-number // QUERIES)
     candidates = None
