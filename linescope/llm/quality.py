@@ -25,8 +25,8 @@ LABELLED, RANK, NEIGHBOURS = 4096, 48, 15
 TERMS = 2048
 #: Rows for which counts are held at once.
 ROWS = 1024
-#: Power of the cosine in a vote, and votes of the prior, which decide where nothing is very similar (short texts).
-SHARPNESS, PRIOR_VOTES = 4, 1.0
+#: Power of the cosine in a vote, and votes of the prior, which decide where nothing is similar.
+SHARPNESS, PRIOR_VOTES = 4, 0.01
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
