@@ -22,10 +22,10 @@ from linescope.llm.common import Scratch
 from linescope.llm.cover_tree import valid
 
 #: Rows of the sample, codebooks, codewords in each, partial codes kept by the beam search.
-SAMPLE, BOOKS, WORDS, BEAM = 8192, 16, 128, 4
+SAMPLE, BOOKS, WORDS, BEAM = 8192, 24, 128, 4
 #: Candidates ranked again for each query, queries in a block, and rows of the index in a part: each part gives its best
 #: candidates for each query, so parts are large against their number.
-RERANKED, QUERIES, PART = 600, 4096, 131_072
+RERANKED, QUERIES, PART = 900, 4096, 131_072
 
 
 @dataclass(frozen=True)
