@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import mixing, packing, pii, quality, simhash
+from linescope.llm import jaccard, mixing, packing, pii, quality
 from linescope.llm.common import Scratch, table
 from linescope.llm.queries import KEY
 
@@ -20,8 +20,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group whose sets of five-word shingles agree by 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

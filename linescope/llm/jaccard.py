@@ -1,0 +1,150 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash candidates, each verified by the exact similarity.
+
+Rows with the same words are folded to one node first. Each node has ``BANDS`` bands of ``ROWS`` minima, and nodes that
+share a band are candidates: at a similarity of 0.8 a pair shares none with a probability of about 0.000002, above it
+with a smaller one. Only components are asked for, so a bucket is first compared with one leader of its own (another in
+each band); pairs of a bucket that the links leave in different components are compared after that, all of them.
+"""
+
+from __future__ import annotations
+
+import string
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from linescope.llm import tokens
+from linescope.llm.common import Scratch
+from linescope.llm.components import connected_components
+
+WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS = 25, 4
+#: Shingles whose minima are taken at once.
+BLOCK = 512
+_RNG = np.random.default_rng(11)
+_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def node(text: Column) -> Column:
+    """A number of a text's words (as ``simhash.fingerprint`` takes them), the same for null, empty and blank texts."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.xxhash64(F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " ")))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct XXH64 values of all runs of ``words`` words, ascending; fewer words are one run, none have none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(parts) - words + 1)
+    hashed = xxhash.xxh64_digest
+    found = b"".join([hashed(line[s:e]) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist())])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """One signed number for each band of a set of shingles; none for an empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), BLOCK):
+        least = np.minimum(least, (found[at : at + BLOCK, None] * _TIMES + _PLUS).min(axis=0))
+    data, size = least.tobytes(), 8 * ROWS
+    digests = [xxhash.xxh64_intdigest(data[i * size : (i + 1) * size], i) for i in range(BANDS)]
+    return np.array(digests, np.uint64).view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """``(key, node, size, bands)`` of each row: the number of its words, how many shingles, and their bands."""
+
+    def hashed(batches):
+        for b in (s for batch in batches for s in tokens.slices(batch, 2)):
+            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+            columns = [b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "bands"])
+
+    fields = [("key", docs.schema[key].dataType), ("node", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    return docs.select(F.col(key).alias("key"), node(F.col(text)).alias("node"), text).mapInArrow(hashed, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def shingled(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, shingles)`` of ``texts(node, text)``."""
+
+    def hashed(batches):
+        for b in (s for batch in batches for s in tokens.slices(batch, 1)):
+            sets = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(hashed, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose ``shingled`` sets agree by ``similarity`` or more."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    joined = pairs.join(two, "b").join(one, "a")
+    both = joined.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    return both.where(F.col("both") >= (F.size("set_a") + F.size("set_b") - F.col("both")) * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
+
+
+def near_nodes(scratch: Scratch, rows: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``rows``, the ``signatures`` of ``texts(node, text)``.
+
+    Their components are those of all pairs that share a band and agree by ``similarity`` or more.
+    """
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    spread = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    turn = F.struct(F.xxhash64("bucket", "node").alias("turn"), "node", "size")
+    shared = spread.groupBy("bucket").agg(F.min(turn).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.write(spread.join(shared.select("bucket", "leader"), "bucket"), "buckets")
+
+    def fits(x: str, y: str) -> Column:
+        return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - F.lit(1e-9)
+
+    led = buckets.select("size", "leader", F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+    first = scratch.write(led.where((F.col("a") < F.col("b")) & fits("size", "leader.size")).select("a", "b").distinct(), "pairs")
+    asked = buckets.select("node").distinct()
+    held = scratch.write(shingled(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), words), "sets")
+    links = scratch.write(verified(first, held, similarity), "links")
+
+    found = connected_components(scratch, links, "first")
+    placed = buckets.join(found, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    left = scratch.write(placed.join(mixed.select("bucket"), "bucket"), "left")
+    x, y = left.alias("x"), left.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    second = x.join(y, apart & fits("x.size", "y.size")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return links.union(scratch.write(verified(second.join(first, ["a", "b"], "left_anti"), held, similarity), "more"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay when each group of near-duplicates keeps its smallest key.
+
+    Rows are linked if their sets of shingles agree by ``similarity`` or more (Jaccard), or if they have the same key.
+    Null, empty and blank texts are equal. Of several rows with the smallest key, the one with the smallest text stays; a
+    group without any key keeps one row.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(signatures(docs, words, key, text), "rows")
+    links = near_nodes(scratch, rows, docs.select(node(F.col(text)).alias("node"), F.col(text).alias("text")), words, similarity)
+    tied = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("a"))
+    tied = rows.join(tied, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    found = connected_components(scratch, links.union(tied), "all")
+    groups = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    least = scratch.write(groups.groupBy("component").agg(F.min("key").alias("__key"), F.min("node").alias("__node")), "least")
+    one = Window.partitionBy("__key").orderBy(text)
+    keyed = docs.join(least.select("__key"), F.col(key) == F.col("__key")).withColumn("__turn", F.row_number().over(one))
+    keyed = keyed.where("__turn = 1").select(*docs.columns)
+    bare = least.where("__key is null").select("__node")
+    if bare.isEmpty():
+        return keyed
+    turn = F.row_number().over(Window.partitionBy("__node").orderBy(text))
+    chosen = docs.where(F.col(key).isNull()).join(bare, node(F.col(text)) == F.col("__node")).withColumn("__turn", turn)
+    return keyed.union(chosen.where("__turn = 1").select(*docs.columns))

@@ -371,3 +371,55 @@ def test_pipeline(spark):
     rows = docs.collect()
     assert sum(r["piece"] == 0 for r in rows) == len(mixed)
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in mixed} <= set(kept)
+
+
+def plain_shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_groups(texts):
+    """Components over all pairs of a Jaccard similarity of 0.8 or more."""
+    sets, ids, linked = {i: plain_shingles(t) for i, t in texts.items()}, sorted(texts), []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                linked.append((a, b))
+    return groups(ids, linked)
+
+
+def test_pipeline_drops_edited_copies(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    where = "/root/testdata/sf0.01"
+    docs = table(spark, where, "documents")
+    want = similar_groups({r["doc_id"]: r["text"] for r in docs.collect()})
+    kept = pipeline.distinct(spark, docs, where)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_edited_copies_in_chains_and_crowds(spark):
+    from linescope.llm import jaccard
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, base = [], [word() for _ in range(120)]
+    for _ in range(150):  # a crowd whose members need not be similar to each other
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    chain = [word() for _ in range(100)]
+    for i in range(30):  # each link is similar to the next one only
+        chain[i * 3] = word()
+        texts.append(" ".join(chain))
+    texts += [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(100)] + ["", " \n", None, "One two", "one  TWO "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = similar_groups({i: " ".join((t or "").split()) or "" for i, t in enumerate(texts)})
+    blank = [i for i, t in enumerate(texts) if not (t or "").strip()]
+    expected = set(want.values()) - set(blank[1:])
+    assert {r["doc_id"] for r in jaccard.keep_one(rows).collect()} == expected
+    odd = spark.createDataFrame([(None, "x y"), (None, "X y"), (None, texts[0]), (4, "c"), (4, "b"), (5, texts[0]), (6, "b")], "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in jaccard.keep_one(odd).collect()))) == sorted(map(str, [(None, "X y"), (4, "b"), (5, texts[0])]))
+    assert jaccard.keep_one(odd.where("false")).count() == 0
