@@ -3,8 +3,8 @@
 Byte-level BPE cuts a text into pieces (contractions, letters, numbers, other signs, white space) and merges within a
 piece only. The cuts depend on classes of neighbouring characters, so they are found for a whole batch as vectors; Arrow
 finds the distinct pieces, the library's model encodes those that the worker has not met lately, and the batch's ids are
-gathered from theirs. Texts with characters whose class could depend on the library's Unicode version are left to its
-whole ``encode``.
+gathered from theirs. Texts that hold an added token of the vocabulary, or characters whose class could depend on the
+library's Unicode version, are left to its whole ``encode``.
 """
 
 from __future__ import annotations
@@ -99,13 +99,13 @@ class Remembered:
 
 
 class Encoder:
-    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens`` set."""
+    """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.pieces = Remembered(self._piece)
 
@@ -142,8 +142,9 @@ class Encoder:
         odd = np.unique(np.searchsorted(np.flatnonzero(kinds == BETWEEN), np.flatnonzero(kinds == ODD)))
         if len(bounds) != len(strings) + 1:  # a text holds the separator
             odd = np.arange(len(strings))
-        if len(odd):
-            special = set(odd.tolist())
+        held = [i for i, t in enumerate(strings) if any(a in t for a in self.added)]
+        if len(odd) or held:
+            special = {*odd.tolist(), *held}
             parts = [np.array(self.whole(t), np.uint32) if i in special else out[bounds[i] : bounds[i + 1]] for i, t in enumerate(strings)]
             out = np.concatenate(parts)
             bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))

@@ -423,3 +423,18 @@ def test_edited_copies_in_chains_and_crowds(spark):
     odd = spark.createDataFrame([(None, "x y"), (None, "X y"), (None, texts[0]), (4, "c"), (4, "b"), (5, texts[0]), (6, "b")], "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in jaccard.keep_one(odd).collect()))) == sorted(map(str, [(None, "X y"), (4, "b"), (5, texts[0])]))
     assert jaccard.keep_one(odd.where("false")).count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_vocabulary())
+    texts = ["end<|endoftext|> of", "plain", None, "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "<|endoftext |>", "漢<|endoftext|>", "it's \U0010ffff <|endoftext|>"]
+    for some in (texts, texts[:7], texts[:1], texts[1:3]):
+        ids, bounds = tokens.Encoder(tokens.default_vocabulary()).encode(pa.array(some, pa.string()))
+        assert [ids[s:e].tolist() for s, e in zip(bounds, bounds[1:])] == [fresh.encode(t or "", add_special_tokens=False).ids for t in some]
+    docs = spark.createDataFrame([(0, "a b"), (1, texts[0])], "doc_id long, text string")
+    where = Scratch(spark).path("ids")
+    orc_ids.write_ids(docs, where)
+    assert orc_ids.read_ids(spark, where).where("doc_id = 1").first()["ids"][:3] == [437, 50256, 286]
