@@ -25,11 +25,11 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 #: A text without any of these, in lower case, has no assignment.
 NAMES = ("passw", "secret", "token", "api")
-#: What may be a key; what of it is a known digest or an identifier: parts of letters only or digits only.
+#: What may be a key; what of it is a known digest; and the parts of snake, kebab or camel case.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})=*", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
-IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+|$))+")
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Characters a token below which a candidate counts as random.
 RATIO = 2.1
 
@@ -55,16 +55,26 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def identifier(s: str, encoding, ratio: float = RATIO) -> bool:
+    """Whether a candidate is made of words: mostly letters, and its parts in lower case have ``ratio`` characters a token.
+
+    A part counts as it does at the start of a text or behind a space, whichever takes fewer tokens.
+    """
+    words = [p.lower() for p in PART.findall(s)]
+    letters, digits = sum(map(len, words)), sum(map(str.isdigit, s))
+    if digits * 2 >= letters:
+        return False
+    return letters >= ratio * sum(min(len(encoding.encode_ordinary(w)), len(encoding.encode_ordinary(f" {w}"))) for w in words)
+
+
 def random_spans(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, str, int]]:
     """(start, "random", end) of candidates with under ``ratio`` characters a token."""
     found = []
-    if not any(d in text for d in "0123456789"):  # an identifier at most
-        return found
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if IDENTIFIER.fullmatch(s) or DIGEST.fullmatch(s) or UUID.fullmatch(s):
+        if DIGEST.fullmatch(s) or UUID.fullmatch(s) or not any(map(str.isalnum, s)):
             continue
-        if len(s) < ratio * len(encoding.encode_ordinary(s)):
+        if len(s) < ratio * len(encoding.encode_ordinary(s)) and not identifier(s, encoding, ratio):
             found.append((m.start(), "random", m.end()))
     return found
 

@@ -438,3 +438,17 @@ def test_added_tokens_are_the_librarys(spark):
     where = Scratch(spark).path("ids")
     orc_ids.write_ids(docs, where)
     assert orc_ids.read_ids(spark, where).where("doc_id = 1").first()["ids"][:3] == [437, 50256, 286]
+
+
+def test_keys_without_digits_and_in_groups(spark):
+    import string
+
+    rng = random.Random(12)
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters) for n in (20, 28, 40) for _ in range(60)]
+    keys += ["-".join("".join(rng.choice((string.ascii_uppercase, string.digits)[i % 2]) for _ in range(4)) for i in range(4)) for _ in range(60)] + ["ABCD-1234-EFGH-5678"]
+    names = ["MAX_CONNECTIONS_PER_HOST", "getElementsByTagName", "src/utils/fmt/str_buf_ptr", "DB_USR_PWD_CFG_MAX", "snake_case_identifier_2024_name", "-=-=-=-=-=-=-=-=-=-=", "internationalisation"]
+    rows = list(enumerate([f"see {k} end" for k in keys + names]))
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 0.97 * len(keys)
+    assert out[len(keys) - 1] == "random:4:23"
+    assert all(out[len(keys) + i] == "" for i in range(len(names)))
