@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a line that patterns other than plain case-sensitive text see.
+#: Bytes of a line that the reference's search shows to patterns other than plain case-sensitive text.
 MATCH_LIMIT = 65_536
 
 
@@ -51,11 +51,15 @@ def head(text: Column, limit: int = MATCH_LIMIT) -> Column:
     return F.when(F.octet_length(text) > limit, F.regexp_replace(cut, "\\x{FFFD}$", "")).otherwise(text)
 
 
-def matches(text: Column, pattern: Pattern) -> Column:
-    """Whether a line has the pattern: one search strategy by kind of pattern."""
+def matches(text: Column, pattern: Pattern, limit: int | None = MATCH_LIMIT) -> Column:
+    """Whether a line has the pattern: one search strategy by kind of pattern.
+
+    Patterns other than plain case-sensitive text see ``limit`` bytes of the line, as in the reference's search; None is
+    the whole line, as the operators have it.
+    """
     if pattern.plain:
         return F.lit(False) if set(pattern.text) & {"\r", "\n"} else text.contains(pattern.text)
-    return head(text).rlike(pattern.java())
+    return (text if limit is None else head(text, limit)).rlike(pattern.java())
 
 
 def spans(text: Column, pattern: Pattern) -> Column:
@@ -64,8 +68,8 @@ def spans(text: Column, pattern: Pattern) -> Column:
     The gaps (``split``) and the matches of one pattern alternate, so starts are running sums of their lengths. A
     pattern must not match the empty string.
     """
-    seen, p = head(text), pattern.java()
-    pairs = F.arrays_zip(F.split(seen, p, -1).alias("gap"), F.regexp_extract_all(seen, F.lit(p), F.lit(0)).alias("hit"))
+    p = pattern.java()
+    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hit"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -75,13 +79,13 @@ def spans(text: Column, pattern: Pattern) -> Column:
 
     empty = F.expr("cast(array() as array<struct<start: int, len: int, matched: string>>)")
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(seen.rlike(p), found).otherwise(empty)
+    return F.when(text.rlike(p), found).otherwise(empty)
 
 
 def segments(text: Column, pattern: Pattern) -> Column:
-    """The text in pieces, array<struct<segment, is_match>>; their concatenation is the text (its seen head)."""
-    seen, p = head(text), pattern.java()
-    pairs = F.arrays_zip(F.split(seen, p, -1).alias("gap"), F.regexp_extract_all(seen, F.lit(p), F.lit(0)).alias("hit"))
+    """The text in pieces, array<struct<segment, is_match>>; their concatenation is the text."""
+    p = pattern.java()
+    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hit"))
     both = F.flatten(
         F.transform(
             pairs,

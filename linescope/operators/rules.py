@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linescope.functions.cells import colour
-from linescope.functions.patterns import Pattern, head, matches, spans
+from linescope.functions.patterns import Pattern, matches, spans
 
 #: Rules in one expression; more are dealt over several, as generated code is limited in size.
 AT_ONCE = 40
@@ -56,13 +56,13 @@ def _each(rules: list[Rule], make) -> Column:
 
 def rule_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """A row for each line and rule that matches it, in one scan."""
-    hit = _each(rules, lambda r: F.when(matches(F.col("text"), r.pattern), F.lit(r.rule_pos)))
+    hit = _each(rules, lambda r: F.when(matches(F.col("text"), r.pattern, None), F.lit(r.rule_pos)))
     return lines.withColumn("rule_pos", F.explode(hit))
 
 
 def classify_lines(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Each line with the first rule that matches it, null if none does."""
-    first = F.coalesce(*[F.when(matches(F.col("text"), r.pattern), F.lit(r.rule_pos)) for r in rules])
+    first = F.coalesce(*[F.when(matches(F.col("text"), r.pattern, None), F.lit(r.rule_pos)) for r in rules])
     return lines.withColumn("rule_pos", first)
 
 
@@ -71,9 +71,9 @@ def _painted_by(r: Rule) -> Column:
     fg, bg = F.lit(r.fg).cast("bigint").alias("fg"), F.lit(r.bg).cast("bigint").alias("bg")
     if r.whole_line:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("len"), pos.alias("rule_pos"), fg, bg))
-        return F.when(matches(text, r.pattern) & (F.length(text) > 0), whole)
+        return F.when(matches(text, r.pattern, None) & (F.length(text) > 0), whole)
     if r.pattern.regex and (re.compile(r"(?<!\\)\((?!\?[:=!<>])|\(\?<[a-zA-Z]").search(r.pattern.text) or may_be_empty(r.pattern)):
-        found = group_spans(r.pattern)(F.when(matches(text, r.pattern), head(text)))
+        found = group_spans(r.pattern)(F.when(matches(text, r.pattern, None), text))
     else:
         found = spans(text, r.pattern)
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), pos.alias("rule_pos"), fg, bg))

@@ -11,9 +11,12 @@ from linescope.plans.ordered import carried_last, running_sum
 MAX_HITS = 1_000_000
 
 
-def search(lines: DataFrame, pattern: Pattern) -> DataFrame:
-    """The lines that match. No order is imposed; (path, byte_off) orders hits."""
-    return lines.where(matches(F.col("text"), pattern.check()))
+def search(lines: DataFrame, pattern: Pattern, limit: int | None = None) -> DataFrame:
+    """The lines that match. No order is imposed; (path, byte_off) orders hits.
+
+    ``limit=MATCH_LIMIT`` is the reference's search: patterns other than plain text see the first 64 KiB of a line.
+    """
+    return lines.where(matches(F.col("text"), pattern.check(), limit))
 
 
 def ordinals(hits: DataFrame) -> DataFrame:
@@ -28,26 +31,26 @@ def cap_hits(hits: DataFrame, max_hits: int = MAX_HITS) -> DataFrame:
 
 def search_summary(lines: DataFrame, pattern: Pattern, max_hits: int = MAX_HITS) -> DataFrame:
     """Per file, also without hits: ``total_hits`` up to the cap, ``truncated`` once it is reached, hits per line."""
-    hit = matches(F.col("text"), pattern.check()).cast("long")
+    hit = matches(F.col("text"), pattern.check(), None).cast("long")
     found = lines.groupBy("path").agg(F.sum(hit).alias("n"), F.count("*").alias("lines"))
     return found.select("path", F.least("n", F.lit(max_hits)).alias("total_hits"), (F.col("n") >= max_hits).alias("truncated"), (F.col("n") / F.col("lines")).alias("hit_ratio"))
 
 
 def search_many(lines: DataFrame, filters: dict[str, Pattern]) -> DataFrame:
     """All named filters in one scan: a row for each line and filter that matches it."""
-    names = F.array(*[F.when(matches(F.col("text"), p.check()), F.lit(n)) for n, p in filters.items()])
+    names = F.array(*[F.when(matches(F.col("text"), p.check(), None), F.lit(n)) for n, p in filters.items()])
     return lines.withColumn("filter_name", F.explode(F.array_compact(names)))
 
 
 def match_spans(lines: DataFrame, pattern: Pattern) -> DataFrame:
     """A row for every non-empty occurrence: ``start``, ``len``, ``matched``."""
-    found = lines.where(matches(F.col("text"), pattern.check()))
+    found = lines.where(matches(F.col("text"), pattern.check(), None))
     return found.withColumn("span", F.explode(spans(F.col("text"), pattern))).select("*", "span.*").drop("span")
 
 
 def match_segments(lines: DataFrame, pattern: Pattern) -> DataFrame:
     """Matching lines cut into pieces ``(seg_no, segment, is_match)``."""
-    found = lines.where(matches(F.col("text"), pattern.check()))
+    found = lines.where(matches(F.col("text"), pattern.check(), None))
     found = found.select("*", F.posexplode(segments(F.col("text"), pattern)).alias("seg_no", "piece"))
     return found.select("*", "piece.*").drop("piece")
 

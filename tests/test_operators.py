@@ -270,3 +270,21 @@ def test_tokens(spark):
     row = df.select(cells.tokens(F.col("text"), "wide").alias("w"), cells.tokens(F.col("text"), "narrow").alias("n")).first()
     assert [x["matched"] for x in row["w"]] == ["10.0.0.1", "foo_bar--x", "漢字"]
     assert [x["matched"] for x in row["n"]] == ["10", ".", "0", ".", "0", ".", "1", "foo_bar", "--", "x", "漢字"]
+
+
+def test_lines_longer_than_64_kib(spark):
+    from linescope.functions import patterns
+
+    line = "x" * 50_000 + "é tion " + "y" * 50_000 + " Tion tion"
+    lines = spark.createDataFrame([("a", 0, line)], "path string, byte_off long, text string")
+    at = [m.start() for m in re.finditer("tion", line)]
+    assert at[-1] > 100_000
+    assert [r["start"] for r in search.match_spans(lines, Pattern("tion")).orderBy("start").collect()] == at
+    assert search.match_spans(lines, Pattern("TION", ignore_case=True)).count() == 3
+    assert "".join(r["segment"] for r in search.match_segments(lines, Pattern("tion$", regex=True)).orderBy("seg_no").collect()) == line
+    assert search.search(lines, Pattern("y Tion", regex=True)).count() == 1
+    assert search.search(lines, Pattern("y Tion", regex=True), limit=patterns.MATCH_LIMIT).count() == 0
+    assert search.search(lines, Pattern("y Tion"), limit=patterns.MATCH_LIMIT).count() == 1
+    made = [rules.Rule(0, Pattern("tion"), fg=1), rules.Rule(1, Pattern("(T)ion", regex=True), fg=2)]
+    assert sorted(r["start"] for r in rules.rule_spans(lines, made).collect()) == sorted([*at, line.index("Tion")])
+    assert rules.painted_spans(lines, made).count() == 3
