@@ -4,11 +4,12 @@ Byte-level BPE cuts a text into pieces (contractions, letters, numbers, other si
 piece only. The cuts depend on classes of neighbouring characters, so they are found for a whole batch as vectors; Arrow
 finds the distinct pieces, the library's model encodes those that the worker has not met lately, and the batch's ids are
 gathered from theirs. Texts that hold an added token of the vocabulary, or characters whose class could depend on the
-library's Unicode version, are left to its whole ``encode``.
+library's Unicode version, are left to its whole ``encode``, and so are all texts under another kind of vocabulary.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from array import array
 from codecs import charmap_decode
@@ -98,6 +99,19 @@ class Remembered:
         return out
 
 
+def by_pieces(settings: dict) -> bool:
+    """Whether a tokenizer is plain byte-level BPE, for which ``cuts`` and the byte alphabet hold."""
+    model, before = settings["model"], settings.get("pre_tokenizer") or {}
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    unusual = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return (
+        all(before.get(k) == v for k, v in usual.items())
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in unusual)
+        and not any(settings.get(k) for k in ("normalizer", "truncation", "padding"))
+    )
+
+
 class Encoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
@@ -106,6 +120,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = by_pieces(json.loads(self.tokenizer.to_str()))
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.pieces = Remembered(self._piece)
 
@@ -122,6 +137,9 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         strings = [t or "" for t in texts.to_pylist()]
+        if not self.fast:
+            found = [np.array(self.whole(t), np.uint32) for t in strings]
+            return np.concatenate(found), np.concatenate(([0], np.cumsum([len(f) for f in found])))
         joined = SEPARATOR.join(strings) + SEPARATOR
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         kinds = _classes()[points]

@@ -79,18 +79,24 @@ def test_components(spark):
 
 @pytest.fixture(scope="module")
 def plain_ids(texts):
-    t = tokens.Encoder(tokens.default_vocabulary()).tokenizer
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_vocabulary())
     return {i: t.encode(x, add_special_tokens=False).ids for i, x in texts.items()}
 
 
 def test_encoder_on_odd_texts():
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
     rng, parts = random.Random(3), ["It's", "'re", "don't", "''ll", "’", "a", "b", "the", " ", " ", "\n", "\t", "\r", "é", "ß", "²", "'s", "'", "!", "12", "<|endoftext|>", " ", "漢字", "　", "🙂", "_", "\x85", "\x1c", "Ǆ", "ʰ", "½", "\U0010ffff"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)] + [None, "", "x" * 200]
-    encoder = tokens.Encoder(tokens.default_vocabulary())
-    ids, bounds = encoder.encode(pa.array(texts))
-    assert all(ids[s:e].tolist() == encoder.whole(t or "") for t, s, e in zip(texts, bounds, bounds[1:]))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = tokens.default_vocabulary(name)
+        fresh, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+        ids, bounds = encoder.encode(pa.array(texts))
+        assert encoder.fast == name.startswith("byte")
+        assert all(ids[s:e].tolist() == fresh.encode(t or "", add_special_tokens=False).ids for t, s, e in zip(texts, bounds, bounds[1:]))
 
 
 def crc(ids):
