@@ -1,30 +1,48 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
+``near_duplicates`` links fingerprints by their differing bits, ``keep_one`` texts by the Jaccard similarity of their
+shingles.
+
 Two fingerprints within 2*r bits have a common variant within r bits of each. So every distinct fingerprint emits all
 its variants within r bits (65 for r = 1), rows meet by variant, and fingerprints that meet are linked after their
 distance is verified. For r = 1 a variant is shared by at most 65 distinct fingerprints, however many documents there
 are: equal fingerprints are folded before, so no key can become hot. Members of a bucket are linked to its smallest
 member only; any two that are close enough share a bucket, and those of a bucket are all within 2*r bits of each other,
 so that no component is lost and the links stay linear in the number of fingerprints.
+
+Texts that share four fifths of their shingles differ in about a sixth of all bits, too many for one ball. Their long
+fingerprints are cut into parts, and a part's ball is that of half the radius (``HALF``) within its least certain bits,
+those whose counts are nearest to a draw, as these are the ones that edits turn over. Pairs that meet in any part are
+compared by 64 more bits first and then exactly.
 """
 
 from __future__ import annotations
 
+import math
+import string
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linescope.llm import tokens
 from linescope.llm.common import Scratch
 from linescope.llm.components import connected_components
 
 BITS = 64
 #: Shingles that are hashed before their bits are counted.
 BLOCK = 1 << 16
+#: Similarity of texts: words of a shingle, the least Jaccard similarity of a link, and the share of pairs just there that
+#: may share no variant.
+WORDS, SIMILARITY, LOST = 5, 0.8, 0.008
+#: A part's ball: half the radius, and the bits that may be turned over.
+HALF, UNCERTAIN = 2, 8
+#: Most of the 64 bits for a first look that may differ: 10 are expected at a similarity of 0.8, with a deviation of 3.
+APART = 22
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -70,8 +88,11 @@ def ball(radius: int) -> list[int]:
 def near_links(folded: DataFrame, distance: int = 2) -> DataFrame:
     """Edges ``(a, b)`` between the representatives in ``folded(fp, rep)``, fingerprints being distinct.
 
-    The components of these edges are those of all pairs at ``distance`` (an even number) or fewer differing bits.
+    The components of these edges are those of all pairs at ``distance`` or fewer differing bits. ``distance`` is even:
+    half of it is the balls' radius, and only then are all members of a bucket near each other.
     """
+    if distance < 0 or distance % 2:
+        raise ValueError("distance must be an even number of bits")
     masks = F.array(*[F.lit(m) for m in ball(distance // 2)])
     spread = folded.select("fp", "rep", F.explode(masks).alias("mask")).select(
         F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp", "rep"
@@ -111,24 +132,188 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, key: str
     )
 
 
-def keep_one(docs: DataFrame, distance: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def node(text: Column) -> Column:
+    """A number of a text's words (as ``fingerprint`` takes them), the same for null, empty and blank texts."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.xxhash64(F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " ")))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct XXH64 values of all runs of ``words`` words, ascending; fewer words are one run, none have none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(parts) - words + 1)
+    hashed = xxhash.xxh64_digest
+    found = b"".join([hashed(line[s:e]) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist())])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64))
+
+
+def shape(rows: int) -> tuple[int, int]:
+    """Parts and bits of a part for a table of ``rows`` texts.
+
+    Parts widen with the table, so that the unrelated texts that share a variant stay few; at 32 bits a pair of
+    similarity 0.8 shares a variant of a part with a probability of 0.33, which falls by 8 % with each further bit. There
+    are so many parts that all but ``LOST`` of such pairs share one.
+    """
+    width = max(32, math.ceil(math.log2(rows + 1)) + 8)
+    met = 0.33 * math.exp(-0.084 * (width - 32))
+    return math.ceil(math.log(LOST) / math.log(1 - met)), width
+
+
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, (2, 1024), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def long_fingerprint(found: np.ndarray, parts: int, width: int) -> tuple[int, np.ndarray]:
+    """64 bits for a first look as a signed number, and for each part its bits and its ``UNCERTAIN`` least certain ones.
+
+    The latter are rows of bytes: eight of the part's value, then the places of its uncertain bits.
+    """
+    n, number = len(found), 1 + -(-parts * width // BITS)
+    times, plus = _SEEDS[0, :number], _SEEDS[1, :number]
+    ones = np.zeros(number * BITS, np.int64)
+    for at in range(0, n, 255):
+        h = found[at : at + 255, None] * times + plus
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    margins = ones * 2 - n
+    look = int(np.packbits(margins[:BITS] > 0).view(">i8")[0])
+    margins = margins[BITS : BITS + parts * width].reshape(parts, width)
+    values = ((margins > 0).astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    places = np.argsort(np.abs(margins), axis=1, kind="stable")[:, :UNCERTAIN].astype(np.uint8)
+    return look, np.concatenate((values.view(np.uint8).reshape(parts, 8), places), axis=1)
+
+
+def variants(faces: np.ndarray, width: int) -> np.ndarray:
+    """All variants of all parts, with the part's number before them: texts x parts x variants, from their bytes."""
+    values = np.ascontiguousarray(faces[:, :, :8]).view(np.uint64)
+    bits = np.uint64(1) << faces[:, :, 8:].astype(np.uint64)
+    masks = [np.zeros(faces.shape[:2], np.uint64)]
+    for size in range(1, HALF + 1):
+        masks += [np.bitwise_or.reduce(bits[:, :, list(at)], axis=2) for at in combinations(range(UNCERTAIN), size)]
+    part = np.arange(faces.shape[1], dtype=np.uint64)[None, :, None] << np.uint64(width)
+    return (values ^ np.stack(masks, axis=2) | part).astype(np.int64)
+
+
+def signatures(docs: DataFrame, words: int, parts: int, width: int, key: str, text: str) -> DataFrame:
+    """``(key, node, size, look, faces)`` of each row: the number of its words, how many shingles, their fingerprint."""
+
+    def hashed(batches):
+        for b in (s for batch in batches for s in tokens.slices(batch, 2)):
+            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+            prints = [long_fingerprint(s, parts, width) for s in sets]
+            columns = [b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array([p[0] for p in prints], pa.int64())]
+            columns.append(pa.array([p[1].tobytes() for p in prints], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "look", "faces"])
+
+    kinds = [("key", docs.schema[key].dataType), ("node", T.LongType()), ("size", T.LongType()), ("look", T.LongType()), ("faces", T.BinaryType())]
+    schema = T.StructType([T.StructField(*k) for k in kinds])
+    return docs.select(F.col(key).alias("key"), node(F.col(text)).alias("node"), text).mapInArrow(hashed, schema)
+
+
+def met(nodes: DataFrame, parts: int, width: int) -> DataFrame:
+    """``(part, leader, node)``: nodes with a variant of a part that a smaller node, the leader, has too."""
+
+    def spread(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                faces = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, parts, -1)
+                found = variants(faces, width)
+                names = np.repeat(some.column(0).to_numpy(), found[0].size)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found.ravel())], names=["node", "bucket"])
+
+    rows = nodes.where("size > 0").select("node", "faces").mapInArrow(spread, "node long, bucket long")
+    least = F.first("node").over(Window.partitionBy("bucket").orderBy("node"))
+    rows = rows.select(F.shiftright("bucket", width).alias("part"), least.alias("leader"), "node")
+    return rows.where("node <> leader").distinct()
+
+
+def shingled(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, shingles)`` of ``texts(node, text)``."""
+
+    def hashed(batches):
+        for b in (s for batch in batches for s in tokens.slices(batch, 1)):
+            sets = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(hashed, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of nodes whose ``shingled`` sets agree by ``similarity`` or more."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    joined = pairs.join(two, "b").join(one, "a")
+    both = joined.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    return both.where(F.col("both") >= (F.size("set_a") + F.size("set_b") - F.col("both")) * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
+
+
+def similar_nodes(scratch: Scratch, rows: DataFrame, texts: DataFrame, parts: int, width: int, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``rows``, the ``signatures`` of ``texts(node, text)``.
+
+    Their components are those of all pairs that meet in a bucket and agree by ``similarity`` or more. Nodes are compared
+    with the leaders of their buckets first; pairs of a leader's followers that these links leave in different
+    components are compared after that, all of them.
+    """
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "look", "faces")])
+    stats = scratch.write(nodes.select("node", "size", "look"), "stats")
+    followers = scratch.write(met(nodes, parts, width), "followers")
+
+    def near(x: str, y: str) -> Column:
+        """A first look at two rows: by sizes, and by the 64 bits."""
+        sizes = F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * F.lit(similarity) - F.lit(1e-9)
+        return sizes & (F.bit_count(F.col(f"{x}.look").bitwiseXOR(F.col(f"{y}.look"))) <= APART)
+
+    led = followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    led = led.join(stats.alias("x"), F.col("a") == F.col("x.node")).join(stats.alias("y"), F.col("b") == F.col("y.node"))
+    first = scratch.write(led.where(near("x", "y")).select("a", "b"), "pairs")
+    asked = followers.select("node").union(followers.select("leader")).distinct()
+    held = scratch.write(shingled(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), words), "sets")
+    links = scratch.write(verified(first, held, similarity), "links")
+
+    found = connected_components(scratch, links, "first")
+    members = followers.union(followers.select("part", "leader", "leader").distinct())
+    placed = members.join(found, "node", "left").select("part", "leader", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("part", "leader").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = scratch.write(mixed.where("low < high").select("part", "leader"), "mixed")
+    left = scratch.write(placed.join(mixed, ["part", "leader"]).join(stats, "node"), "left")
+    x, y = left.alias("x"), left.alias("y")
+    same = (F.col("x.part") == F.col("y.part")) & (F.col("x.leader") == F.col("y.leader"))
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    second = x.join(y, same & apart & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return links.union(scratch.write(verified(second.join(first, ["a", "b"], "left_anti"), held, similarity), "more"))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that stay when each group of near-duplicates keeps its smallest key.
 
-    Of several rows with that key, the one with the smallest text stays. A row without a key stays only if no other row
-    has its fingerprint, or as the one with the smallest text among rows without a key.
+    Rows are linked if their sets of ``words``-word shingles agree by ``similarity`` (0.8 or more) or more (Jaccard), or
+    if they have the same key. Null, empty and blank texts are equal. Of several rows with the smallest key, the one with
+    the smallest text stays; a group without any key keeps one row.
     """
-    found = near_duplicates(docs, distance, words, key, text)
-    staying = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
+    if similarity < SIMILARITY:
+        raise ValueError(f"balls are wide enough for a similarity of {SIMILARITY} or more")
+    scratch = Scratch(docs.sparkSession)
+    parts, width = shape(docs.count())
+    rows = scratch.write(signatures(docs, words, parts, width, key, text), "rows")
+    texts = docs.select(node(F.col(text)).alias("node"), F.col(text).alias("text"))
+    links = similar_nodes(scratch, rows, texts, parts, width, words, similarity)
+    tied = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("a"))
+    tied = rows.join(tied, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    found = connected_components(scratch, links.union(tied), "all")
+    groups = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    least = scratch.write(groups.groupBy("component").agg(F.min("key").alias("__key"), F.min("node").alias("__node")), "least")
     one = Window.partitionBy("__key").orderBy(text)
-    keyed = docs.join(staying, F.col(key) == F.col("__key")).withColumn("__turn", F.row_number().over(one))
+    keyed = docs.join(least.select("__key"), F.col(key) == F.col("__key")).withColumn("__turn", F.row_number().over(one))
     keyed = keyed.where("__turn = 1").select(*docs.columns)
-    bare = docs.where(F.col(key).isNull())
+    bare = least.where("__key is null").select("__node")
     if bare.isEmpty():
         return keyed
-    known = found.where(F.col(key).isNotNull()).select("fingerprint").distinct()
-    texts = fingerprints(bare.select(text, F.col(text).alias("__same")), "__same", text, words)
-    texts = texts.select("__same", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).distinct()
-    first = texts.join(known, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min(F.coalesce("__same", F.lit(""))).alias("__text"))
-    chosen = bare.join(first, F.coalesce(F.col(text), F.lit("")) == F.col("__text"))
-    turn = F.row_number().over(Window.partitionBy("__text").orderBy(F.col(text).isNull()))
-    return keyed.union(chosen.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns))
+    turn = F.row_number().over(Window.partitionBy("__node").orderBy(text))
+    chosen = docs.where(F.col(key).isNull()).join(bare, node(F.col(text)) == F.col("__node")).withColumn("__turn", turn)
+    return keyed.union(chosen.where("__turn = 1").select(*docs.columns))
