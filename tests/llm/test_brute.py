@@ -406,8 +406,6 @@ def test_pipeline_drops_edited_copies(spark):
 
 
 def test_edited_copies_in_chains_and_crowds(spark):
-    from linescope.llm import jaccard
-
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     texts, base = [], [word() for _ in range(120)]
@@ -425,10 +423,10 @@ def test_edited_copies_in_chains_and_crowds(spark):
     want = similar_groups({i: " ".join((t or "").split()) or "" for i, t in enumerate(texts)})
     blank = [i for i, t in enumerate(texts) if not (t or "").strip()]
     expected = set(want.values()) - set(blank[1:])
-    assert {r["doc_id"] for r in jaccard.keep_one(rows).collect()} == expected
+    assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == expected
     odd = spark.createDataFrame([(None, "x y"), (None, "X y"), (None, texts[0]), (4, "c"), (4, "b"), (5, texts[0]), (6, "b")], "doc_id long, text string")
-    assert sorted(map(str, (tuple(r) for r in jaccard.keep_one(odd).collect()))) == sorted(map(str, [(None, "X y"), (4, "b"), (5, texts[0])]))
-    assert jaccard.keep_one(odd.where("false")).count() == 0
+    assert sorted(map(str, (tuple(r) for r in simhash.keep_one(odd).collect()))) == sorted(map(str, [(None, "X y"), (4, "b"), (5, texts[0])]))
+    assert simhash.keep_one(odd.where("false")).count() == 0
 
 
 def test_added_tokens_are_the_librarys(spark):
