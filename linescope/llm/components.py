@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two grouped minima and two equi-joins. A node with very many links is only ever the skewed side of a
-sort-merge join, which adaptive execution splits, or the key of a minimum, which is combined before the shuffle; no
+Each round is two grouped minima and two equi-joins. A node with very many links is only ever the key of a minimum, which
+is combined before the shuffle, or the skewed side of a sort-merge join. The minima are written before they are joined:
+both sides of a join then have an exchange of their own, which adaptive execution needs to split the skewed side. No
 list of neighbours is gathered. Rounds grow with the logarithm of the longest path.
 """
 
@@ -24,13 +25,15 @@ def connected_components(scratch: Scratch, edges: DataFrame, tag: str = "cc") ->
     while seen[0]:
         ends = links.select(F.col("small").alias("node"), F.col("big").alias("other")).union(links.select("big", "small"))
         least = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+        least = scratch.write(least, f"{tag}-least-{step}")
         large = links.join(least, F.col("small") == F.col("node")).select("big", F.col("m").alias("small"))
-        lowest = large.groupBy("big").agg(F.min("small").alias("low"))
+        lowest = scratch.write(large.groupBy("big").agg(F.min("small").alias("low")), f"{tag}-lowest-{step}")
         hung = large.join(lowest.withColumnRenamed("big", "own"), F.col("big") == F.col("own")).where("small <> low")
         fresh = hung.select(F.col("small").alias("big"), F.col("low").alias("small")).union(lowest).distinct()
         step += 1
         links = scratch.write(fresh, f"{tag}-{step}")
-        scratch.drop(f"{tag}-{step - 1}")
+        for done in ("", "least-", "lowest-"):
+            scratch.drop(f"{tag}-{done}{step - 1}")
         now = _signature(links)
         if now == seen:
             break
