@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.llm import tokens
+from linescope.llm.common import Scratch
 
 #: Bytes that the rolling hash sees (a power of two), the bits that must be zero, words in a chunk at least and at most.
 WINDOW, ZEROS, FEWEST, MOST = 16, 3, 3, 128
@@ -106,6 +107,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 16, key: str = "doc_id",
     """
     found = chunked(docs, key, text)  # evaluated twice, which costs less than a table of all chunks
     repeated = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table, so that both sides of the join have an exchange of their own and a very common chunk's side can be split
+    repeated = Scratch(docs.sparkSession).write(repeated, "repeated")
     copies = found.join(repeated, ["h1", "h2"]).repartition("doc")
     own = Window.partitionBy("doc", "h1", "h2").orderBy("place")
     copies = copies.withColumn("turn", F.row_number().over(own)).where("first < doc or turn > 1")
