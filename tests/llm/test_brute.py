@@ -289,22 +289,74 @@ def test_cover_tree(spark, block):
     assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}
 
 
+def cluster_rows(rng, clusters, each, dims, spread):
+    centres = rng.standard_normal((clusters, dims))
+    x = np.concatenate([c + spread * rng.standard_normal((each, dims)) for c in centres])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_cover_tree_invariants():
     rng = np.random.default_rng(6)
-    x = np.concatenate([rng.standard_normal((200, 8)) * 0.02 + c for c in rng.standard_normal((10, 8))])
-    seen = []
-
-    def walk(node):
-        assert np.sqrt(((x[node.rows] - node.centre) ** 2).sum(axis=1)).max() <= node.radius + 1e-9
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-            for c in node.children:
-                walk(c)
-        else:
-            seen.extend(node.rows)
-
-    walk(cover_tree.build(x, np.arange(len(x))))
-    assert sorted(seen) == list(range(len(x)))
+    for x in (cluster_rows(rng, 10, 90, 8, 0.05), cluster_rows(rng, 300, 1, 32, 0.0), np.repeat(cluster_rows(rng, 3, 1, 4, 0.0), 50, axis=0)):
+        levels = cover_tree.reaches(0.95)
+        found = cover_tree.paths(x.astype(np.float32), levels)
+        before = set()
+        for k, reach in enumerate(levels):
+            centres = np.unique(found[:, k])
+            assert before <= set(centres.tolist())  # nested
+            before = set(centres.tolist())
+            gaps = np.linalg.norm(x[centres][:, None] - x[centres][None], axis=2) + 9 * np.eye(len(centres))
+            assert gaps.min() > reach - 1e-3  # separated
+            assert np.linalg.norm(x[:, None] - x[centres][None], axis=2).min(axis=1).max() <= reach + 1e-3  # covering
+            if k:
+                assert np.linalg.norm(x[found[:, k]] - x[found[:, k - 1]], axis=1).max() <= levels[k - 1] + 1e-3
+                assert len(np.unique(found[:, k - 1 : k + 1], axis=0)) == len(centres)  # one parent
+        planted = cover_tree.tree(x, found, np.arange(len(x)))
+        for level in planted.levels:
+            for i, (s, e) in enumerate(zip(level.begins, level.begins[1:])):
+                assert np.linalg.norm(planted.x[s:e] - level.centres[i], axis=1).max() <= level.radii[i] + 1e-6
+        assert sorted(planted.rows) == list(range(len(x)))
+
+
+def traversed(x, y=None, cosine=0.95):
+    levels = cover_tree.reaches(cosine)
+    both = x if y is None else np.concatenate((x, y))
+    links, plant = cover_tree.Links(np.ones(len(both), np.int64)), lambda z, rows: cover_tree.tree(z, cover_tree.paths(z.astype(np.float32), levels), rows)
+    one = plant(x, np.arange(len(x)))
+    two = one if y is None else plant(y, np.arange(len(x), len(both)))
+    return links, cover_tree.traverse(one, two, cosine, links)
+
+
+def test_traversal_prunes_and_loses_nothing():
+    rng = np.random.default_rng(9)
+    for spread, share in ((0.03, 0.2), (0.1, 0.2), (0.35, 1.0)):
+        x = cluster_rows(rng, 60, 40, 16, spread)
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        links, (looked, compared) = traversed(x)
+        assert (links.counts == near.sum(axis=1)).all()
+        want = groups(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+        assert links.components().tolist() == [want[i] for i in range(len(x))]
+        assert looked + compared <= share * len(x) ** 2 / 2
+        half = len(x) // 2 + 7
+        links, _ = traversed(x[:half], x[half:])
+        assert (links.counts == np.concatenate((near[:half, half:].sum(axis=1), near[half:, :half].sum(axis=1)))).all()
+    links, _ = traversed(np.repeat(x[:2], 3000, axis=0))
+    assert links.counts.min() == 2999
+
+
+def test_cells_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "SAMPLE", 150)
+    monkeypatch.setattr(cover_tree, "FAN", 8)
+    rng = np.random.default_rng(10)
+    x = np.concatenate([c + 0.25 * cluster_rows(rng, 10, 20, 12, 0.02) for c in 1.5 * cluster_rows(rng, 6, 1, 12, 0.0)])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = groups(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b])
+    got = {r["vec_id"]: tuple(r)[1:] for r in cover_tree.near_vectors(vectors, block=40).collect()}
+    assert got == {i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}
 
 
 def test_gear_hash_is_local():
