@@ -2,10 +2,13 @@
 
 A longer document is cut into full pieces and one shorter first piece; full pieces are sequences of their own. The
 shorter ones are dealt into blocks of bounded size. For every block several islands evolve groupings: a crossover
-injects whole well-filled bins of one parent into the other, bins that hold an injected piece a second time are
-dissolved, and displaced pieces are placed by best fit, longest first. Between epochs the elites of each island migrate
-to the next one. Pieces in bins that stay clearly below the limit are dealt again into fewer blocks with those of other
-blocks, until one block is left or a round closes almost nothing.
+injects whole well-filled bins of one parent into the other; bins that hold an injected piece a second time are
+dissolved, and so are a few of the emptiest (mutation); displaced pieces are placed by best fit, longest first. Each
+child is polished by local search. An island's epoch ends when it meets the lower bound or when ``STILL`` children in a
+row have not saved a bin. Between epochs the elites of each island migrate to the next one; a block whose epoch has not
+saved a bin rests. Pieces in bins that stay clearly below the limit are dealt again into
+fewer blocks with those of other blocks, until all bins together meet the lower bound, one block is left, or two levels
+in a row have each saved fewer than one bin in a thousand.
 """
 
 from __future__ import annotations
@@ -24,10 +27,22 @@ from linescope.llm.common import Scratch
 
 Solution = np.ndarray  # the bin of each piece, bins numbered from 0
 
+#: Groupings of an island, and children without a better one after which it rests.
+PEOPLE, STILL = 4, 12
+#: Bins that a child's local search dissolves: as many of the emptiest at most, and as many others.
+SPARE = 16
+
 
 def lower_bound(sizes: np.ndarray, limit: int) -> int:
-    """Bins that any packing needs: total size, and for each k the pieces over limit - k beside those over limit / 2."""
-    counts = np.bincount(sizes, minlength=limit + 1)
+    """Bins that any packing of ``sizes`` needs."""
+    return counted_bound(np.bincount(sizes, minlength=limit + 1), limit)
+
+
+def counted_bound(counts: np.ndarray, limit: int) -> int:
+    """``lower_bound`` of ``counts[s]`` pieces of each size s.
+
+    Total size, and for each k the pieces over limit - k beside those over limit / 2.
+    """
     number, total = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * np.arange(limit + 1))))
     best = -(-int(total[-1]) // limit)
     half = limit // 2
@@ -73,24 +88,63 @@ def rank(sizes: np.ndarray, solution: Solution, limit: int) -> tuple[int, float]
     return len(fills), -float(((fills / limit) ** 2).sum())
 
 
-def crossover(sizes: np.ndarray, one: Solution, other: Solution, limit: int, rng: np.random.Generator) -> Solution:
-    fills = np.bincount(one, sizes)
+def polished(sizes: np.ndarray, child: Solution, limit: int, spare: int, rng: np.random.Generator) -> Solution:
+    """Local search: the ``spare`` emptiest bins and some others with room are dissolved, their pieces traded.
+
+    A trade puts a piece in the place of a smaller one where it fills a bin best, so that what is displaced shrinks and
+    takes up the room that is scattered over the other bins; the rest is placed by best fit.
+    """
+    fills = np.bincount(child, sizes).astype(np.int64)
+    dissolved, order = np.zeros(len(fills), bool), np.argsort(fills, kind="stable")
+    dissolved[order[:spare]] = True
+    order = order[spare:][fills[order[spare:]] < limit]
+    dissolved[rng.permutation(order)[:SPARE]] = True
+    child, displaced = child.copy(), dissolved[child]
+    inside = np.flatnonzero(~displaced & (fills[child] < limit))
+    held, bins = sizes[inside], child[inside]
+    rooms, todo = limit - fills[bins], np.flatnonzero(displaced).tolist()
+    fills[dissolved], rest = limit, []
+    while todo and len(inside):
+        i = todo.pop()
+        gain = sizes[i] - held
+        gain[gain > rooms] = 0
+        at = int(gain.argmax())
+        if (won := int(gain[at])) <= 0:
+            rest.append(i)
+            continue
+        b, freed = bins[at], int(inside[at])
+        child[i], inside[at], held[at] = b, i, sizes[i]
+        rooms[bins == b] -= won
+        fills[b] += won
+        todo.append(freed)
+    order = np.array([*todo, *rest], np.int64)
+    left = fills.tolist()
+    best_fit(sizes, order[np.argsort(-sizes[order], kind="stable")], limit, left, child)
+    return np.unique(child, return_inverse=True)[1]
+
+
+def crossover(sizes: np.ndarray, donor: Solution, other: Solution, limit: int, rng: np.random.Generator) -> Solution:
+    """A child of ``other`` with whole well-filled bins of ``donor``."""
+    fills = np.bincount(donor, sizes)
     floor = np.quantile(fills, rng.uniform(0.1, 0.6))
-    chosen = (fills >= min(floor, limit)) & (rng.random(len(fills)) < rng.uniform(0.5, 1.0))
-    injected = chosen[one]
-    broken = np.zeros(int(other.max()) + 1, bool)
+    chosen = (fills >= min(floor, limit)) & (rng.random(len(fills)) < rng.choice((0.05, 0.1, 0.3)))
+    injected = chosen[donor]
+    theirs = np.bincount(other, sizes)
+    broken = np.zeros(len(theirs), bool)
     broken[other[injected]] = True
-    kept = ~broken[other]
+    emptiest = np.argsort(theirs + rng.random(len(theirs)), kind="stable")
+    broken[emptiest[: 1 + int(rng.integers(0, max(2, len(theirs) // 50)))]] = True
+    kept = ~broken[other] & ~injected
     child = np.full(len(sizes), -1, np.int64)
-    child[injected] = (np.cumsum(chosen) - 1)[one[injected]]
+    child[injected] = (np.cumsum(chosen) - 1)[donor[injected]]
     n = int(chosen.sum())
     child[kept] = n + (np.cumsum(~broken) - 1)[other[kept]]
-    total = n + int((~broken).sum())
-    new_fills = np.bincount(child[child >= 0], sizes[child >= 0], minlength=total).astype(int).tolist()
-    displaced = np.flatnonzero(child < 0)
+    inside = child >= 0
+    new_fills = np.bincount(child[inside], sizes[inside], minlength=n + int((~broken).sum())).astype(int).tolist()
+    displaced = np.flatnonzero(~inside)
     order = displaced[np.argsort(-sizes[displaced] - rng.random(len(displaced)), kind="stable")]
     best_fit(sizes, order, limit, new_fills, child)
-    return child
+    return np.unique(child, return_inverse=True)[1]
 
 
 def first_solution(sizes: np.ndarray, limit: int, jitter: float, rng: np.random.Generator) -> Solution:
@@ -100,20 +154,26 @@ def first_solution(sizes: np.ndarray, limit: int, jitter: float, rng: np.random.
     return solution
 
 
-def evolve(sizes: np.ndarray, elites: list[Solution], limit: int, seed: int, people: int = 4, rounds: int = 6) -> list[Solution]:
-    """The two best groupings of one island after an epoch; it ends as soon as no better one can exist."""
+def evolve(sizes: np.ndarray, elites: list[Solution], limit: int, seed, people: int = PEOPLE, still: int = STILL) -> tuple[list[Solution], int]:
+    """The two best groupings of one island after an epoch, and the bins of the best one it began with.
+
+    It begins with ``elites``, or with best fit of falling sizes, and with best fit of sizes in a disturbed order.
+    """
     rng, least = np.random.default_rng(seed), lower_bound(sizes, limit)
     group = list(elites) or [first_solution(sizes, limit, 0.0, rng)]
-    while len(group) < people and rank(sizes, group[0], limit)[0] > least:
-        group.append(first_solution(sizes, limit, rng.uniform(0, 0.15), rng))
+    while len(group) < people and int(group[0].max()) + 1 > least:
+        group.append(first_solution(sizes, limit, rng.uniform(0, 0.3), rng))
     scored = sorted(((rank(sizes, s, limit), k, s) for k, s in enumerate(group)), key=lambda x: x[:2])
-    for step in range(rounds):
-        if scored[0][0][0] <= least:
-            break
-        a, b = rng.permutation(len(scored))[:2]
-        child = crossover(sizes, scored[min(a, b)][2], scored[max(a, b)][2], limit, rng)
-        scored = sorted([*scored[: people - 1], (rank(sizes, child, limit), people + step, child)], key=lambda x: x[:2])
-    return [s for _, _, s in scored[:2]]
+    idle, born, began = 0, len(group), scored[0][0][0]
+    while scored[0][0][0] > least and idle < still:
+        parents = [min(rng.integers(0, len(scored), 2)) for _ in range(2)]
+        child = crossover(sizes, scored[parents[0]][2], scored[parents[1]][2], limit, rng)
+        child = polished(sizes, child, limit, max(1, min(SPARE, int(child.max()) + 1 - least)), rng)
+        found = rank(sizes, child, limit)
+        idle, born = 0 if found[0] < scored[0][0][0] else idle + 1, born + 1
+        if all(found != r for r, _, _ in scored):
+            scored = sorted([*scored, (found, born, child)], key=lambda x: x[:2])[:people]
+    return [s for _, _, s in scored[:2]], began
 
 
 def pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int, key: str, text: str) -> DataFrame:
@@ -148,7 +208,7 @@ def pack(
     vocabulary: str | None = None,
     block: int = 16_384,
     islands: int = 3,
-    epochs: int = 2,
+    epochs: int = 4,
     slack: int = 2,
     key: str = "doc_id",
     text: str = "text",
@@ -164,21 +224,30 @@ def pack(
     cut = scratch.write(pieces(docs, vocabulary or tokens.default_vocabulary(), limit, end_id, key, text), "pieces")
     whole = cut.where(F.col("length") == limit).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = cut.where(F.col("length") < limit).select("uid", "length")
-    places, number, level = [whole], left.count(), 0
-    while number:
-        blocks = -(-number // block)
+    places, level, open_bins, idle = [whole], 0, None, 0
+    while True:
+        counts = np.zeros(limit + 1, np.int64)
+        for size, n in left.groupBy("length").count().collect():  # fewer than ``limit`` rows
+            counts[size] = n
+        number = int(counts.sum())
+        if not number:
+            break
+        blocks, least = -(-number // block), counted_bound(counts, limit)
         dealt = left.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(
             F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("items")
         )
         dealt = dealt.select("block", F.col("items.length").alias("sizes"), F.col("items.uid").alias("uids"))
         best = _evolved(scratch, scratch.write(dealt, f"blocks-{level}"), islands, epochs, limit, level)
         placed = scratch.write(_places(best, limit, level), f"places-{level}")
-        loose = placed.where(F.col("room") > slack).select("uid", "length")
-        again = loose.count() if blocks > 1 else 0
-        if again > 0.9 * number:
-            again = 0
-        places.append((placed.where(F.col("room") <= slack) if again else placed).select("uid", "sequence_id", "offset"))
-        left, number, level = loose, again, level + 1
+        free = F.col("room") > slack
+        first = (F.col("offset") == 0).cast("long")
+        bins, loose = placed.agg(F.sum(first), F.coalesce(F.sum(F.when(free, first)), F.lit(0))).first()
+        idle = idle + 1 if open_bins and open_bins - bins < open_bins / 1000 else 0
+        last = blocks == 1 or bins <= least or not loose or idle == 2
+        places.append((placed if last else placed.where(~free)).select("uid", "sequence_id", "offset"))
+        if last:
+            break
+        left, open_bins, level = placed.where(free).select("uid", "length"), loose, level + 1
     found = places[0]
     for more in places[1:]:
         found = found.union(more)
@@ -187,7 +256,8 @@ def pack(
 
 def _evolved(scratch: Scratch, blocks: DataFrame, islands: int, epochs: int, limit: int, level: int) -> DataFrame:
     """The best grouping of each block, ``(block, sizes, uids, elites)``."""
-    schema = "block long, island int, bins int, least int, elites array<array<int>>"
+    schema = "block long, island int, bins int, began int, least int, elites array<array<int>>"
+    arrow = pa.schema([("block", pa.int64()), *((n, pa.int32()) for n in ("island", "bins", "began", "least")), ("elites", pa.list_(pa.list_(pa.int32())))])
 
     def epoch(number: int):
         def run(batches):
@@ -196,10 +266,10 @@ def _evolved(scratch: Scratch, blocks: DataFrame, islands: int, epochs: int, lim
                     sizes = np.array(row["sizes"], np.int64)
                     elites = [np.array(e, np.int64) for e in row["elites"] or []]
                     seed = (level, number, row["block"], row["island"])
-                    found = evolve(sizes, elites, limit, np.random.SeedSequence(seed))
-                    bins = int(found[0].max()) + 1
-                    out = {"block": row["block"], "island": row["island"], "bins": bins, "least": lower_bound(sizes, limit), "elites": [e.tolist() for e in found]}
-                    yield pa.RecordBatch.from_pylist([out], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("bins", pa.int32()), ("least", pa.int32()), ("elites", pa.list_(pa.list_(pa.int32())))]))
+                    found, began = evolve(sizes, elites, limit, np.random.SeedSequence(seed))
+                    out = {"block": row["block"], "island": row["island"], "bins": int(found[0].max()) + 1, "began": began}
+                    out |= {"least": lower_bound(sizes, limit), "elites": [e.tolist() for e in found]}
+                    yield pa.RecordBatch.from_pylist([out], schema=arrow)
 
         return run
 
@@ -210,21 +280,26 @@ def _evolved(scratch: Scratch, blocks: DataFrame, islands: int, epochs: int, lim
         if state is None:
             given = spread.withColumn("elites", F.lit(None).cast("array<array<int>>"))
         else:
-            # an island starts from its own elites and those of the island before it; solved blocks rest
-            best = state.groupBy("block").agg(F.min("bins").alias("bins"), F.max("least").alias("least"))
-            open_ = state.join(best.where("bins > least").select("block"), "block")
+            # an island starts from its own elites and those of the island before it; the other blocks rest
+            open_ = state.join(_moving(state).select("block"), "block")
             moved = open_.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("migrants"))
             given = open_.join(moved, ["block", "island"]).join(spread, ["block", "island"])
             given = given.select("block", "sizes", "island", F.concat("elites", "migrants").alias("elites"))
         dealt = given.select("block", "island", "sizes", "elites").repartition(min(count, 4096), "block", "island")
         fresh = scratch.write(dealt.mapInArrow(epoch(number), schema), f"state-{level}-{number}")
         state = fresh if state is None else scratch.write(state.join(fresh.select("block").distinct(), "block", "left_anti").union(fresh), f"joined-{level}-{number}")
-        if state.groupBy("block").agg(F.min("bins").alias("b"), F.max("least").alias("l")).where("b > l").isEmpty():
+        if _moving(state).isEmpty():
             break
     chosen = state.groupBy("block").agg(F.min_by("elites", F.struct("bins", "island")).alias("elites"))
     return blocks.join(chosen, "block")
 
 
+def _moving(state: DataFrame) -> DataFrame:
+    """Blocks above their lower bound whose last epoch has saved a bin."""
+    best = state.groupBy("block").agg(*[f(c).alias(c) for f, c in ((F.min, "bins"), (F.min, "began"), (F.max, "least"))])
+    return best.where("bins > least and bins < began")
+
+
 def _places(best: DataFrame, limit: int, level: int) -> DataFrame:
     """``(uid, length, sequence_id, offset, room)`` of each piece."""
     schema = "uid long, length long, sequence_id long, offset long, room long"

@@ -147,13 +147,39 @@ def test_genetic_operators():
         child = packing.crossover(sizes, a, b, 1024, rng)
         fills = np.bincount(child, sizes)
         assert child.min() == 0 and fills.max() <= 1024 and fills.min() > 0
-    best = packing.evolve(sizes, [], 1024, 5, people=6, rounds=20)[0]
+    best = packing.evolve(sizes, [], 1024, 5)[0][0]
     assert packing.lower_bound(sizes, 1024) <= best.max() + 1 <= packing.rank(sizes, a, 1024)[0]
     # a perfect packing exists; best fit alone may miss it, the bound is reached
     halves = np.concatenate([[x, 1024 - x] for x in rng.integers(1, 1023, 100)])
     assert packing.lower_bound(halves, 1024) == 100
 
 
+def triplets(rng, k, limit=1000):
+    """Sizes that fill ``k`` bins exactly, three to a bin."""
+    out = []
+    for _ in range(k):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, max(251, (limit - a) // 2 + 1)))
+        out += [a, b, limit - a - b]
+    return np.array(out)
+
+
+def test_evolution_beats_best_fit(spark):
+    rng = np.random.default_rng(3)
+    for k in (60, 300):
+        sizes = triplets(rng, k)
+        first = int(packing.first_solution(sizes, 1000, 0.0, rng).max()) + 1
+        found, began = packing.evolve(sizes, [], 1000, 5)
+        assert k <= int(found[0].max()) + 1 <= first - k // 12 and began <= first
+        assert np.bincount(found[0], sizes).max() <= 1000
+    # the islands' best is what is placed
+    rows = spark.createDataFrame([(0, sizes.tolist(), list(range(len(sizes))))], "block long, sizes array<long>, uids array<long>")
+    scratch = Scratch(spark)
+    placed = packing._places(packing._evolved(scratch, scratch.write(rows, "b"), 3, 4, 1000, 0), 1000, 0).collect()
+    assert len({r["sequence_id"] for r in placed}) <= int(found[0].max()) + 1
+    assert sorted(r["uid"] for r in placed) == list(range(len(sizes)))
+
+
 def test_quality_on_held_out_labels(spark):
     where = "/root/testdata/sf0.01"
     labels = table(spark, where, "labels")
