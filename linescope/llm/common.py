@@ -69,3 +69,11 @@ def partitions(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as make it no column's name; names differ in more than case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

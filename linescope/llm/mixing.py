@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum, with DataFrame functions only.
 
 Every source has a target number of words, its share by weight, at most ``most`` times its size. Its documents are
-put in a fixed pseudo-random order and taken from the start, again from the start in a second round, until the target is
+put in a fixed pseudo-random order and taken from the start, again from the start in further rounds, until the target is
 reached; the last copy is cut there. A source's weight over training time t in [0, 1] follows a piecewise linear
 schedule; its integral gives the words that the source has delivered by t, and inverting that gives each copy the
 position at which its first word is due. Copies are then sorted by range of position.
@@ -13,6 +13,8 @@ bucket, however large a source is.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,13 @@ def _level(sources: DataFrame, share: float, most: float) -> float:
 def _planned(
     docs: DataFrame, share: float, most: float, weights: tuple[int, ...], schedules: tuple[Knots, ...], key: str, text: str, source: str, keep: tuple[str, ...]
 ) -> DataFrame:
-    """``keep`` and, under private names, each row's size and its place in its source."""
+    """``_row``, a struct of ``keep`` (so that no name can clash), and each row's size and its place in its source."""
     scratch = Scratch(docs.sparkSession)
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")).cast("binary"))
     # never null, in the order of the names with null last: window and join then share one way of dealing rows out
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(">"))
-    base = docs.select(*keep, F.col(key).alias("_key"), name.alias("_source"), word_count(F.col(text)).alias("_size"), order.alias("_order"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    base = docs.select(row.alias("_row"), F.col(key).alias("_key"), name.alias("_source"), word_count(F.col(text)).alias("_size"), order.alias("_order"))
     base = base.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     buckets = scratch.write(base.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words")), "buckets")
     sources = _ranked(scratch, buckets.groupBy("_source").agg(F.sum("words").alias("source_size")), "_source")
@@ -125,7 +128,7 @@ def schedule(
     text's md5 instead. Repeated rows are documents of their own. Only whole numbers decide, so reruns agree.
     """
     rows = _planned(docs, share, most, weights, schedules, key, text, source, ())
-    taken = copy_words(0) + copy_words(1)
+    taken = sum((copy_words(c) for c in range(1, _copies(most))), copy_words(0))
     return rows.select(
         F.col("_key").alias(key),
         F.when(F.col("_source") != ">", F.substring("_source", 2, 1 << 30)).cast(docs.schema[source].dataType).alias(source),
@@ -137,6 +140,11 @@ def schedule(
     )
 
 
+def _copies(most: float) -> int:
+    """Copies of a document that a target of at most ``most`` times its source's size can need."""
+    return max(1, math.ceil(most))
+
+
 def copy_words(copy: int) -> Column:
     """Words that a document's copy brings into the mix."""
     begin = F.col("_before") + F.lit(copy) * F.col("_source_size")
@@ -159,13 +167,14 @@ def mixed(
     Texts without words bring nothing and are left out.
     """
     rows = _planned(docs, share, most, weights, schedules, key, text, source, tuple(docs.columns))
-    copies = F.array(*[F.struct(copy_words(c).alias("words"), F.lit(c).alias("copy")) for c in (0, 1)])
+    copies = F.array(*[F.struct(copy_words(c).alias("words"), F.lit(c).alias("copy")) for c in range(_copies(most))])
     rows = rows.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_copy.words").cast("int")), "")
+    names = {c: F.col("_row").getField(c) for c in docs.columns}
+    body = names[text]
+    cut = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_copy.words").cast("int")), "")
     shorter = F.col("_copy.words") < F.col("_size")
-    names = {c: F.col(c) for c in docs.columns}
-    names[text] = F.when(shorter, cut).otherwise(F.col(text))
+    names[text] = F.when(shorter, cut).otherwise(body)
     if "n_chars" in names:
-        names["n_chars"] = F.when(shorter, F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    placed = rows.select(*[c.alias(n) for n, c in names.items()], _due(F.col("_copy.copy"), schedules).alias("_at"))
-    return placed.orderBy("_at", key).drop("_at")
+        names["n_chars"] = F.when(shorter, F.length(cut)).otherwise(names["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    placed = rows.select(F.struct(*[c.alias(n) for n, c in names.items()]).alias("_row"), "_key", _due(F.col("_copy.copy"), schedules).alias("_at"))
+    return placed.orderBy("_at", "_key").select("_row.*")

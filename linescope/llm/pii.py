@@ -11,11 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linescope.llm.common import unused
+
 #: Patterns of candidates by kind, most specific first.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\p{L}\p{N}+])\+?(?:\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]?\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.+-])\d{3}([.-])\d{3}\1\d{4}(?![\p{L}\p{N}])",
-    "date": r"(?<![\p{L}\p{N}.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:"
+    r"\+?(?:\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]?\d{4}"
+    r"|\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}"
+    r"|\+\d{10,15}"
+    r"|\+\d{1,3}(?:[ .-]\d{1,5}){2,6}"
+    r"|(?<![.-])(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}"
+    r"|(?<![.-])(?:1[ -])?[2-9]\d{2} [2-9]\d{2} \d{4}"
+    r")(?![\p{L}\p{N}])",
+    "date": r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)(?!\p{L})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
@@ -86,18 +95,32 @@ def refill(shape: Column, digits: Column) -> Column:
 
 
 def _date(key: str, m: Column, d: Column) -> Column:
-    iso = m.rlike(r"^\d{4}-")
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.concat_ws("-", d.substr(5, 4), d.substr(3, 2), d.substr(1, 2)), "yyyy-MM-dd"))
+    """Year first, or day first; with slashes month first, if it is no date otherwise.
+
+    Such a month-first date becomes one that is no date otherwise either (its day is over 12), so that no day-first date
+    has the same pseudonym.
+    """
+    parsed = lambda *at: F.try_to_date(F.concat_ws("-", *[d.substr(i, n) for i, n in at]), "yyyy-MM-dd")
+    iso = m.rlike(r"^\d{4}[-/]")
+    day_first = parsed((5, 4), (3, 2), (1, 2))
+    month_first = ~iso & day_first.isNull() & m.contains("/")
+    day = F.when(iso, parsed((1, 4), (5, 2), (7, 2))).when(month_first, parsed((5, 4), (1, 2), (3, 2))).otherwise(day_first)
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+    at = lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
 
     def permute(v: Column) -> Column:
         pair = feistel(key, "date", F.floor(v / RIGHT), v % RIGHT, F.lit(LEFT), F.lit(RIGHT))
         return F.element_at(F.transform(F.array(pair), lambda p: p["a"] * RIGHT + p["b"]), 1)
 
-    # of LEFT * RIGHT numbers 121 are no date: sixteen of them in a row do not happen
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(16)), number.cast("long") + F.lit(LEFT * RIGHT), lambda v, _: F.when(v < DAYS, v).otherwise(permute(v % (LEFT * RIGHT))))
-    out = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), walked.cast("int")), "yyyyMMdd")
-    digits = F.when(iso, out).otherwise(F.concat(out.substr(7, 2), out.substr(5, 2), out.substr(1, 4)))
+    def fits(v: Column) -> Column:
+        return (v < DAYS) & (~month_first | (F.dayofmonth(at(v)) > 12))
+
+    # of LEFT * RIGHT numbers 121 are no date, and three fifths of dates have a day over 12: 32 misses do not happen
+    start = number.cast("long") + F.lit(LEFT * RIGHT)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, lambda v, _: F.when(fits(v), v).otherwise(permute(v % (LEFT * RIGHT))))
+    out = F.date_format(at(walked), "yyyyMMdd")
+    year, month, of_month = out.substr(1, 4), out.substr(5, 2), out.substr(7, 2)
+    digits = F.when(iso, out).when(month_first, F.concat(month, of_month, year)).otherwise(F.concat(of_month, month, year))
     return F.when(number.between(0, DAYS - 1), refill(m, digits))
 
 
@@ -114,9 +137,9 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
-        .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})$"), "date")
+        .when(m.rlike(r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[/.]\d{2}[/.]\d{4})$"), "date")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^[+(]|[()]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
+        .when(m.rlike(r"^[+(]|[()]|^(1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
         .otherwise("card")
     )
 
@@ -135,7 +158,7 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(kind == "ip", _ip(key, m))
         .when(kind == "date", _date(key, m, d))
         .when(kind == "ssn", F.when(issued, refill(m, permuted_digits(key, "ssn", d))))
-        .when(kind == "phone", F.when(n >= 10, refill(m, F.concat(d.substr(F.lit(1), n - 10), last))))
+        .when(kind == "phone", F.when(n.between(10, 15), refill(m, F.concat(d.substr(F.lit(1), n - 10), last))))
         .otherwise(F.when(luhn_sum(d.substr(F.lit(1), n - 1)) % 10 == (F.lit(10) - d.substr(n, F.lit(1)).cast("int")) % 10, refill(m, card)))
     )
 
@@ -158,15 +181,18 @@ def pseudonymised(text: Column, key: str) -> Column:
     return F.when(text.rlike("[0-9@]"), F.element_at(whole, 1)).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` pseudonymised under ``key`` and a count ``n_<kind>`` of replaced values for each kind.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` pseudonymised under ``key``; with ``counts``, ``n_<kind>`` of replaced values for each kind.
 
-    Null and empty texts stay as they are, with counts of 0. Columns of ``docs`` with the name of a count are replaced.
-    Candidates that fail their check stay in the text. The same key gives the same pseudonyms in every run and table.
+    Null and empty texts stay as they are, with counts of 0. Columns of ``docs`` with the name of a count are replaced by
+    it, and kept without ``counts``. Candidates that fail their check stay in the text. The same key gives the same
+    pseudonyms in every run and table.
     """
-    done = docs.withColumn("__done", pseudonymised(F.col(text), key))
-    return done.withColumns({text: F.col("__done.text"), **{f"n_{k}": _count(k) for k in PATTERNS}}).drop("__done")
+    name = unused("__done", docs.columns)
+    done = docs.withColumn(name, pseudonymised(F.col(text), key))
+    found = {f"n_{k}": _count(name, k) for k in PATTERNS} if counts else {}
+    return done.withColumns({text: F.col(f"{name}.text"), **found}).drop(name)
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("__done.found", lambda x: x["valid"] & (x["kind"] == kind))).cast("long")
+def _count(name: str, kind: str) -> Column:
+    return F.size(F.filter(f"{name}.found", lambda x: x["valid"] & (x["kind"] == kind))).cast("long")

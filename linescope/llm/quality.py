@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linescope.llm import tokens
+from linescope.llm.common import unused
 
 #: Labelled rows that a model may hold (half for each label), latent dimensions, neighbours that vote.
 LABELLED, RANK, NEIGHBOURS = 4096, 48, 15
@@ -175,7 +176,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores, pa.float64())], names=[*columns, name])
 
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField(name, T.DoubleType())])
-    body = F.col(text).alias("__text")
+    body = F.col(text).alias(unused("__text", [*columns, name]))
     return docs.select(*columns, body).mapInArrow(rate, schema)
 
 
@@ -187,5 +188,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: st
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (with all their columns) that score ``threshold`` or more."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return score(docs, fit(docs, labels), keep=others, name="__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    others, name = tuple(c for c in docs.columns if c != "doc_id"), unused("__score", docs.columns)
+    return score(docs, fit(docs, labels), keep=others, name=name).where(F.col(name) >= threshold).select(*docs.columns)

@@ -307,13 +307,14 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     tied = rows.join(tied, "key").where("node <> a").select("a", F.col("node").alias("b"))
     found = connected_components(scratch, links.union(tied), "all")
     groups = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    least = scratch.write(groups.groupBy("component").agg(F.min("key").alias("__key"), F.min("node").alias("__node")), "least")
-    one = Window.partitionBy("__key").orderBy(text)
-    keyed = docs.join(least.select("__key"), F.col(key) == F.col("__key")).withColumn("__turn", F.row_number().over(one))
-    keyed = keyed.where("__turn = 1").select(*docs.columns)
-    bare = least.where("__key is null").select("__node")
+    least = scratch.write(groups.groupBy("component").agg(F.min("key").alias("key"), F.min("node").alias("node")), "least")
+    whole = docs.select(F.col(key).alias("own"), F.col(text).alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = F.row_number().over(Window.partitionBy("key").orderBy("body"))
+    keyed = whole.join(least.select("key"), F.col("own") == F.col("key")).withColumn("turn", one)
+    keyed = keyed.where("turn = 1").select("row.*")
+    bare = least.where("key is null").select("node")
     if bare.isEmpty():
         return keyed
-    turn = F.row_number().over(Window.partitionBy("__node").orderBy(text))
-    chosen = docs.where(F.col(key).isNull()).join(bare, node(F.col(text)) == F.col("__node")).withColumn("__turn", turn)
-    return keyed.union(chosen.where("__turn = 1").select(*docs.columns))
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("body"))
+    chosen = whole.where("own is null").join(bare, node(F.col("body")) == F.col("node")).withColumn("turn", turn)
+    return keyed.union(chosen.where("turn = 1").select("row.*"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linescope.llm import tokens
-from linescope.llm.common import Scratch
+from linescope.llm.common import Scratch, unused
 
 #: Bytes that the rolling hash sees (a power of two), the bits that must be zero, words in a chunk at least and at most.
 WINDOW, ZEROS, FEWEST, MOST = 16, 3, 3, 128
@@ -130,7 +130,8 @@ def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id",
 
     Needs unique keys (rows without one are kept whole).
     """
-    spans = passages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    name = unused("__spans", docs.columns)
+    spans = passages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
     joined = docs.join(spans, key, "left")
     body = F.col(text)
 
@@ -139,5 +140,5 @@ def without_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id",
         return F.struct(F.concat(acc["out"], piece).alias("out"), span["end"].alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cut = F.aggregate("__spans", start, keep, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), body).otherwise(cut)).select(*docs.columns)
+    cut = F.aggregate(name, start, keep, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return joined.withColumn(text, F.when(F.col(name).isNull(), body).otherwise(cut)).select(*docs.columns)

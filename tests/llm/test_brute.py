@@ -59,6 +59,13 @@ def test_simhash(docs, texts):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in ids}
 
 
+def test_odd_distance_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.near_links(spark.createDataFrame([(1, 1)], "fp long, rep long"), distance=3)
+    with pytest.raises(ValueError):
+        simhash.keep_one(spark.createDataFrame([(1, "x")], "doc_id long, text string"), similarity=0.7)
+
+
 def test_simhash_chain_across_bits(spark):
     rng = random.Random(4)
     base = rng.getrandbits(64)
@@ -225,6 +232,23 @@ def test_pii(spark):
         assert gone not in one["text"]
 
 
+def test_more_phones_and_dates(spark):
+    gone = ["+15551234567", "1-555-123-4567", "555 323 4567", "1 555 323 4567", "+44 20 7946 0958", "+33 1 23 45 67 89", "555.123.4567", "(555) 123-4567", "03/25/1985", "1985/03/25", "25/03/1985"]
+    kept = ["100 200 3000", "+12 34 56", "13/13/1999", "1985/13/25", "1.2.3.4.5", "10 000 000", "2020 2021 2022", "11/2020"]
+    rows = spark.createDataFrame([(i, f"on {v}, then") for i, v in enumerate([*gone, *kept])], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(rows, "k").collect()}
+    shape = lambda t: re.sub(r"\d", "0", t)
+    for i, v in enumerate(gone):
+        assert v not in out[i] and shape(out[i]) == shape(f"on {v}, then"), v
+    for i, v in enumerate(kept, len(gone)):
+        assert out[i] == f"on {v}, then"
+    # month-first dates stay apart from day-first ones
+    days = spark.sql("select date_format(date_add(date'1999-01-01', cast(id as int)), f) as text from range(700) lateral view explode(array('MM/dd/yyyy', 'dd/MM/yyyy')) as f")
+    old = {r["text"] for r in days.collect()}
+    new = {r["text"] for r in pii.pseudonymise(days.distinct(), "k").collect()}
+    assert len(new) == len(old) and not any(re.search(r"^(1[3-9]|[23]\d)/(1[3-9]|[23]\d)/", t) for t in new)
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(2000).selectExpr("cast(date_add(date'1999-01-01', cast(id as int)) as string) as text")
     out = [r["text"] for r in pii.pseudonymise(days, "k").collect()]
@@ -255,6 +279,23 @@ def test_mixing(docs, texts):
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
 
 
+def test_mixing_of_many_copies(spark):
+    rows = [(i, "w " * (1 + i % 7), "ab"[i > 8], 7, 8) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size long, _row long")
+    out = mixing.schedule(docs, share=2.6, most=3.5).collect()
+    taken, target = defaultdict(int), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 4 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target) and max(taken[s] / r for s, r in target.items()) <= 1
+    mix = mixing.mixed(docs, share=2.6, most=3.5)
+    assert mix.columns == docs.columns
+    got = mix.collect()
+    assert sum(len(r["text"].split()) for r in got) == sum(taken.values())
+    assert {(r["_size"], r["_row"]) for r in got} == {(7, 8)} and max(sum(r["doc_id"] == i for r in got) for i in range(9)) == 4
+
+
 def test_schedule_positions(spark):
     knots = ((0.0, 1.0), (0.5, 3.0), (1.0, 0.0))
     from pyspark.sql import functions as F

@@ -178,3 +178,21 @@ def test_missing_shared_folder_is_an_error(spark, monkeypatch):
 def test_hot_group_in_pii_counts(spark):
     out = pii.pseudonymise(spark.createDataFrame(rows("mail a.b@c.example.com now"), DOCS).withColumn("n_email", F.lit("clash")), "k").first()
     assert out["n_email"] == 1 and "a.b@c.example.com" not in out["text"]
+
+
+CLASHING = ["_size", "_key", "_row", "_source", "_order", "_bucket", "_at", "_copy", "__score", "__text", "__done", "__key", "__turn", "__spans", "key", "node", "row", "own", "body", "turn", "n_email", "n_card", "shingles", "part", "leader"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, none, labels, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    extra = docs.drop("part").withColumns({c: F.lit(77) for c in CLASHING})
+    for table in (extra, extra.where("false")):
+        rows, scratch = table, Scratch(spark)
+        for name, stage in pipeline.STAGES[:-1]:
+            rows = scratch.write(stage(spark, rows, str(tmp_path)), name)
+            assert rows.columns == table.columns
+        assert {r[c] for c in CLASHING for r in rows.select(*CLASHING).collect()} <= {77}
+        assert (pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() > 0) == (rows.count() > 0)
+    cut = substrings.without_passages(extra.where("doc_id is not null"), substrings.repeated_passages(extra))
+    assert cut.columns == extra.columns
