@@ -4,9 +4,12 @@ A vector is approximated by a sum of full-dimensional codewords, one of each cod
 bounded sample: k-means on residuals, then codes by beam search and all codewords together by least squares. Every vector
 is encoded by beam search and stored as its codes and the squared norm of its approximation. A query's squared distance
 to an approximation is that norm minus twice a sum of table entries, the query's inner products with the codewords. The
-best candidates by tables are ranked again by exact distances of the original vectors.
+best candidates by tables are ranked again by exact distances of the original vectors; their number grows with the
+square root of the table, as the nearest vectors of a larger table are closer to each other.
 
-Queries are a stated set; they are compared with all rows in blocks of bounded size, which are broadcast one by one.
+Queries are a stated set; they are compared with all rows in blocks of bounded size, which are broadcast one by one. What
+a query's candidates must stay below is first read off a bounded sample of the index, so that tasks return little more
+than the candidates, however many parts the index has.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from linescope.llm.cover_tree import valid
 
 #: Rows of the sample, codebooks, codewords in each, partial codes kept by the beam search.
 SAMPLE, BOOKS, WORDS, BEAM = 8192, 24, 128, 4
-#: Candidates ranked again for each query, queries in a block, and rows of the index in a part: each part gives its best
-#: candidates for each query, so parts are large against their number.
-RERANKED, QUERIES, PART = 900, 4096, 131_072
+#: Candidates ranked again for each query at least, and for each root of the number of rows.
+RERANKED, BY_ROOT = 900, 4
+#: Bytes of a block of queries, rows of the index in a part at most and about at least.
+QUERIES, PART, SMALL = 32 << 20, 131_072, 4096
 
 
 @dataclass(frozen=True)
@@ -94,7 +98,7 @@ def fit(sample: np.ndarray, books: int = BOOKS, size: int = WORDS, rounds: int =
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, reranked: int = RERANKED, key: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 10, reranked: int | None = None, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """For each row of ``queries`` its ``k`` nearest rows of ``vectors``: ``(query_id, rank, key, score)``.
 
@@ -104,6 +108,8 @@ def nearest(
     compared. Fewer than ``k`` others give fewer rows. Keys should be unique; repeated query keys are one query.
 
     Equal vectors are indexed once with their ``k + 1`` smallest keys, which are all that can be among the nearest.
+    ``reranked`` candidates are ranked again, by default the larger of ``RERANKED`` and ``BY_ROOT`` times the root of the
+    number of rows.
     """
     scratch = Scratch(vectors.sparkSession)
     rows = valid(vectors, key, vector).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "v")
@@ -122,33 +128,47 @@ def nearest(
     return out.withColumnRenamed("id", key)
 
 
-def _floats(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+def _floats(column: pa.Array, dims: int, scale: float) -> np.ndarray:
+    return (column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale).astype(np.float32).reshape(-1, dims)
 
 
-def _search(scratch: Scratch, kept: DataFrame, asked: DataFrame, dims: int, k: int, reranked: int) -> DataFrame:
+def _scale(vectors: DataFrame) -> float:
+    """The power of two that brings the largest component to about 1, so that single precision can hold them all."""
+    most = vectors.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
+    return float(2.0 ** -np.frexp(most)[1])
+
+
+def _search(scratch: Scratch, kept: DataFrame, asked: DataFrame, dims: int, k: int, reranked: int | None) -> DataFrame:
     spark, tag = scratch.spark, f"-{dims}"
     classes = kept.where("turn = 1").select("class", "v")
     sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).toPandas()["v"]
     if sample.empty:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    model = spark.sparkContext.broadcast(fit(np.array([np.asarray(v, np.float64) for v in sample])))
+    scale = _scale(kept)
+    units = np.array([np.asarray(v, np.float64) * scale for v in sample])
+    model = spark.sparkContext.broadcast(fit(units))
 
     def encode(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                codes, norms = model.value.encode(_floats(part.column(1), dims))
+                codes, norms = model.value.encode(_floats(part.column(1), dims, scale))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["class", "codes", "norm"])
 
     index = scratch.write(classes.mapInArrow(encode, "class long, codes binary, norm float"), "index" + tag)
-    index = index.repartition(max(1, -(-index.count() // PART)))
-    number = asked.count()
-    blocks = -(-number // QUERIES)
+    number = index.count()
+    reranked = reranked or max(RERANKED, int(BY_ROOT * number**0.5))
+    parts = max(-(-number // PART), min(spark.sparkContext.defaultParallelism, -(-number // SMALL)))
+    index = index.repartition(parts)
+    codes, norms = model.value.encode(units.astype(np.float32))
+    blocks = -(-asked.count() * 8 * dims // QUERIES)
     candidates = None
     for block in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q")
-        found = scratch.write(_candidates(spark, index, mine, model, reranked), f"candidates{tag}-{block}")
+        rows = mine.orderBy("query_id").toPandas()  # a block, about QUERIES bytes
+        q = np.array([np.asarray(v, np.float64) * scale for v in rows["q"]], np.float32)
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), q, _limits(model.value, q, codes, norms, number, reranked)))
+        found = scratch.write(_candidates(index, shared, model), f"candidates{tag}-{block}")
         candidates = found if candidates is None else candidates.union(found)
     best = Window.partitionBy("query_id").orderBy("score", "class")
     pairs = candidates.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy("guess", "class"))).where(F.col("turn") <= reranked)
@@ -161,35 +181,39 @@ def _search(scratch: Scratch, kept: DataFrame, asked: DataFrame, dims: int, k: i
     return rows.select("query_id", rank.alias("rank"), "id", "score").where(F.col("rank") <= k)
 
 
-def _candidates(spark, index: DataFrame, queries: DataFrame, model, reranked: int) -> DataFrame:
-    """Of each part of the index the best by tables: ``(query_id, class, guess)``."""
-    asked = queries.orderBy("query_id").toPandas()  # a block, about QUERIES rows
-    ids, q = asked["query_id"].to_numpy(), np.array([np.asarray(v, np.float64) for v in asked["q"]])
-    shared = spark.sparkContext.broadcast((ids, q))
+def guesses(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Squared distances to approximations without the queries' own norms, queries x rows."""
+    dot = np.zeros((len(tables), len(codes)), np.float32)
+    for m in range(codes.shape[1]):
+        dot += np.take(tables[:, m], codes[:, m], axis=1)
+    return norms - 2 * dot
+
+
+def _limits(model: Quantiser, q: np.ndarray, codes: np.ndarray, norms: np.ndarray, number: int, reranked: int) -> np.ndarray:
+    """For each query what at least ``reranked`` of ``number`` rows stay below, by a sample: three deviations above."""
+    share = reranked * len(codes) / number
+    place = int(share + 3 * share**0.5 + 3)
+    if place >= len(codes) or len(codes) == number:
+        return np.full(len(q), np.inf, np.float32)
+    out = [np.partition(guesses(model.tables(q[a : a + 256]), codes, norms), place, axis=1)[:, place] for a in range(0, len(q), 256)]
+    return np.concatenate(out)
+
+
+def _candidates(index: DataFrame, shared, model) -> DataFrame:
+    """The rows of the index below the queries' limits: ``(query_id, class, guess)``."""
 
     def scan(batches):
-        ids, q = shared.value
-        tables = model.value.tables(q)
-        best = [(np.zeros((len(q[a : a + 256]), 0), np.float32), np.zeros((len(q[a : a + 256]), 0), np.int64)) for a in range(0, len(q), 256)]
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                classes, norms = part.column(0).to_numpy(), part.column(2).to_numpy()
-                codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                for c, (guess, names) in enumerate(best):
-                    t = tables[c * 256 : c * 256 + 256]
-                    dot = np.zeros((len(t), part.num_rows), np.float32)
-                    for m in range(codes.shape[1]):
-                        dot += np.take(t[:, m], codes[:, m], axis=1)
-                    guess = np.concatenate((guess, norms - 2 * dot), axis=1)
-                    names = np.concatenate((names, np.broadcast_to(classes, (len(t), len(classes)))), axis=1)
-                    if guess.shape[1] > reranked:
-                        top = np.argpartition(guess, reranked - 1, axis=1)[:, :reranked]
-                        guess, names = np.take_along_axis(guess, top, axis=1), np.take_along_axis(names, top, axis=1)
-                    best[c] = (guess, names)
-        for c, (guess, names) in enumerate(best):
-            if guess.shape[1]:
-                asked = np.repeat(ids[c * 256 : c * 256 + 256], guess.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(names.ravel()), pa.array(guess.ravel())], names=["query_id", "class", "guess"])
+        held = [b for b in batches if b.num_rows]  # a part, at most about ``PART`` codes
+        if not held:
+            return
+        classes, norms = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 2))
+        codes = np.frombuffer(b"".join(x for b in held for x in b.column(1).to_pylist()), np.uint8).reshape(len(classes), -1)
+        ids, q, limits = shared.value
+        for at in range(0, len(q), 256):
+            tables = model.value.tables(q[at : at + 256])
+            for begin in range(0, len(codes), 2048):
+                guess = guesses(tables, codes[begin : begin + 2048], norms[begin : begin + 2048])
+                i, j = np.nonzero(guess <= limits[at : at + 256, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(classes[begin + j]), pa.array(guess[i, j])], names=["query_id", "class", "guess"])
 
     return index.mapInArrow(scan, "query_id long, class long, guess float")

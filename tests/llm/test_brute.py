@@ -324,24 +324,33 @@ def test_quantiser_is_better_with_a_wider_beam():
 
 def test_additive_recall(spark):
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    x = rng.standard_normal((4000, 32)).astype(np.float32)
     x[1000:1400] = x[1000]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in additive.nearest(vectors, vectors.where("vec_id % 100 = 0"), reranked=150).orderBy("query_id", "rank").collect():
+    for r in additive.nearest(vectors, vectors.where("vec_id % 100 = 0"), reranked=160).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     hits = 0
     y = x.astype(np.float64)
-    for q in range(0, 3000, 100):
+    for q in range(0, 4000, 100):
         d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
-        order = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        order = [i for i in np.lexsort((np.arange(4000), d)) if i != q][:10]
         hits += len({i for i, _ in got[q]} & set(order))
         assert len(got[q]) == 10 and all(s == pytest.approx(d[i]) for i, s in got[q])
-    assert hits / 300 >= 0.9
+    assert hits / 400 >= 0.9  # with 4 % of the rows ranked again
     assert [i for i, _ in got[1000]] == list(range(1001, 1011))
 
 
+def test_additive_on_numbers_beyond_single_precision(spark, monkeypatch):
+    monkeypatch.setattr(additive, "SAMPLE", 128)  # limits are read off a sample
+    for factor in (1e40, 1e-60):
+        rows = [(i, [(i + 1) * factor, factor]) for i in range(300)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        out = additive.nearest(vectors, vectors.where("vec_id = 0"), k=3, reranked=40).orderBy("rank").collect()
+        assert [r["vec_id"] for r in out] == [1, 2, 3] and out[0]["score"] == factor
+
+
 @pytest.mark.parametrize("block", [200, 8192])
 def test_cover_tree(spark, block):
     rng = np.random.default_rng(5)
