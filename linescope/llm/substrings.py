@@ -1,8 +1,9 @@
 """Repeated passages by content-defined chunking.
 
-A gear hash rolls over a text's last 16 bytes; a word that follows a hash with two zero bits begins a chunk, so chunks
-depend on nearby content alone and the same passage falls into the same chunks wherever it stands. Chunks are
-deduplicated by a 128-bit digest: the document with the smallest id keeps its first occurrence, all others are copies.
+A gear hash rolls over a text's last 16 bytes; a word whose hash is the smallest among its neighbours' begins a chunk, so
+chunks depend on nearby content alone and the same passage falls into the same chunks wherever it stands, but for a few
+words at its ends. Chunks are deduplicated by a 128-bit digest: the document with the smallest id keeps its first
+occurrence, all others are copies.
 Runs of adjacent copies of at least ``min_words`` words are repeated passages.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from linescope.llm import tokens
 from linescope.llm.common import Scratch, unused
 
-#: Bytes that the rolling hash sees (a power of two), the bits that must be zero, words in a chunk at least and at most.
-WINDOW, ZEROS, FEWEST, MOST = 16, 3, 3, 128
+#: Bytes that the rolling hash sees (a power of two), neighbours on either side, and words in a chunk at most.
+WINDOW, NEIGHBOURS, MOST = 16, 3, 128
 _BLANK = np.zeros(256, bool)
 _BLANK[[0, 9, 10, 11, 12, 13, 32]] = True
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
@@ -39,6 +40,20 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def local_minima(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a word's value is below those of ``NEIGHBOURS`` words before it and not above those behind it.
+
+    Words of other texts are no neighbours; in a run of equal values none is a minimum.
+    """
+    found = np.ones(len(values), bool)
+    for d in range(1, NEIGHBOURS + 1):
+        if d < len(values):
+            same = owner[d:] == owner[:-d]
+            found[d:] &= ~same | (values[d:] < values[:-d])
+            found[:-d] &= ~same | (values[:-d] <= values[d:])
+    return found
+
+
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of all texts' chunks: text number, number within it, start and end in code points, words, digest (two columns)."""
     gap = b"\0" * WINDOW
@@ -49,13 +64,10 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     edge = np.flatnonzero(np.diff((~_BLANK[data]).astype(np.int8)))  # the first and last byte are blank
     starts, ends = edge[::2] + 1, edge[1::2] + 1
     owner = np.searchsorted(opens, starts, "right") - 1
-    hashed = (gear(data)[starts - 1] >> np.uint32(WINDOW - 4)) & np.uint32(ZEROS) == 0
     first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
-    at = np.flatnonzero(hashed | first)
+    at = np.flatnonzero(local_minima(gear(data)[starts - 1], owner) | first)
     begins, last = [], 0
-    for w, new in zip(at.tolist(), first[at].tolist()):
-        if not new and w - last < FEWEST:
-            continue
+    for w in at.tolist():
         begins.extend(range(last + MOST, w, MOST))
         begins.append(w)
         last = w
@@ -97,12 +109,13 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long"), text).mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each passage that an earlier document (or the same one, before) has: ``(key, start, end, words, first_<key>)``.
 
     ``start`` and ``end`` are code points of the text, ``first_<key>`` the document that keeps most of the passage's
     chunks. ``min_words`` counts whole chunks, so a repeated passage must be some words longer to be sure of being
-    found. Rows of one key are one document; rows without a key are documents of their own that come first and are
+    found: of 51 words in other surroundings, it is missed in about 2 cases of 1000, of 60 in none of 4000. A few words on
+    and on have no borders of their own and are cut every ``MOST`` words, from where they begin. Rows of one key are one document; rows without a key are documents of their own that come first and are
     reported with a null key. Null, empty and unrepeated texts give no row. Keys are whole numbers.
     """
     found = chunked(docs, key, text)  # evaluated twice, which costs less than a table of all chunks

@@ -459,7 +459,51 @@ def test_substrings(spark):
     for r in out:
         assert r["first_doc_id"] == r["doc_id"] % 100
         assert texts[r["doc_id"]][r["start"] : r["end"]] in texts[r["first_doc_id"]]
-        assert r["words"] >= 16
+        assert r["words"] >= 24
+
+
+def test_passages_of_51_words_in_other_surroundings():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    missed = 0
+    for _ in range(1000):
+        passage = prose(51)
+        texts = [f"{prose(rng.randrange(40))} {passage} {prose(rng.randrange(40))}".encode() for _ in range(2)]
+        doc, _, _, _, size, h1, h2 = substrings.chunks(texts)
+        known, best, run = set(zip(h1[doc == 0].tolist(), h2[doc == 0].tolist())), 0, 0
+        for h, n in zip(zip(h1[doc == 1].tolist(), h2[doc == 1].tolist()), size[doc == 1].tolist()):
+            run = run + n if h in known else 0
+            best = max(best, run)
+        missed += best < 24
+    assert missed <= 6
+
+
+def test_substrings_against_all_runs_of_words(spark):
+    """Every place that repeats 70 words of an earlier one is reported, and nothing that does not repeat 24."""
+    where = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, where, "documents").collect()}
+    spans = defaultdict(list)
+    for r in substrings.repeated_passages(table(spark, where, "documents")).collect():
+        spans[r["doc_id"]].append((r["start"], r["end"]))
+    word, seen, short = re.compile(r"[^\x20\x09-\x0D\0]+"), {}, {}
+    reported = lambda i, s, e: sum(max(0, min(e, y) - max(s, x)) for x, y in spans[i]) > 0
+    for i in sorted(texts):
+        at = [m.span() for m in word.finditer(texts[i])]
+        for n, known in ((70, seen), (20, short)):
+            for k in range(len(at) - n + 1):
+                known.setdefault(texts[i][at[k][0] : at[k + n - 1][1]], (i, at[k][0]))
+    for i in sorted(texts):
+        at = [m.span() for m in word.finditer(texts[i])]
+        for k in range(len(at) - 69):
+            s, e = at[k][0], at[k + 69][1]
+            if len(set(texts[i][s:e].split())) < 10:
+                continue  # few words on and on have no borders of their own
+            assert seen[texts[i][s:e]] == (i, s) or reported(i, s, e)
+        for s, e in spans[i]:
+            inside = [x for x in at if s <= x[0] and x[1] <= e]
+            assert len(inside) >= 24
+            assert any(short[texts[i][inside[k][0] : inside[k + 19][1]]] != (i, inside[k][0]) for k in range(len(inside) - 19))
 
 
 def test_secrets(docs, texts):
