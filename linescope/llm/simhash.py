@@ -12,8 +12,9 @@ so that no component is lost and the links stay linear in the number of fingerpr
 
 Texts that share four fifths of their shingles differ in about a sixth of all bits, too many for one ball. Their long
 fingerprints are cut into parts, and a part's ball is that of half the radius (``HALF``) within its least certain bits,
-those whose counts are nearest to a draw, as these are the ones that edits turn over. Pairs that meet in any part are
-compared by 64 more bits first and then exactly.
+those whose counts are nearest to a draw, as these are the ones that edits turn over. A text of which less than four
+fifths of the shingles occur in any other text has no partner and takes no part. Pairs that meet in any part are compared
+by 64 more bits and by the bound that their shared shingles set, and then exactly.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linescope.llm import tokens
-from linescope.llm.common import Scratch
+from linescope.llm.common import Scratch, partitions
 from linescope.llm.components import connected_components
 
 BITS = 64
@@ -43,6 +44,8 @@ WORDS, SIMILARITY, LOST = 5, 0.8, 0.008
 HALF, UNCERTAIN = 2, 8
 #: Most of the 64 bits for a first look that may differ: 10 are expected at a similarity of 0.8, with a deviation of 3.
 APART = 22
+#: Shingles in a bucket in which they are counted, and what stands there for several texts.
+IN_BUCKET, SHARED = 1 << 21, -(1 << 63)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -200,36 +203,78 @@ def variants(faces: np.ndarray, width: int) -> np.ndarray:
     return (values ^ np.stack(masks, axis=2) | part).astype(np.int64)
 
 
-def signatures(docs: DataFrame, words: int, parts: int, width: int, key: str, text: str) -> DataFrame:
-    """``(key, node, size, look, faces)`` of each row: the number of its words, how many shingles, their fingerprint."""
+def signatures(texts: DataFrame, words: int, parts: int, width: int) -> DataFrame:
+    """``(node, size, look, faces)`` of ``texts(node, text)``: how many shingles, and their fingerprint."""
 
     def hashed(batches):
-        for b in (s for batch in batches for s in tokens.slices(batch, 2)):
-            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+        for b in (s for batch in batches for s in tokens.slices(batch, 1)):
+            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             prints = [long_fingerprint(s, parts, width) for s in sets]
-            columns = [b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array([p[0] for p in prints], pa.int64())]
+            columns = [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([p[0] for p in prints], pa.int64())]
             columns.append(pa.array([p[1].tobytes() for p in prints], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "look", "faces"])
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "look", "faces"])
+
+    return texts.select("node", "text").mapInArrow(hashed, "node long, size long, look long, faces binary")
 
-    kinds = [("key", docs.schema[key].dataType), ("node", T.LongType()), ("size", T.LongType()), ("look", T.LongType()), ("faces", T.BinaryType())]
-    schema = T.StructType([T.StructField(*k) for k in kinds])
-    return docs.select(F.col(key).alias("key"), node(F.col(text)).alias("node"), text).mapInArrow(hashed, schema)
+
+def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
+    """``(node, shared)``: how many shingles of a text occur in another one of ``texts(node, text)``, nodes being distinct.
+
+    Shingles are dealt into buckets by their hash. One that several texts of a slice have is counted where it is and goes
+    to its bucket once, so that a very common one is only as often there as there are slices.
+    """
+
+    def deal(batches):
+        for b in (s for batch in batches for s in tokens.slices(batch, 1)):
+            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
+            found, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            distinct, which, counts = np.unique(found, return_inverse=True, return_counts=True)
+            often = counts[which] > 1
+            nodes = b.column(0).to_numpy()
+            here = np.bincount(owner[often], minlength=len(sets))
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([here.astype("<i8").tobytes()]), pa.array([nodes.astype("<i8").tobytes()])], names=names)
+            hashes = np.concatenate((distinct[counts > 1], found[~often]))
+            mine = np.concatenate((np.full(int((counts > 1).sum()), SHARED), nodes[owner[~often]]))
+            place = (hashes >> np.uint64(32)) % np.uint64(buckets)
+            order = np.lexsort((mine, place))
+            begins = np.flatnonzero(np.diff(place[order], prepend=np.uint64(buckets)))
+            at = np.append(begins, len(order)).tolist()
+            hashes, mine = hashes[order].astype("<u8"), mine[order].astype("<i8")
+            columns = [[hashes[i:j].tobytes() for i, j in zip(at, at[1:])], [mine[i:j].tobytes() for i, j in zip(at, at[1:])]]
+            yield pa.RecordBatch.from_arrays([pa.array(place[order][begins].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=names)
+
+    def count(table: pa.Table) -> pa.Table:
+        left, mine = (np.concatenate([np.frombuffer(x, "<i8") for x in table[c].to_pylist()]) for c in ("left", "nodes"))
+        if table["bucket"][0].as_py() < 0:
+            return pa.table({"node": mine, "shared": left})
+        _, which, counts = np.unique(left, return_inverse=True, return_counts=True)
+        nodes, shared = np.unique(mine[(counts[which] > 1) & (mine != SHARED)], return_counts=True)
+        return pa.table({"node": nodes, "shared": shared})
+
+    names = ["bucket", "left", "nodes"]
+    dealt = texts.select("node", "text").mapInArrow(deal, "bucket long, left binary, nodes binary")
+    here = dealt.where("bucket < 0").mapInArrow(lambda batches: (count(pa.Table.from_batches([b])).to_batches()[0] for b in batches if b.num_rows), "node long, shared long")
+    there = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(count, "node long, shared long")
+    return here.union(there).groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
 def met(nodes: DataFrame, parts: int, width: int) -> DataFrame:
-    """``(part, leader, node)``: nodes with a variant of a part that a smaller node, the leader, has too."""
+    """``(part, leader, node)``: nodes with a variant of a part that another one, the leader, has too.
+
+    A bucket's leader is the node with the fewest shingles of its own (``alone``), the likeliest to be near the others.
+    """
 
     def spread(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                faces = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, parts, -1)
+                faces = np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint8).reshape(some.num_rows, parts, -1)
                 found = variants(faces, width)
-                names = np.repeat(some.column(0).to_numpy(), found[0].size)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found.ravel())], names=["node", "bucket"])
+                names, alone = (np.repeat(some.column(c).to_numpy(), found[0].size) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(alone), pa.array(found.ravel())], names=["node", "alone", "bucket"])
 
-    rows = nodes.where("size > 0").select("node", "faces").mapInArrow(spread, "node long, bucket long")
-    least = F.first("node").over(Window.partitionBy("bucket").orderBy("node"))
+    rows = nodes.select("node", "alone", "faces").mapInArrow(spread, "node long, alone long, bucket long")
+    least = F.first("node").over(Window.partitionBy("bucket").orderBy("alone", "node"))
     rows = rows.select(F.shiftright("bucket", width).alias("part"), least.alias("leader"), "node")
     return rows.where("node <> leader").distinct()
 
@@ -253,27 +298,34 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("both") >= (F.size("set_a") + F.size("set_b") - F.col("both")) * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
 
 
-def similar_nodes(scratch: Scratch, rows: DataFrame, texts: DataFrame, parts: int, width: int, words: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` between nodes of ``rows``, the ``signatures`` of ``texts(node, text)``.
+def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``texts(node, text)``, nodes being distinct.
 
     Their components are those of all pairs that meet in a bucket and agree by ``similarity`` or more. Nodes are compared
     with the leaders of their buckets first; pairs of a leader's followers that these links leave in different
     components are compared after that, all of them.
     """
-    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "look", "faces")])
-    stats = scratch.write(nodes.select("node", "size", "look"), "stats")
+    parts, width = shape(texts.count())
+    signed = scratch.write(signatures(texts, words, parts, width), "signed")
+    total = signed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shared = shared_shingles(texts, words, max(partitions(scratch.spark), -(-total // IN_BUCKET)))
+    enough = F.col("shared") >= F.col("size") * F.lit(similarity) - F.lit(1e-9)
+    nodes = scratch.write(signed.join(shared, "node").where(enough).withColumn("alone", F.col("size") - F.col("shared")), "nodes")
+    stats = nodes.select("node", "size", "look", "shared")
     followers = scratch.write(met(nodes, parts, width), "followers")
 
     def near(x: str, y: str) -> Column:
-        """A first look at two rows: by sizes, and by the 64 bits."""
-        sizes = F.least(f"{x}.size", f"{y}.size") >= F.greatest(f"{x}.size", f"{y}.size") * F.lit(similarity) - F.lit(1e-9)
-        return sizes & (F.bit_count(F.col(f"{x}.look").bitwiseXOR(F.col(f"{y}.look"))) <= APART)
+        """A first look at two rows: by what they can have in common at most, and by the 64 bits."""
+        common, both = F.least(f"{x}.shared", f"{y}.shared"), F.col(f"{x}.size") + F.col(f"{y}.size")
+        common = F.least(common, f"{x}.size", f"{y}.size")
+        fits = common >= (both - common) * F.lit(similarity) - F.lit(1e-9)
+        return fits & (F.bit_count(F.col(f"{x}.look").bitwiseXOR(F.col(f"{y}.look"))) <= APART)
 
     led = followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     led = led.join(stats.alias("x"), F.col("a") == F.col("x.node")).join(stats.alias("y"), F.col("b") == F.col("y.node"))
     first = scratch.write(led.where(near("x", "y")).select("a", "b"), "pairs")
     asked = followers.select("node").union(followers.select("leader")).distinct()
-    held = scratch.write(shingled(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), words), "sets")
+    held = scratch.write(shingled(texts.join(asked, "node", "left_semi"), words), "sets")
     links = scratch.write(verified(first, held, similarity), "links")
 
     found = connected_components(scratch, links, "first")
@@ -299,10 +351,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS
     if similarity < SIMILARITY:
         raise ValueError(f"balls are wide enough for a similarity of {SIMILARITY} or more")
     scratch = Scratch(docs.sparkSession)
-    parts, width = shape(docs.count())
-    rows = scratch.write(signatures(docs, words, parts, width, key, text), "rows")
-    texts = docs.select(node(F.col(text)).alias("node"), F.col(text).alias("text"))
-    links = similar_nodes(scratch, rows, texts, parts, width, words, similarity)
+    named = docs.select(F.col(key).alias("key"), node(F.col(text)).alias("node"), F.col(text).alias("text"))
+    rows = scratch.write(named.select("key", "node"), "rows")
+    texts = scratch.write(named.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    links = similar_nodes(scratch, texts, words, similarity)
     tied = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("a"))
     tied = rows.join(tied, "key").where("node <> a").select("a", F.col("node").alias("b"))
     found = connected_components(scratch, links.union(tied), "all")

@@ -577,6 +577,17 @@ def test_pipeline_drops_edited_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_shared_shingles(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(14))) for _ in range(300)] + ["", "x y", "long " * 50]
+    texts = list(dict.fromkeys(texts))
+    sets = [plain_shingles(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(7)
+    got = {r["node"]: r["shared"] for r in simhash.shared_shingles(rows, 5, 3).collect()}
+    want = {i: sum(any(x in s for j, s in enumerate(sets) if j != i) for x in sets[i]) for i in range(len(texts))}
+    assert got == want
+
+
 def test_edited_copies_in_chains_and_crowds(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
