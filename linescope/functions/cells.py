@@ -10,7 +10,8 @@ from linescope.functions.patterns import Pattern, spans
 #: Wide tokens are runs of anything but white space; narrow ones runs of word characters or of other signs.
 TOKENS = {"wide": Pattern(r"\S+", regex=True), "narrow": Pattern(r"[\p{L}\p{Nd}_]+|[^\s\p{L}\p{Nd}_]+", regex=True)}
 #: Characters that take two cells: East Asian wide and full-width blocks; beyond the basic plane each counts as two.
-WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{10000}-\x{10FFFF}]"
+#: (U+303F is narrow.)
+WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3040}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{10000}-\x{10FFFF}]"
 TAB = 8
 
 

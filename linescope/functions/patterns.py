@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from linescope.functions.arrays import let, sums_before
+
 #: Bytes of a line that the reference's search shows to patterns other than plain case-sensitive text.
 MATCH_LIMIT = 65_536
 
@@ -62,37 +64,35 @@ def matches(text: Column, pattern: Pattern, limit: int | None = MATCH_LIMIT) ->
     return (text if limit is None else head(text, limit)).rlike(pattern.java())
 
 
-def spans(text: Column, pattern: Pattern) -> Column:
-    """Every non-empty occurrence as array<struct<start, len, matched>>, in code points.
+#: Characters that stand for nothing in any text; one that a text does not have marks its matches.
+MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
+
+
+def _pieces(text: Column, pattern: Pattern) -> Column:
+    """The text cut at the borders of its matches: gap, match, gap, match, ..., gap.
 
-    The gaps (``split``) and the matches of one pattern alternate, so starts are running sums of their lengths. A
-    pattern must not match the empty string.
+    The engine itself sets the marks as it replaces, so any pattern is cut where it matches, also one that matches the
+    empty string or looks around.
     """
-    p = pattern.java()
-    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hit"))
+    mark = F.coalesce(*[F.when(~text.contains(m), F.lit(m)) for m in MARKS])
+    return F.split(F.regexp_replace(text, F.lit(pattern.java()), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+
+def spans(text: Column, pattern: Pattern) -> Column:
+    """Every non-empty occurrence as array<struct<start, len, matched>>, in code points."""
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        span = F.struct(start.alias("start"), F.length(pair["hit"]).alias("len"), pair["hit"].alias("matched"))
-        more = F.when(F.length(pair["hit"]) > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((start + F.coalesce(F.length(pair["hit"]), F.lit(0))).alias("at"), more.alias("out"))
+    def placed(pieces: Column) -> Column:
+        starts = sums_before(F.transform(pieces, F.length))
+        both = F.arrays_zip(pieces.alias("matched"), starts.alias("start"))
+        hits = F.filter(both, lambda x, i: (i % 2 == 1) & (F.length(x["matched"]) > 0))
+        return F.transform(hits, lambda x: F.struct(x["start"].cast("int").alias("start"), F.length(x["matched"]).alias("len"), x["matched"].alias("matched")))
 
     empty = F.expr("cast(array() as array<struct<start: int, len: int, matched: string>>)")
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(p), found).otherwise(empty)
+    found = let(_pieces(text, pattern), placed)
+    return F.when(text.contains(pattern.text), found).otherwise(empty) if pattern.plain else found
 
 
 def segments(text: Column, pattern: Pattern) -> Column:
     """The text in pieces, array<struct<segment, is_match>>; their concatenation is the text."""
-    p = pattern.java()
-    pairs = F.arrays_zip(F.split(text, p, -1).alias("gap"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hit"))
-    both = F.flatten(
-        F.transform(
-            pairs,
-            lambda x: F.array(
-                F.struct(x["gap"].alias("segment"), F.lit(False).alias("is_match")),
-                F.struct(F.coalesce(x["hit"], F.lit("")).alias("segment"), F.lit(True).alias("is_match")),
-            ),
-        )
-    )
+    both = F.transform(_pieces(text, pattern), lambda x, i: F.struct(x.alias("segment"), (i % 2 == 1).alias("is_match")))
     return F.filter(both, lambda x: F.length(x["segment"]) > 0)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from linescope.plans.ordered import running_sum
 
 
 def hit_histogram(hits: DataFrame, files: DataFrame, buckets: int) -> DataFrame:
@@ -23,13 +26,24 @@ def toggle_fold(log: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.count("*").alias("n"), F.max(ts).alias("last")).where("n % 2 = 1").drop("n")
 
 
-def replay_edits(log: DataFrame, key: str, value: str, ts: str, tie: str) -> DataFrame:
+def replay_edits(log: DataFrame, key: str, value: str, ts: str, tie: str, first: bool = False, width: int = 86_400) -> DataFrame:
     """The table that a log of edits leaves: the last value of each key, keys whose last value is null being deleted.
 
-    ``place`` counts keys from 1 in order of their last edit.
+    ``place`` counts keys from 1 in order of their last put or, with ``first``, of the first put since the key was last
+    deleted; the log's rows are ordered by ``ts`` and ``tie``. ``width`` is in the seconds (or numbers) of ``ts``.
     """
-    last = F.max_by(F.struct(F.col(value).alias("v"), F.col(ts).alias("t"), F.col(tie).alias("e")), F.struct(ts, tie))
-    return log.groupBy(key).agg(last.alias("s")).where("s.v is not null").select(key, F.col("s.v").alias(value), F.col("s.t").alias("ts"), F.col("s.e").alias(tie))
+    at = F.struct(F.col(ts).alias("t"), F.col(tie).alias("e"))
+    last = log.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("v"), at.alias("at")), at).alias("s"), F.max(F.when(F.col(value).isNull(), at)).alias("gone"))
+    kept = last.where("s.v is not null")
+    if first:
+        puts = log.where(F.col(value).isNotNull()).select(key, at.alias("put")).join(kept.select(key, "gone"), key)
+        puts = puts.where(F.col("gone").isNull() | (F.col("put") > F.col("gone"))).groupBy(key).agg(F.min("put").alias("put"))
+        kept = kept.join(puts, key)
+    else:
+        kept = kept.withColumn("put", F.col("s.at"))
+    second = F.col("put.t") if isinstance(log.schema[ts].dataType, NumericType) else F.col("put.t").cast("timestamp")
+    rows = kept.select(key, F.col("s.v").alias(value), F.col("s.at.t").alias("ts"), F.col("s.at.e").alias(tie), second.cast("long").alias("_second"), "put")
+    return running_sum(rows, F.lit(1).cast("long"), "_second", "place", ties=("put",), by=(), width=width).drop("_second", "put")
 
 
 def mru(events: DataFrame, owner: str, item: str, ts: str, k: int, live: DataFrame | None = None) -> DataFrame:

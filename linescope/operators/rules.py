@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +42,10 @@ def compiled(usable: DataFrame) -> tuple[list[Rule], list[str]]:
     good, bad = [], []
     for r in usable.orderBy("rule_pos").collect():
         try:
-            good.append(Rule(r["rule_pos"], Pattern(r["pattern"], r["is_regex"], r["ignore_case"]).check(), r["fg"], r["bg"], r["whole_line"]))
+            pattern = Pattern(r["pattern"], r["is_regex"], r["ignore_case"]).check()
+            if has_groups(pattern):
+                with_groups(pattern)
+            good.append(Rule(r["rule_pos"], pattern, r["fg"], r["bg"], r["whole_line"]))
         except ValueError:
             bad.append(r["pattern"])
     return good, bad
@@ -72,33 +75,48 @@ def _painted_by(r: Rule) -> Column:
     if r.whole_line:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("len"), pos.alias("rule_pos"), fg, bg))
         return F.when(matches(text, r.pattern, None) & (F.length(text) > 0), whole)
-    if r.pattern.regex and (re.compile(r"(?<!\\)\((?!\?[:=!<>])|\(\?<[a-zA-Z]").search(r.pattern.text) or may_be_empty(r.pattern)):
-        found = group_spans(r.pattern)(F.when(matches(text, r.pattern, None), text))
-    else:
-        found = spans(text, r.pattern)
+    found = group_spans(r.pattern)(F.when(matches(text, r.pattern, None), text)) if has_groups(r.pattern) else spans(text, r.pattern)
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), pos.alias("rule_pos"), fg, bg))
 
 
-def may_be_empty(pattern: Pattern) -> bool:
-    """Whether a regular expression can match the empty string, or looks around."""
-    looks = "(?=" in pattern.text or "(?<" in pattern.text or "(?!" in pattern.text
-    found = SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern.java()).matcher("").find()
-    return looks or found
+def has_groups(pattern: Pattern) -> bool:
+    """Whether a regular expression may capture (a parenthesis in a character class counts as one, which does no harm)."""
+    return pattern.regex and bool(regex.search(r"(?<!\\)\((?!\?)|\(\?<[a-zA-Z]", pattern.text))
+
+
+def with_groups(pattern: Pattern) -> regex.Pattern:
+    """A pattern with groups for the ``regex`` module, whose syntax has nearly all of Java's; ValueError if it lacks some.
+
+    Quotations, names of groups and ends of text are written anew; ``\\w`` knows no joiners there.
+    """
+    parts = []
+    for i, part in enumerate(regex.split(r"\\Q(.*?)(?:\\E|$)", pattern.text, flags=regex.DOTALL)):
+        if i % 2:
+            parts.append(regex.escape(part))
+            continue
+        part = regex.sub(r"\(\?<([a-zA-Z]\w*)>", r"(?P<\1>", part)
+        part = regex.sub(r"(?<!\\)((?:\\\\)*)\\k<(\w+)>", r"\1(?P=\2)", part)
+        part = regex.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1(?=\\n?\\z)", part)
+        parts.append(regex.sub(r"(?<!\\)((?:\\\\)*)\\z", r"\1\\Z", part))
+    try:
+        return regex.compile("".join(parts), regex.IGNORECASE if pattern.ignore_case else 0)
+    except regex.error as error:
+        raise ValueError(f"groups of this pattern cannot be found: {pattern.text!r} ({error})") from error
 
 
 def group_spans(pattern: Pattern):
     """An Arrow UDF for patterns with groups: spans of the groups that matched something, else of the whole match."""
-    flags = re.IGNORECASE if pattern.ignore_case else 0
-    source = re.sub(r"\(\?<([a-zA-Z]\w*)>", r"(?P<\1>", pattern.text)
+    compiled = with_groups(pattern)
+    source, flags = compiled.pattern, compiled.flags
 
     @F.pandas_udf("array<struct<start: int, len: int>>")
     def find(texts: pd.Series) -> pd.Series:
-        regex = re.compile(source, flags)
+        found = regex.compile(source, flags)
 
         def one(text):
             out = []
-            for m in regex.finditer(text or ""):
-                groups = [m.span(g) for g in range(1, regex.groups + 1) if m.start(g) >= 0 and m.end(g) > m.start(g)]
+            for m in found.finditer(text or ""):
+                groups = [m.span(g) for g in range(1, found.groups + 1) if m.start(g) >= 0 and m.end(g) > m.start(g)]
                 out += groups or ([m.span()] if m.end() > m.start() else [])
             return [{"start": s, "len": e - s} for s, e in out]
 
@@ -171,15 +189,15 @@ def preset_rules(name: str) -> list[Rule]:
     return _set(*PRESETS[name], ignore_case=name not in ("geojson", "kml"))
 
 
-#: Bundled sets.
+#: Bundled sets. Levels and names count as whole words only.
 PRESETS = {
-    "levels": (r"fatal|critical|panic", r"error|exception|failed", r"warn", r"notice", r"info", r"debug", r"trace|verbose"),
-    "syslog": (r"emerg|alert|crit", r"err", r"warn", r"sshd|sudo|login", r"kernel:"),
-    "access": (r'" 5[0-9]{2} ', r'" 4[0-9]{2} ', r'" 3[0-9]{2} ', r'" 2[0-9]{2} ', r'"(?:GET|POST|PUT|DELETE|HEAD) '),
-    "jsonlog": (r'"level": *"(?:fatal|error)"', r'"level": *"warn', r'"level": *"info"', r'"(?:msg|message)": *"', r'"(?:ts|time|timestamp)":'),
-    "geojson": (r'"type": *"FeatureCollection"', r'"type": *"Feature"', r'"geometry":', r'"coordinates":', r'"properties":', r'"(?:Point|LineString|Polygon)"', r'"bbox":'),
-    "kml": (r"<kml", r"<Document", r"<Folder", r"<Placemark", r"<name>", r"<coordinates>", r"<Style"),
-    "nmea": (r"^\$..GGA,", r"^\$..RMC,", r"^\$..GSA,", r"^\$..GSV,", r"^\$..VTG,"),
+    "levels": (r"\b(?:fatal|critical|panic)\b", r"\b(?:errors?|exception|failed|failure)\b", r"\bwarn(?:ing)?s?\b", r"\bnotice\b", r"\binfo(?:rmation)?\b", r"\bdebug\b", r"\b(?:trace|verbose)\b"),
+    "syslog": (r"\b(?:emerg|alert|crit)\b", r"\b(?:err|error)\b", r"\bwarn(?:ing)?\b", r"\b[a-z][a-z0-9_.-]*\[[0-9]+\]:", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
+    "access": (r'" 5[0-9]{2} ', r'" 4[0-9]{2} ', r'" 3[0-9]{2} ', r'" 2[0-9]{2} ', r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"),
+    "jsonlog": (r'"level": *"(?:fatal|error)"', r'"level": *"warn(?:ing)?"', r'"level": *"info"', r'"(?:msg|message)": *"', r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"),
+    "geojson": (r'"type": *"FeatureCollection"', r'"type": *"Feature"', r'"geometry":', r'"coordinates":', r'"properties":', r'"(?:Multi)?(?:Point|LineString|Polygon)"', r'"bbox":'),
+    "kml": (r"<kml\b", r"<Document\b", r"<Folder\b", r"<Placemark\b", r"<name>", r"<coordinates>", r"<Style\b"),
+    "nmea": (r"^\$[A-Z]{2}GGA,", r"^\$[A-Z]{2}RMC,", r"^\$[A-Z]{2}GSA,", r"^\$[A-Z]{2}GSV,", r"^\$[A-Z]{2}VTG,"),
 }
 
 

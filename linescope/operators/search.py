@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linescope.functions.patterns import Pattern, matches, segments, spans
-from linescope.plans.ordered import carried_last, running_sum
+from linescope.plans.ordered import BYTES, carried_last, running_sum
 
 MAX_HITS = 1_000_000
 
@@ -19,14 +19,14 @@ def search(lines: DataFrame, pattern: Pattern, limit: int | None = None) -> Data
     return lines.where(matches(F.col("text"), pattern.check(), limit))
 
 
-def ordinals(hits: DataFrame) -> DataFrame:
+def ordinals(hits: DataFrame, width: int | None = BYTES) -> DataFrame:
     """``hit_no`` from 1 within a file."""
-    return hits.withColumn("hit_no", F.row_number().over(Window.partitionBy("path").orderBy("byte_off")).cast("long"))
+    return running_sum(hits, F.lit(1).cast("long"), "byte_off", "hit_no", width=width)
 
 
-def cap_hits(hits: DataFrame, max_hits: int = MAX_HITS) -> DataFrame:
+def cap_hits(hits: DataFrame, max_hits: int = MAX_HITS, width: int | None = BYTES) -> DataFrame:
     """The first ``max_hits`` hits of each file."""
-    return ordinals(hits).where(F.col("hit_no") <= max_hits)
+    return ordinals(hits, width).where(F.col("hit_no") <= max_hits)
 
 
 def search_summary(lines: DataFrame, pattern: Pattern, max_hits: int = MAX_HITS) -> DataFrame:
@@ -63,17 +63,17 @@ def _walk(marks: DataFrame, probes: DataFrame, forward: bool, width: int | None)
     return carried_last(both, "mark", "at", "found", ties=("kind",), width=width, forward=not forward).where("probe is not null")
 
 
-def next_mark(marks: DataFrame, probes: DataFrame, width: int | None = None) -> DataFrame:
+def next_mark(marks: DataFrame, probes: DataFrame, width: int | None = BYTES) -> DataFrame:
     """``(path, offset, next_off)``: the first mark or hit strictly after each probe, null if there is none."""
     return _walk(marks, probes, True, width).select("path", F.col("probe").alias("offset"), F.col("found").alias("next_off"))
 
 
-def prev_mark(marks: DataFrame, probes: DataFrame, width: int | None = None) -> DataFrame:
+def prev_mark(marks: DataFrame, probes: DataFrame, width: int | None = BYTES) -> DataFrame:
     """``(path, offset, prev_off)``: the last mark or hit strictly before each probe, null if there is none."""
     return _walk(marks, probes, False, width).select("path", F.col("probe").alias("offset"), F.col("found").alias("prev_off"))
 
 
-def hit_rank(hits: DataFrame, probes: DataFrame, width: int | None = None) -> DataFrame:
+def hit_rank(hits: DataFrame, probes: DataFrame, width: int | None = BYTES) -> DataFrame:
     """``(path, offset, hit_index)``: the index from 0 of the first hit at or after each probe, or the last hit's."""
     values = hits.select("path", F.col("byte_off").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("probe"))
     asked = probes.select("path", F.col("offset").alias("at"), F.lit(0).alias("kind"), F.col("offset").alias("probe"))

@@ -2,7 +2,8 @@
 
 A window by path alone would put a whole file into one task. With a ``width``, rows are ordered within ranges of that
 many bytes (or lines), and what passes from range to range (a last value, a sum) is carried by a second, small window
-over one row per range. Without a width there is one range per path, which suits many small files.
+over one row per range. Operators have a width of their own by default; without one (None) there is one range per path,
+which suits many small files.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes, or lines, of a range by default.
+BYTES, LINES = 64 << 20, 1 << 20
+
 
 def _ranged(df: DataFrame, on: str, width: int | None) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(on) / width) if width else F.lit(0).cast("long"))
@@ -37,7 +41,10 @@ def carried_last(df: DataFrame, value: str, on: str, out: str, ties: tuple = (),
 
 
 def running_sum(df: DataFrame, value: Column, on: str, out: str, ties: tuple = (), by: tuple = ("path",), width: int | None = None) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the rows up to each one, itself included."""
+    """``df`` with ``out``: the sum of ``value`` over the rows up to each one, itself included.
+
+    ``by`` may be empty if there is a width: then rows of all paths are one sequence.
+    """
     rows = _ranged(df, on, width).withColumn("_value", value)
     upto = Window.partitionBy(*by, "_range").orderBy(on, *ties).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn(out, F.sum("_value").over(upto))
@@ -46,5 +53,5 @@ def running_sum(df: DataFrame, value: Column, on: str, out: str, ties: tuple = (
     sums = rows.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
-    joined = rows.join(sums, [*by, "_range"])
+    joined = rows.join(sums, [*by, "_range"])  # of as many rows as there are ranges
     return joined.withColumn(out, F.col(out) + F.col("_carry")).drop("_range", "_value", "_carry")

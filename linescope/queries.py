@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.functions.cells import display_width, tokens
+from linescope.functions.cells import display_width
 from linescope.functions.patterns import Pattern
-from linescope.operators import blocks, marks, position, rules, search
+from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
 from linescope.sources import lines as L
-from linescope.sources.encoding import newline_style
+from linescope.sources.encoding import detect_newline, newline_style, profile_files
+from linescope.sources.shared import fresh_folder
+from linescope.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,7 +219,7 @@ def clamp_text(spark, sf_dir):
     return position.clamp_text(documents(spark, sf_dir), max_chars=40).select("path", "line_no", "shown", "is_clamped")
 
 
-@register("sample_lines")
+@register("sample_lines", "SELECT * FROM lines ORDER BY md5(concat_ws(':', path, line_no, '42')), path, line_no LIMIT 1000")
 def sample_lines(spark, sf_dir):
     return position.sample_lines(documents(spark, sf_dir))
 
@@ -336,14 +338,11 @@ blocks AS (SELECT path, block_id, MIN(s) AS start_line, MAX(e) AS end_line, MAX(
   list(line_no ORDER BY line_no) AS hit_list FROM numbered GROUP BY 1, 2)"""
 
 
-def _blocks(spark, sf_dir, pattern: Pattern, n: int) -> DataFrame:
-    return blocks.context_blocks(search.search(documents(spark, sf_dir), pattern), files(spark, sf_dir), n)
-
-
 def _register_blocks(n: int) -> None:
     @register(f"context_blocks_n{n}", "SELECT path, block_id, start_line, end_line, line_count, n_hits, array_to_string(hit_list, ',') AS hit_lines FROM blocks", (LINES, FILES, HITS_EITHER, blocks_sql(n)))
     def query(spark, sf_dir):
-        found = _blocks(spark, sf_dir, EITHER, n)
+        hits = search.search(documents(spark, sf_dir), EITHER)
+        found = blocks.context_blocks(hits, files(spark, sf_dir), n, hit_list=True)
         return found.withColumn("hit_lines", F.array_join(F.transform("hit_lines", lambda x: x.cast("string")), ","))
 
 
@@ -359,9 +358,16 @@ result_rows AS (SELECT p.path, CAST(row0 + l.line_no - start_line AS BIGINT) AS
 LICENSE_ROWS = (LINES, FILES, HITS_LICENSE, blocks_sql(1), ROWS)
 
 
+@register("block_hits", "SELECT path, block_id, line_no FROM numbered", (LINES, FILES, HITS_EITHER, blocks_sql(2)))
+def block_hits(spark, sf_dir):
+    return blocks.block_hits(search.search(documents(spark, sf_dir), EITHER), files(spark, sf_dir), 2).select("path", "block_id", "line_no")
+
+
 @register("block_rows", "SELECT * FROM result_rows", LICENSE_ROWS)
 def block_rows(spark, sf_dir):
-    return blocks.block_rows(_blocks(spark, sf_dir, LICENSE, 1), documents(spark, sf_dir))
+    lines = documents(spark, sf_dir)
+    hits = search.search(lines, LICENSE)
+    return blocks.block_rows(blocks.context_blocks(hits, files(spark, sf_dir), 1), lines, hits)
 
 
 @register("hit_rows", "SELECT path, row_number() OVER w - 1 AS row_no, 'hit' AS kind, line_no, row_number() OVER w AS hit_no, text FROM hits WINDOW w AS (PARTITION BY path ORDER BY line_no)", (LINES, HITS_LICENSE))
@@ -473,12 +479,38 @@ def painted_spans(spark, sf_dir):
     return rules.painted_spans(documents(spark, sf_dir), RULES).select("path", "line_no", "start", "len", "fg", "bg")
 
 
-@register("overlay_search")
+OVERLAID = (
+    one_rule_sql(9, "on", 0, 0xFFABCDEF),
+    "all_spans AS (SELECT * FROM raw_spans UNION ALL SELECT path, line_no, start, len, -1, fg, bg FROM r9)",
+    PAINTED.replace("raw_spans", "all_spans"),
+)
+
+
+@register("overlay_search", "SELECT path, line_no, MIN(a) AS start, CAST(MAX(z) - MIN(a) AS INTEGER) AS len, fg, bg FROM runs GROUP BY path, line_no, run, fg, bg", (LINES, *RAW_SPANS, *OVERLAID))
 def overlay_search(spark, sf_dir):
     return rules.overlay_search(documents(spark, sf_dir), RULES, Pattern("on"), 0xFFABCDEF).select("path", "line_no", "start", "len", "fg", "bg")
 
 
-@register("capture_spans")
+def matches_sql(name: str, pattern: str) -> str:
+    """CTEs with ``name`` (path, line_no, start, m) of the matches of a pattern."""
+    return f"""{name}g AS (SELECT path, line_no, regexp_extract_all(text, '{pattern}') AS hs, regexp_split_to_array(text, '{pattern}') AS gs FROM lines WHERE regexp_matches(text, '{pattern}')),
+{name}e AS (SELECT path, line_no, unnest(hs) AS m, unnest(gs[1:len(hs)]) AS gap, unnest(range(len(hs))) AS i FROM {name}g),
+{name} AS (SELECT path, line_no, CAST(SUM(length(gap) + length(m)) OVER (PARTITION BY path, line_no ORDER BY i) - length(m) AS INTEGER) AS start, m FROM {name}e)"""
+
+
+@register(
+    "capture_spans",
+    f"""SELECT path, line_no, start, 5 AS len, 0 AS rule_pos, {0xFFFF0000}::BIGINT AS fg, NULL::BIGINT AS bg FROM keys
+UNION ALL SELECT path, line_no, start + 9, CAST(length(m) - 10 AS INTEGER), 0, {0xFFFF0000}, NULL FROM keys
+UNION ALL SELECT path, line_no, start, CAST(length(a) AS INTEGER), 1, NULL, {0xFF00FF00} FROM halves
+UNION ALL SELECT path, line_no, CAST(start + length(a) + 1 AS INTEGER), CAST(length(b) AS INTEGER), 1, NULL, {0xFF00FF00} FROM halves""",
+    (
+        LINES,
+        matches_sql("keys", 'token = "[0-9a-f]+"'),
+        matches_sql("quads", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+        r"halves AS (SELECT *, split_part(m, '.', 1) AS a, split_part(m, '.', 2) AS b FROM quads)",
+    ),
+)
 def capture_spans(spark, sf_dir):
     own = [Rule(0, Pattern(r'(token) = "([0-9a-f]+)"', regex=True), fg=0xFFFF0000), Rule(1, Pattern(r"(\d+)\.(\d+)\.\d+\.\d+", regex=True), bg=0xFF00FF00)]
     return rules.rule_spans(documents(spark, sf_dir), own).select("path", "line_no", "start", "len", "rule_pos", "fg", "bg")
@@ -507,16 +539,23 @@ def preset_counts(spark, sf_dir):
     return out
 
 
-@register("import_sets")
+@register(
+    "import_sets",
+    """SELECT set_id, p_brand AS set_name, CAST(row_number() OVER (PARTITION BY set_id ORDER BY p_partkey) - 1 AS INTEGER) AS rule_pos, p_name AS pattern, p_size > 25 AS is_regex,
+  true AS ignore_case, '#FF0000' AS fg, NULL::VARCHAR AS bg, false AS whole_line, p_size % 2 = 0 AS enabled, false AS read_only
+  FROM (SELECT *, p_brand || '/' || (p_partkey // 100) AS set_id FROM part) WHERE p_brand NOT LIKE '%1'""",
+    (),
+)
 def import_sets(spark, sf_dir):
-    """Rule sets by region, their nations' names as rules, exported to JSON and imported again."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    own = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("r_regionkey").cast("string").alias("set_id"), F.col("r_name").alias("set_name"), F.col("n_nationkey").alias("rule_pos"), F.col("n_name").alias("pattern"), F.lit(False).alias("is_regex"),
-        F.lit(True).alias("ignore_case"), F.lit("#FF0000").alias("fg"), F.lit(None).cast("string").alias("bg"), F.lit(False).alias("whole_line"), F.lit(True).alias("enabled"),
+    """Rule sets of a hundred parts by brand, exported to JSON and imported again where some are known already."""
+    part, key, size = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None).cast("string")
+    own = part.select(
+        F.concat("p_brand", F.lit("/"), F.floor(key / 100).cast("string")).alias("set_id"), F.col("p_brand").alias("set_name"), key.alias("rule_pos"), F.col("p_name").alias("pattern"),
+        (size > 25).alias("is_regex"), F.lit(True).alias("ignore_case"), F.lit("#FF0000").alias("fg"), none.alias("bg"), F.lit(False).alias("whole_line"), (size % 2 == 0).alias("enabled"),
     )
-    sets = rules.export_rule_sets(own).select(F.col("set_id").cast("int").alias("pos"), F.concat(F.lit("["), F.col("json"), F.lit("]")).alias("json"))
-    return rules.import_rule_sets(sets, region.where("r_name = 'ASIA'").select(F.col("r_regionkey").cast("string").alias("set_id")))
+    sets = rules.export_rule_sets(own).select(F.lit(0).alias("pos"), F.concat(F.lit("["), F.col("json"), F.lit("]")).alias("json"))
+    return rules.import_rule_sets(sets, own.where("set_name like '%1'").select("set_id").distinct())
 
 
 # --- marks and histories ---------------------------------------------------------------------------------------------
@@ -543,15 +582,26 @@ def next_mark(spark, sf_dir):
     return search.next_mark(search.search(documents(spark, sf_dir), LICENSE), half(spark, sf_dir))
 
 
-@register(
-    "replay_edits",
-    """SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS turn FROM events)
-  WHERE turn = 1 AND event_type <> 'error'""",
-    (),
-)
+LAST_EDITS = """last AS (SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS turn FROM events)
+  WHERE turn = 1 AND event_type <> 'error')"""
+FIRST_PUTS = """gone AS (SELECT user_id, MAX({'t': ts, 'e': event_id}) FILTER (event_type = 'error') AS g FROM events GROUP BY 1),
+firsts AS (SELECT user_id, MIN({'t': ts, 'e': event_id}) AS put FROM events JOIN gone USING (user_id)
+  WHERE event_type <> 'error' AND (g IS NULL OR {'t': ts, 'e': event_id} > g) GROUP BY 1)"""
+
+
+def edits(spark, sf_dir) -> DataFrame:
+    """Events as edits of their user's row: an error deletes it."""
+    return table(spark, sf_dir, "events").withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
+
+
+@register("replay_edits", "SELECT *, row_number() OVER (ORDER BY ts, event_id) AS place FROM last", (LAST_EDITS,))
 def replay_edits(spark, sf_dir):
-    log = table(spark, sf_dir, "events").withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
-    return marks.replay_edits(log, "user_id", "event_type", "ts", "event_id")
+    return marks.replay_edits(edits(spark, sf_dir), "user_id", "event_type", "ts", "event_id")
+
+
+@register("replay_edits_first", "SELECT last.*, row_number() OVER (ORDER BY put) AS place FROM last JOIN firsts USING (user_id)", (LAST_EDITS, FIRST_PUTS))
+def replay_edits_first(spark, sf_dir):
+    return marks.replay_edits(edits(spark, sf_dir), "user_id", "event_type", "ts", "event_id", first=True)
 
 
 @register(
@@ -582,9 +632,7 @@ def latest_state(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir, mode: str) -> DataFrame:
-    span = F.explode(tokens(F.col("text"), mode)).alias("t")
-    found = documents(spark, sf_dir).select("path", "line_no", span)
-    return found.select("path", "line_no", F.col("t.start").alias("start"), (F.col("t.start") + F.col("t.len")).alias("end"), F.col("t.matched").alias("token"))
+    return tokens.tokens(documents(spark, sf_dir), mode).select("path", "line_no", "start", "end", "token")
 
 
 TOKEN_ROWS = 'SELECT path, line_no, start, start + len AS "end", matched AS token FROM spans'
@@ -603,22 +651,111 @@ def tokens_narrow(spark, sf_dir):
 
 @register("token_topk", "SELECT matched AS token, COUNT(*) AS n FROM spans GROUP BY 1 ORDER BY n DESC, token LIMIT 50", (LINES, *WIDE))
 def token_topk(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?dU)\S+"), F.lit(0))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+    return tokens.token_counts(documents(spark, sf_dir)).orderBy(F.desc("n"), "token").limit(50)
 
 
 @register(
     "token_at",
-    "SELECT l.path, l.line_no, s.matched AS token FROM lines l LEFT JOIN spans s ON s.path = l.path AND s.line_no = l.line_no AND 10 >= s.start AND 10 < s.start + s.len",
-    (LINES, *NARROW),
+    """SELECT p.path, p.line_no, p.index, s.start, s.matched AS token FROM probes p
+  LEFT JOIN spans s ON s.path = p.path AND s.line_no = p.line_no AND p.index >= s.start AND p.index < s.start + s.len""",
+    (LINES, *NARROW, "probes AS (SELECT path, line_no, unnest([10, CAST(length(text) // 2 AS INTEGER)]) AS index FROM lines)"),
 )
 def token_at(spark, sf_dir):
-    """The narrow token over the eleventh character of each line."""
-    over = F.filter(tokens(F.col("text"), "narrow"), lambda t: (t["start"] <= 10) & (t["start"] + t["len"] > 10))
-    return documents(spark, sf_dir).select("path", "line_no", F.get(over, F.lit(0))["matched"].alias("token"))
+    """The narrow tokens over the eleventh and over the middle character of each line."""
+    lines = documents(spark, sf_dir)
+    places = F.array(F.lit(10), F.floor(F.length("text") / 2).cast("int"))
+    return tokens.token_at(lines, lines.select("path", "line_no", F.explode(places).alias("index")), "narrow").select("path", "line_no", "index", "start", "token")
 
 
 @register("display_width", "SELECT path, CAST(MAX(length(text)) AS INTEGER) AS widest, CAST(SUM(length(text)) AS BIGINT) AS cells FROM lines GROUP BY 1")
 def display_widths(spark, sf_dir):
     cells = display_width(F.col("text"))
     return documents(spark, sf_dir).select("path", cells.alias("c")).groupBy("path").agg(F.max("c").alias("widest"), F.sum("c").alias("cells"))
+
+
+# --- files and streams -----------------------------------------------------------------------------------------------
+
+#: Documents as text files, a thousand of them in one by their ids.
+FILE_LINES = """fsrc AS (SELECT doc_id // 1000 AS path, doc_id, string_split(COALESCE(text, ''), chr(10)) AS s FROM documents),
+fraw AS (SELECT path, doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM fsrc),
+flines AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY doc_id, i) - 1 AS line_no,
+  CAST(COALESCE(SUM(strlen(line) + 1) OVER (PARTITION BY path ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_off,
+  CAST(strlen(line) AS INTEGER) AS n_bytes, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END AS text FROM fraw)"""
+
+
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder with the documents as text files."""
+    where = fresh_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"), F.floor(F.col("doc_id") / 1000).alias("bucket"))
+    docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("value", "bucket").write.partitionBy("bucket").text(where)
+    return where
+
+
+def by_bucket(df: DataFrame) -> DataFrame:
+    """The number of a file as its path."""
+    return df.withColumn("path", F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long"))
+
+
+def raw_lines(spark: SparkSession, where: str) -> DataFrame:
+    return L.read_lines(spark, f"{where}/bucket=*")
+
+
+@register("file_lines", "SELECT path, text FROM flines", (FILE_LINES,))
+def file_lines(spark, sf_dir):
+    return by_bucket(raw_lines(spark, written(spark, sf_dir))).select("path", "text")
+
+
+@register("file_numbers", "SELECT * FROM flines", (FILE_LINES,))
+def file_numbers(spark, sf_dir):
+    return by_bucket(L.number_lines(raw_lines(spark, written(spark, sf_dir))))
+
+
+@register("file_decoded", "SELECT path, COUNT(*) AS n, CAST(SUM(strlen(text)) AS BIGINT) AS chars FROM flines GROUP BY 1", (FILE_LINES,))
+def file_decoded(spark, sf_dir):
+    """Read as Latin-1, a text has as many characters as bytes."""
+    decoded = by_bucket(L.decode_lines(raw_lines(spark, written(spark, sf_dir)), "ISO-8859-1"))
+    return decoded.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("file_profiles", "SELECT path, CAST(SUM(n_bytes + 1) AS BIGINT) AS size, 0 AS bom_len, false AS has_bom, 'UTF-8' AS encoding, 'Lf' AS newline FROM flines GROUP BY 1", (FILE_LINES,))
+def file_profiles(spark, sf_dir):
+    return by_bucket(profile_files(spark, f"{written(spark, sf_dir)}/bucket=*"))
+
+
+@register("file_newlines", "SELECT DISTINCT path, 'Lf' AS newline FROM flines", (FILE_LINES,))
+def file_newlines(spark, sf_dir):
+    return by_bucket(detect_newline(spark, f"{written(spark, sf_dir)}/bucket=*"))
+
+
+@register("lines_table", "SELECT * FROM lines")
+def lines_table(spark, sf_dir):
+    where = fresh_folder(spark, "lines")
+    L.save_lines_table(documents(spark, sf_dir), where)
+    return L.open_lines_table(spark, where)
+
+
+def streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows that a stream has for now, by way of a table."""
+    where = fresh_folder(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/progress").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return by_bucket(spark.read.schema(stream.schema).parquet(f"{where}/rows"))
+
+
+@register("tail_lines", "SELECT path, byte_off, text FROM flines", (FILE_LINES,))
+def tail_lines(spark, sf_dir):
+    return streamed(spark, tail.tail_lines(spark, f"{written(spark, sf_dir)}/bucket=*/part-*"))
+
+
+@register("tail_numbered", "SELECT path, line_no, byte_off, text FROM flines", (FILE_LINES,))
+def tail_numbered(spark, sf_dir):
+    return streamed(spark, tail.tail_numbered(tail.tail_lines(spark, f"{written(spark, sf_dir)}/bucket=*/part-*")))
+
+
+@register("tail_search", "SELECT path, byte_off, 'the' AS filter_name FROM flines WHERE contains(text, 'the') UNION ALL SELECT path, byte_off, 'license' FROM flines WHERE regexp_matches(text, 'license', 'i')", (FILE_LINES,))
+def tail_search(spark, sf_dir):
+    stream = tail.tail_lines(spark, f"{written(spark, sf_dir)}/bucket=*/part-*")
+    return streamed(spark, tail.tail_search(stream, {"the": THE, "license": LICENSE}).select("path", "byte_off", "filter_name"))

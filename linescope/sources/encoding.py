@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import quote
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,22 +17,33 @@ SAMPLE, NEWLINE_SAMPLE = 262_144, 65_536
 BOMS = ((b"\xff\xfe\x00\x00", "UTF-32LE"), (b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
 
 
-def _pairs(head: bytes, single, lead, trail) -> tuple[int, int]:
-    """(invalid bytes, valid pairs) under a double-byte encoding; a pair cut at the end is neither."""
+def _sjis(c: int, d: int, _: int) -> int:
+    """Bytes of the Shift_JIS character that begins with these bytes, 0 if none does."""
+    if c < 0x80 or 0xA1 <= c <= 0xDF:
+        return 1
+    return 2 * ((0x81 <= c <= 0x9F or 0xE0 <= c <= 0xFC) and 0x40 <= d <= 0xFC and d != 0x7F)
+
+
+def _euc(c: int, d: int, e: int) -> int:
+    """The same for EUC-JP: half-width kana take two bytes, JIS X 0212 takes three."""
+    if c < 0x80:
+        return 1
+    if c == 0x8E:
+        return 2 * (0xA1 <= d <= 0xDF)
+    if c == 0x8F:
+        return 3 * (0xA1 <= d <= 0xFE and 0xA1 <= e <= 0xFE)
+    return 2 * (0xA1 <= c <= 0xFE and 0xA1 <= d <= 0xFE)
+
+
+def _scored(head: bytes, size: Callable[[int, int, int], int]) -> tuple[int, int]:
+    """(invalid bytes, characters of several bytes) under an encoding; what the end may have cut is neither."""
     bad = good = i = 0
+    padded = head + b"\0\0"
     while i < len(head):
-        c = head[i]
-        if single(c):
-            i += 1
-        elif lead(c):
-            if i + 1 == len(head):
-                break
-            if trail(head[i + 1]):
-                good, i = good + 1, i + 2
-            else:
-                bad, i = bad + 1, i + 1
-        else:
-            bad, i = bad + 1, i + 1
+        n = size(padded[i], padded[i + 1], padded[i + 2])
+        if n == 0 and i + 3 > len(head) and (size(padded[i], 0xA1, 0xA1) > len(head) - i):
+            break
+        bad, good, i = bad + (n == 0), good + (n > 1), i + max(n, 1)
     return bad, good
 
 
@@ -42,8 +58,7 @@ def detect(head: bytes) -> tuple[str, int]:
     except UnicodeDecodeError as error:
         if error.reason == "unexpected end of data" and len(head) - error.start < 4:
             return "UTF-8", 0
-    sjis = _pairs(head, lambda c: c < 0x80 or 0xA1 <= c <= 0xDF, lambda c: 0x81 <= c <= 0x9F or 0xE0 <= c <= 0xFC, lambda c: 0x40 <= c <= 0xFC and c != 0x7F)
-    euc = _pairs(head, lambda c: c < 0x80, lambda c: c == 0x8E or 0xA1 <= c <= 0xFE, lambda c: 0xA1 <= c <= 0xFE)
+    sjis, euc = _scored(head, _sjis), _scored(head, _euc)
     return ("EUC-JP", 0) if (euc[0], -euc[1]) < (sjis[0], -sjis[1]) else ("Shift_JIS", 0)
 
 
@@ -59,9 +74,27 @@ def newline_style(head: Column) -> Column:
 
 
 def heads(spark: SparkSession, paths: str | list[str], sample: int = SAMPLE) -> DataFrame:
-    """``(path, size, head)``: the first bytes of each file."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("size"), F.substring("content", 1, sample).alias("head"))
+    """``(path, size, head)``: the first bytes of each file, of which no more is read.
+
+    Spark lists the files; tasks open them with ``pyarrow.fs``, which knows local, Hadoop and object stores by their URI.
+    """
+
+    def read(batches):
+        for b in batches:
+            found = [_head(path, sample) for path in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=["path", "size", "head"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"))
+    return files.mapInArrow(read, "path string, size long, head binary")
+
+
+def _head(path: str, sample: int) -> bytes:
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        store, name = fs.FileSystem.from_uri(quote(path, safe=":/@?&="))
+    with store.open_input_file(name) as file:
+        return file.read(sample)
 
 
 def profile_files(spark: SparkSession, paths: str | list[str], sample: int = SAMPLE) -> DataFrame:

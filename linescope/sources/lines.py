@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CR_AT_END = r"\r\z"
+from linescope.functions.arrays import sums_before
+
+#: Files up to which the sums of their blocks are broadcast.
+FEW_FILES = 100_000
 
 
 def without_cr(raw: Column) -> Column:
-    return F.regexp_replace(raw, CR_AT_END, "")
+    return F.when(raw.endswith("\r"), raw.substr(F.lit(1), F.length(raw) - 1)).otherwise(raw)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None = None) -> DataFrame:
@@ -51,82 +52,66 @@ def number_lines(raw_lines: DataFrame, boms: DataFrame | None = None) -> DataFra
     """``lines`` with exact numbers and byte offsets, in two passes that shuffle no text.
 
     The first pass sums up bytes and lines of each block and adds the sums up along the files. The second numbers lines
-    within their block as they are read, in order, and adds the block's base; bases are one row per block, about as many
-    as the scan has tasks, and are broadcast. Call it on ``read_lines`` itself, whose rows are still in file order.
+    within their block as they are read, in order, and adds the block's base. Bases are one row per block, about as many
+    as the scan has tasks; they are broadcast if there are at most ``FEW_FILES`` files, else Spark chooses the join. Call
+    it on ``read_lines`` itself: rows that are missing or out of their order make it fail.
     ``boms`` (path, bom_len) shifts offsets by a byte order mark that the reader has dropped.
     """
+    ident = F.xxhash64("path", "block").alias("ident")
     blocks = raw_lines.groupBy("path", "block").agg(F.sum(F.octet_length("raw").cast("long") + 1).alias("bytes"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    bases = blocks.select("path", "block", F.coalesce(F.sum("bytes").over(before), zero).alias("b0"), F.coalesce(F.sum("n").over(before), zero).alias("n0"))
+    bases = blocks.select("path", ident, F.coalesce(F.sum("bytes").over(before), zero).alias("b0"), F.coalesce(F.sum("n").over(before), zero).alias("n0"))
     if boms is not None:
         bases = bases.join(boms.select("path", "bom_len"), "path", "left").withColumn("b0", F.col("b0") + F.coalesce("bom_len", F.lit(0))).drop("bom_len")
-    size = F.octet_length("raw").alias("n_bytes")
-    rows = raw_lines.select("path", "block", size, "text").mapInArrow(_numbered, "path string, block long, k long, at long, n_bytes int, text string")
-    return rows.join(F.broadcast(bases), ["path", "block"]).select(
+    if len(raw_lines.inputFiles()) <= FEW_FILES:
+        bases = F.broadcast(bases)
+    rows = raw_lines.select(ident, "seq", F.octet_length("raw").alias("n_bytes"), "text")
+    rows = rows.mapInArrow(_numbered, "ident long, k long, at long, n_bytes int, text string")
+    return rows.join(bases, "ident").select(
         "path", (F.col("n0") + F.col("k")).alias("line_no"), (F.col("b0") + F.col("at")).alias("byte_off"), "n_bytes", "text"
     )
 
 
 def _numbered(batches):
     """Number and offset of each line within its block; a block's lines come one after another."""
-    last, lines, total = None, 0, 0
+    last, seq, lines, total = None, None, 0, 0
     for b in batches:
         if not b.num_rows:
             continue
-        path, block, sizes = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64) + 1
-        which = path.dictionary_encode().indices.to_numpy()
-        first = np.append(True, (block[1:] != block[:-1]) | (which[1:] != which[:-1]))
+        block, order = b.column(0).to_numpy(), b.column(1).to_numpy()
+        sizes = b.column(2).to_numpy().astype(np.int64) + 1
+        if (np.diff(order) != 1).any() or (seq is not None and order[0] != seq + 1):
+            raise ValueError("number_lines needs all lines as read_lines gives them, none dropped or moved")
+        first = np.append(True, block[1:] != block[:-1])
         starts = np.flatnonzero(first)
         owner = np.cumsum(first) - 1
         before = np.cumsum(sizes) - sizes
         k, at = np.arange(len(sizes)) - starts[owner], before - before[starts[owner]]
-        if last == (path[0].as_py(), int(block[0])):  # the batch goes on with a block
+        if last == block[0]:  # the batch goes on with a block
             end = starts[1] if len(starts) > 1 else len(sizes)
             k[:end] += lines
             at[:end] += total
-        last, lines, total = (path[-1].as_py(), int(block[-1])), int(k[-1]) + 1, int(at[-1] + sizes[-1])
-        yield pa.RecordBatch.from_arrays([path, b.column(1), pa.array(k), pa.array(at), b.column(2), b.column(3)], names=["path", "block", "k", "at", "n_bytes", "text"])
+        last, seq, lines, total = block[-1], int(order[-1]), int(k[-1]) + 1, int(at[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k), pa.array(at), b.column(2), b.column(3)], names=["ident", "k", "at", "n_bytes", "text"])
 
 
 def lines_from_column(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """``lines`` of a text column, one value being one file: (key..., line_no, byte_off, n_bytes, text).
 
-    A value's lines stay where it is: an Arrow batch is split and its offsets summed up as vectors, so nothing is
-    shuffled. Null and empty values have no lines.
+    A value's lines stay where it is: offsets are sums over the array of its lines, and nothing is shuffled. Null and
+    empty values have no lines.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    fields = [df.schema[k] for k in keys]
-    names = [*keys, "line_no", "byte_off", "n_bytes", "raw"]
-
-    def split(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                if part.num_rows:
-                    yield _split(part, len(keys), names)
-
-    schema = T.StructType(fields + [T.StructField("line_no", T.LongType()), T.StructField("byte_off", T.LongType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("raw", T.StringType())])
-    found = df.select(*keys, text).mapInArrow(split, schema)
-    return found.select(*keys, "line_no", "byte_off", "n_bytes", without_cr(F.col("raw")).alias("text"))
-
-
-def _split(part: pa.RecordBatch, at: int, names: list[str]) -> pa.RecordBatch:
-    parts = pc.split_pattern(pc.fill_null(part.column(at).cast(pa.large_string()), ""), "\n")
-    bounds = np.asarray(parts.offsets).astype(np.int64)
-    raw = parts.flatten()
-    bounds -= bounds[0]
-    counts = np.diff(bounds)
-    sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(part.num_rows), counts)
-    line_no = np.arange(len(sizes)) - bounds[owner]
-    ends = np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
-    offsets = starts - starts[bounds[owner]] if len(sizes) else starts
-    keep = pa.array(~((line_no == counts[owner] - 1) & (sizes == 0)))
-    columns = [part.column(i).take(pa.array(owner)) for i in range(at)]
-    columns += [pa.array(line_no), pa.array(offsets), pa.array(sizes.astype(np.int32)), raw.cast(pa.string())]
-    return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=names)
+    cut = df.where(F.length(text) > 0).select(*keys, F.split(F.col(text), "\n", -1).alias("_lines"))
+    # a last line feed opens no further line
+    last = F.size("_lines") - (F.element_at("_lines", -1) == "").cast("int")
+    cut = cut.select(*keys, F.slice("_lines", F.lit(1), last).alias("_lines"))
+    offsets = sums_before(F.transform("_lines", lambda x: F.octet_length(x).cast("bigint") + 1))
+    both = F.arrays_zip(F.col("_lines").alias("raw"), offsets.alias("byte_off"))
+    rows = cut.select(*keys, F.posexplode(both).alias("line_no", "_line"))
+    raw = F.col("_line.raw")
+    return rows.select(*keys, F.col("line_no").cast("long").alias("line_no"), F.col("_line.byte_off").alias("byte_off"), F.octet_length(raw).alias("n_bytes"), without_cr(raw).alias("text"))
 
 
 def file_stats(lines: DataFrame, by: str | list[str] = "path") -> DataFrame:

@@ -7,9 +7,11 @@ what follows the last line feed waits until it is terminated.
 
 from __future__ import annotations
 
-import glob
-import os
+import posixpath
+from fnmatch import fnmatchcase
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -17,8 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from linescope.functions.patterns import Pattern
 from linescope.operators.search import search, search_many
 
-#: Bytes of a range that one task reads, cut at a line feed.
-RANGE = 64 << 20
+#: Bytes of a range that one task reads, cut at a line feed; of a file that a batch takes up; and of one read.
+RANGE, PER_BATCH, BLOCK = 64 << 20, 64 << 20, 1 << 20
 
 
 class Range(InputPartition):
@@ -26,11 +28,18 @@ class Range(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that holds a path or URI, and the path in it."""
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 def terminated_size(path: str, known: int) -> int:
     """Bytes up to the last line feed, at least ``known``."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as file:
-        at = size
+    store, name = store_of(path)
+    with store.open_input_file(name) as file:
+        at = file.size()
         while at > known:
             begin = max(known, at - (1 << 16))
             file.seek(begin)
@@ -41,42 +50,80 @@ def terminated_size(path: str, known: int) -> int:
     return known
 
 
+def next_line(path: str, at: int, end: int) -> int:
+    """The first line start from ``at`` on, at most ``end``."""
+    store, name = store_of(path)
+    with store.open_input_file(name) as file:
+        file.seek(at)
+        while at < end and (block := file.read(BLOCK)):
+            found = block.find(b"\n")
+            if found >= 0:
+                return min(end, at + found + 1)
+            at += len(block)
+    return end
+
+
 class TailReader(DataSourceStreamReader):
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    """``per_batch`` bounds what a batch takes of a file (to the end of a line); the first one after a restart takes all."""
+
+    def __init__(self, pattern: str, per_batch: int = PER_BATCH):
+        self.pattern, self.per_batch, self.last = pattern, per_batch, None
+
+    def files(self) -> list[str]:
+        folder, name = posixpath.split(self.pattern)
+        while any(c in folder for c in "*?["):  # a wildcard in a folder's name: all below it are listed
+            folder, above = posixpath.split(folder)
+            name = posixpath.join(above, name)
+        store, where = store_of(folder or ".")
+        found = store.get_file_info(fs.FileSelector(where, allow_not_found=True, recursive="/" in name))
+        names = [f.path[len(where) :].lstrip("/") for f in found if f.type == fs.FileType.File]
+        return sorted(posixpath.join(folder, n) for n in names if fnmatchcase(n, name))
 
     def initialOffset(self) -> dict:
+        self.last = {}
         return {}
 
     def latestOffset(self) -> dict:
-        last = getattr(self, "last", {})
-        self.last = {**last, **{p: terminated_size(p, last.get(p, 0)) for p in sorted(glob.glob(self.pattern)) if os.path.isfile(p)}}
-        return self.last
+        last, out = self.last or {}, dict(self.last or {})
+        for path in self.files():
+            known = last.get(path, 0)
+            end = terminated_size(path, known)
+            if self.last is not None and end > known + self.per_batch:
+                end = next_line(path, known + self.per_batch, end)
+            out[path] = end
+        self.last = out
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        self.last = {**getattr(self, "last", {}), **end}
+        self.last = {**(self.last or {}), **end}
         out = []
         for path, stop in end.items():
             begin = start.get(path, 0)
             while begin < stop:
-                cut = stop
-                if stop - begin > RANGE:
-                    with open(path, "rb") as file:
-                        file.seek(begin + RANGE)
-                        cut = min(stop, begin + RANGE + len(file.readline()))
+                cut = next_line(path, begin + RANGE, stop) if stop - begin > RANGE else stop
                 out.append(Range(path, begin, cut))
                 begin = cut
         return out
 
     def read(self, partition: Range):
-        at = partition.begin
-        with open(partition.path, "rb") as file:
+        """Batches of about ``BLOCK`` bytes of lines. A file that has become shorter than planned ends where it ends."""
+        store, name = store_of(partition.path)
+        with store.open_input_file(name) as file:
+            at, left = partition.begin, b""
             file.seek(at)
-            while at < partition.end:
-                raw = file.readline()
-                body = raw[:-1]
-                yield partition.path, at, body.removesuffix(b"\r").decode("utf-8", "replace")
-                at += len(raw)
+            while (position := at + len(left)) < partition.end:
+                block = file.read(min(BLOCK, partition.end - position))
+                if not block:
+                    break
+                *lines, left = (left + block).split(b"\n")
+                if not lines:
+                    continue
+                offsets = []
+                for line in lines:
+                    offsets.append(at)
+                    at += len(line) + 1
+                texts = [line.removesuffix(b"\r").decode("utf-8", "replace") for line in lines]
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(lines)), pa.array(offsets, pa.int64()), pa.array(texts, pa.string())], names=["path", "byte_off", "text"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -91,20 +138,24 @@ class TailSource(DataSource):
         return "path string, byte_off bigint, text string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"])
+        return TailReader(self.options["path"], int(self.options.get("perBatch", PER_BATCH)))
 
 
-def tail_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """A stream of (path, byte_off, text) of the files of a glob pattern, from their beginning on.
+def tail_lines(spark: SparkSession, pattern: str, per_batch: int = PER_BATCH) -> DataFrame:
+    """A stream of (path, byte_off, text) of the files that match a pattern in a folder, from their beginning on.
 
-    The files lie in a folder that the driver and all executors see.
+    The folder is one that the driver and all executors see: a path, or a URI that ``pyarrow.fs`` knows. ``per_batch``
+    bounds the bytes of a file in a batch.
     """
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("linescope_tail").option("path", pattern).load()
+    return spark.readStream.format("linescope_tail").option("path", pattern).option("perBatch", per_batch).load()
 
 
 def tail_numbered(stream: DataFrame) -> DataFrame:
-    """The stream with ``line_no``, which runs on over batches and restarts: the state is the next number of a file."""
+    """The stream with ``line_no``, which runs on over batches and restarts: the state is the next number of a file.
+
+    A batch's lines of one file are sorted in one task; the source bounds them.
+    """
 
     def number(key, batches, state):
         import pandas as pd
@@ -123,14 +174,20 @@ def tail_search(stream: DataFrame, filters: dict[str, Pattern] | Pattern) -> Dat
     return search(stream, filters) if isinstance(filters, Pattern) else search_many(stream, filters)
 
 
-def replay_stream(stream: DataFrame, key: str, ts: str, table: str, checkpoint: str):
-    """Keep ``table`` (a Parquet folder of versions) at the latest row of each key: fold each batch into it."""
+def replay_stream(stream: DataFrame, key: str, ts: str, table: str, checkpoint: str, value: str | None = None):
+    """Keep ``table`` at the latest row of each key: fold each batch into it; a row with a null ``value`` deletes its key.
+
+    ``table`` is a folder of versions, one for each batch; the newest one holds. Deleted keys stay in it as rows with a
+    null value, so that an older row that comes late does not bring them back. The version before the last is removed.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{table}/{number - 1}"))
-        rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), ts).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{table}/{number}")
+        rows = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/{number - 1}"))
+        ties = [ts, *([F.col(value).isNull()] if value else [])]
+        rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*ties)).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{table}/{number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)

@@ -60,6 +60,21 @@ def test_numbers_and_offsets_over_many_splits(spark, folder):
         assert sorted(found.get(path.name, [])) == want, path.name
 
 
+def test_numbers_need_all_lines(spark, folder):
+    raw = lines.read_lines(spark, str(folder))
+    with pytest.raises(Exception, match="none dropped or moved"):
+        lines.number_lines(raw.where("length(raw) > 1")).collect()
+
+
+def test_column_lines_use_no_python(spark):
+    df = spark.createDataFrame([(1, "a\nb")], "k long, t string")
+    plan = lines.lines_from_column(df, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    long = spark.createDataFrame([(1, "\n".join("é" * (i % 7) for i in range(5000)))], "k long, t string")
+    found = [tuple(r)[1:4] for r in lines.lines_from_column(long, "k", "t").collect()]
+    assert found == [x[:3] for x in plain_lines(long.first()["t"].encode())]
+
+
 def test_lines_from_column_like_files(spark):
     rng = random.Random(6)
     texts = [d.decode() for d in FILES.values()] + ["".join(rng.choice(["a", "ü", "\n", "\r", "\r\n", ""]) for _ in range(rng.randrange(30))) for _ in range(200)] + [None]
@@ -104,6 +119,7 @@ HEADS = {
     "bom16be": (b"\xfe\xff\0x", "UTF-16BE", 2),
     "bom32": (b"\xff\xfe\0\0x\0\0\0", "UTF-32LE", 4),
     "sjis": ("これは日本語の文章です。漢字とカナ".encode("shift_jis"), "Shift_JIS", 0),
+    "euc3": (b"\x8f\xb0\xa1" * 3 + "漢字とかな".encode("euc_jp") + b"\x8e\xb1", "EUC-JP", 0),
     "euc": ("これは日本語の文章です。漢字とカナ".encode("euc_jp"), "EUC-JP", 0),
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions import cells
 from linescope.functions.patterns import Pattern, matches, quoted
-from linescope.operators import blocks, marks, position, rules, search
+from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
 from linescope.sources import lines as L
 
@@ -78,6 +78,41 @@ def test_spans_and_segments(spark):
             assert "".join(s for s, _ in pieces[i]) == t and [s for s, hit in pieces[i] if hit] == [m for _, m in want]
 
 
+def test_a_large_file_of_hits_only(spark):
+    n = 300_000
+    lines = spark.range(n).selectExpr("0L as path", "id as line_no", "2 * id as byte_off", "1 as n_bytes", "'x' as text")
+    files = spark.createDataFrame([(0, n)], "path long, total_lines long")
+    found = blocks.context_blocks(lines, files, 1, width=10_000)
+    assert [tuple(r) for r in found.collect()] == [(0, 0, 0, n - 1, n, n)]
+    shown = blocks.block_rows(found, lines, lines, width=10_000).agg(F.count("*"), F.min("row_no"), F.max("hit_no"), F.sum("row_no"), F.sum("hit_no")).first()
+    assert tuple(shown) == (n, 0, n, n * (n - 1) // 2, n * (n + 1) // 2)
+    assert search.ordinals(lines, width=50_000).where("hit_no = line_no + 1").count() == n
+    odd = position.adjacent_lines(lines, width=10_000).where("next_off <> byte_off + 2 or prev_off <> greatest(byte_off - 2, 0)")
+    assert odd.count() == 0
+
+
+@pytest.mark.parametrize("width", [None, 7])
+def test_pages_and_ranges(spark, width):
+    rng = random.Random(8)
+    texts = {p: ["y" * rng.randrange(4) for _ in range(rng.randrange(1, 40))] for p in range(6)}
+    df = frame(spark, *["\n".join(t) + "\n" for t in texts.values()])
+    starts = {p: [sum(len(x) + 1 for x in t[:i]) for i in range(len(t))] for p, t in texts.items()}
+    asked = sorted({(rng.randrange(7), rng.randrange(-3, 90)) for _ in range(60)})
+    got = {}
+    for r in position.page_at(df, spark.createDataFrame(asked, "path long, offset long"), 3, width).orderBy("turn").collect():
+        got.setdefault((r["path"], r["offset"]), []).append((r["turn"], r["byte_off"]))
+    for p, o in asked:
+        page = [s for s in starts.get(p, []) if s >= o][:3]
+        assert got.get((p, o), []) == list(enumerate(page, 1))
+    ranges = sorted({(rng.randrange(7), rng.randrange(-3, 45), rng.randrange(-3, 99)) for _ in range(40)})
+    found = {}
+    for r in position.line_range(df, spark.createDataFrame(ranges, "path long, top long, bottom long"), 5, width or 4096).collect():
+        found.setdefault((r["path"], r["top"], r["bottom"]), []).append(r["line_no"])
+        assert (r["rows"] > 5) == r["too_many"]
+    for p, a, b in ranges:
+        assert sorted(found.get((p, a, b), [])) == [i for i in range(len(starts.get(p, []))) if a <= i <= b]
+
+
 @pytest.mark.parametrize("width", [None, 7])
 def test_walks(spark, width):
     rng = random.Random(width or 1)
@@ -120,7 +155,7 @@ def test_blocks(spark, n, width):
     fdf = spark.createDataFrame(list(files.items()), "path long, total_lines long")
     hdf = spark.createDataFrame([(p, h) for p, hs in hits.items() for h in hs], "path long, line_no long")
     got = {}
-    for r in blocks.context_blocks(hdf, fdf, n, width).orderBy("path", "block_id").collect():
+    for r in blocks.context_blocks(hdf, fdf, n, width, hit_list=True).orderBy("path", "block_id").collect():
         got.setdefault(r["path"], []).append((r["start_line"], r["end_line"], r["hit_lines"]))
         assert r["line_count"] == r["end_line"] - r["start_line"] + 1 and r["n_hits"] == len(r["hit_lines"])
     assert got == {p: b for p in files if (b := plain_blocks(hits[p], n, files[p]))}
@@ -131,7 +166,8 @@ def test_blocks(spark, n, width):
 def test_block_rows(spark):
     df = frame(spark, "a\nX\nb\nc\nd\nX\nX")
     files = spark.createDataFrame([(0, 7)], "path long, total_lines long")
-    shown = blocks.block_rows(blocks.context_blocks(search.search(df, Pattern("X")), files, 1), df).orderBy("row_no").collect()
+    hits = search.search(df, Pattern("X"))
+    shown = blocks.block_rows(blocks.context_blocks(hits, files, 1), df, hits).orderBy("row_no").collect()
     assert [(r["row_no"], r["kind"], r["line_no"], r["hit_no"]) for r in shown] == [
         (0, "context", 0, None), (1, "hit", 1, 1), (2, "context", 2, None), (3, "separator", None, None), (4, "context", 4, None), (5, "hit", 5, 2), (6, "hit", 6, 3),
     ]
@@ -211,6 +247,42 @@ def test_groups(spark):
     assert out == [(0, 0, 1), (0, 2, 2), (0, 5, 1), (1, 8, 1), (2, 10, 2)]
 
 
+@pytest.mark.parametrize("pattern", ["(?=a)|x+", "x*", "(?<=a)b|", r"\\b", "a|$", "(?!x)b"])
+def test_patterns_that_match_nothing(spark, pattern):
+    """Java and Python find the same matches here; empty ones are left out."""
+    texts = ["axbx", "", "xx", "aabb xa", "b", "é x\ufdd0a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    got, pieces = {i: [] for i in range(len(texts))}, {}
+    for r in search.match_spans(df, Pattern(pattern, regex=True)).orderBy("start").collect():
+        got[r["path"]].append((r["start"], r["start"] + r["len"]))
+    for r in search.match_segments(df, Pattern(pattern, regex=True)).orderBy("seg_no").collect():
+        pieces.setdefault(r["path"], []).append(r["segment"])
+    assert got == {i: [m.span() for m in re.finditer(pattern, t) if m[0]] for i, t in enumerate(texts)}
+    assert all("".join(p) == texts[i] for i, p in pieces.items())
+
+
+def test_long_lines_have_all_their_spans(spark):
+    text = " ".join(["ab", "é", "abc"] * 3000)
+    df = spark.createDataFrame([(0, 0, text)], "path long, line_no long, text string")
+    assert [(r["start"], r["end"], r["token"]) for r in tokens.tokens(df).orderBy("start").collect()] == [(*m.span(), m[0]) for m in re.finditer(r"\S+", text)]
+    probes = spark.createDataFrame([(0, 0, 0), (0, 0, 2), (0, 0, 20_002), (0, 0, 10**6), (0, 0, -1), (0, 5, 1)], "path long, line_no long, index int")
+    out = {(r["line_no"], r["index"]): (r["start"], r["token"]) for r in tokens.token_at(df, probes).collect()}
+    at = next(m for m in re.finditer(r"\S+", text) if m.start() <= 20_002 < m.end())
+    assert out == {(0, 0): (0, "ab"), (0, 2): (None, None), (0, 20_002): (at.start(), at[0]), (0, 10**6): (None, None), (0, -1): (None, None), (5, 1): (None, None)}
+
+
+def test_groups_in_java_syntax(spark):
+    own = [Rule(0, Pattern(r"(\p{L}+)x", regex=True), fg=1), Rule(1, Pattern(r"\Q(\E(?<n>\d++)(-\k<n>)?\z", regex=True), fg=2)]
+    out = sorted((r["rule_pos"], r["start"], r["len"]) for r in rules.rule_spans(frame(spark, "éax (12-12"), own).collect())
+    assert out == [(0, 0, 2), (1, 5, 2), (1, 7, 3)]
+    with pytest.raises(ValueError):
+        rules.rule_spans(frame(spark, "a"), [Rule(0, Pattern(r"(\p{javaLowerCase}+)x", regex=True), fg=1)])
+    rows = [("s", i, p, True, False, "#000001", None, False, True) for i, p in enumerate([r"(\p{javaLowerCase})x", r"(a)"])]
+    df = spark.createDataFrame(rows, "set_id string, rule_pos int, pattern string, is_regex boolean, ignore_case boolean, fg string, bg string, whole_line boolean, enabled boolean")
+    good, bad = rules.compiled(rules.usable_rules(df))
+    assert [r.rule_pos for r in good] == [1] and len(bad) == 1
+
+
 def test_many_rules_in_groups(spark):
     own = [Rule(i, Pattern(f"w{i:03d}"), fg=i + 1) for i in range(120)]
     out = rules.rule_hits(frame(spark, "w005 w099 w119"), own).collect()
@@ -219,9 +291,9 @@ def test_many_rules_in_groups(spark):
 
 LOGS = {
     "levels": ("x FATAL y", "an Error", "Warning:", "notice", "INFO a", "debug", "trace"),
-    "syslog": ("kern.crit", "daemon.err", "warning", "sshd[1]", "kernel: x"),
-    "access": ('"x" 503 1', '"x" 404 1', '"x" 301 1', '"x" 200 1', '"GET /'),
-    "jsonlog": ('{"level": "error"', '{"level":"warning"', '{"level": "info"', '{"msg": "x"', '{"ts":1'),
+    "syslog": ("kern.crit", "daemon.err", "warning", "sshd[1]: x", "from 10.0.0.1 on"),
+    "access": ('"x" 503 1', '"x" 404 1', '"x" 301 1', '"x" 200 1', '10.0.0.1 - - [x]'),
+    "jsonlog": ('{"level": "error"', '{"level":"warning"', '{"level": "info"', '{"msg": "x"', '{"ts":"2024-01-02T03:04:05Z"'),
     "geojson": ('"type": "FeatureCollection"', '"type": "Feature"', '"geometry":', '"coordinates":', '"properties":', '"Point"', '"bbox":'),
     "kml": ("<kml x", "<Document", "<Folder", "<Placemark", "<name>", "<coordinates>", "<Style"),
     "nmea": ("$GPGGA,1", "$GPRMC,1", "$GPGSA,1", "$GPGSV,1", "$GPVTG,1"),
@@ -235,6 +307,13 @@ def test_presets(spark, name):
     assert out == {**{i: i for i in range(len(LOGS[name]))}, len(LOGS[name]): None}
 
 
+def test_preset_levels_are_whole_words(spark):
+    df = frame(spark, "an interrupt", "more information", "terror and errors", "detracers", "debugging", "xinfo")
+    out = {r["path"]: r["rule_pos"] for r in rules.classify_lines(df, rules.preset_rules("levels")).collect()}
+    assert out == {0: None, 1: 4, 2: 1, 3: None, 4: None, 5: None}
+    assert not [r for r in rules.classify_lines(df, rules.preset_rules("syslog")).collect() if r["rule_pos"] is not None]
+
+
 def test_rule_sets(spark):
     rule = {"Pattern": "a", "IsRegex": False, "IgnoreCase": True, "Foreground": "#000001", "Background": None, "WholeLine": False, "Enabled": True}
     text = json.dumps([{"Id": "n", "Name": "New", "Rules": [rule, rule]}, {"Id": "k", "Name": "Known", "Rules": [rule]}, {"Id": "", "Name": "Empty", "Rules": [rule]}, {"Id": "n", "Name": "Again", "Rules": []}])
@@ -246,7 +325,8 @@ def test_rule_sets(spark):
 
 def test_folds(spark):
     log = spark.createDataFrame([("a", 1, "x", 1), ("a", 2, None, 2), ("b", 3, "y", 3), ("c", 4, None, 4), ("c", 5, "z", 5), ("b", 6, "w", 6)], "k string, ts long, v string, e long")
-    assert sorted(tuple(r) for r in marks.replay_edits(log, "k", "v", "ts", "e").collect()) == [("b", "w", 6, 6), ("c", "z", 5, 5)]
+    assert sorted(tuple(r) for r in marks.replay_edits(log, "k", "v", "ts", "e").collect()) == [("b", "w", 6, 6, 2), ("c", "z", 5, 5, 1)]
+    assert sorted(tuple(r) for r in marks.replay_edits(log, "k", "v", "ts", "e", first=True, width=2).collect()) == [("b", "w", 6, 6, 1), ("c", "z", 5, 5, 2)]
     assert marks.toggle_fold(log.union(log.where("k = 'c' and ts = 4")), ["k"], "ts").collect()[0]["k"] == "c"
     used = spark.createDataFrame([("u", i, t) for t, i in enumerate("abcab")], "u string, i string, ts long")
     live = spark.createDataFrame([("a",), ("c",)], "i string")
@@ -260,7 +340,7 @@ def test_histogram(spark):
     assert sorted(tuple(r) for r in marks.hit_histogram(hits, files, 10).collect()) == [(0, 0, 2), (0, 9, 1), (0, 10, 1)]
 
 
-@pytest.mark.parametrize("text, want", [("", 0), ("abc", 3), ("\t", 8), ("ab\tc", 9), ("漢字", 4), ("Ａa", 3), ("🙂", 2), ("漢\t", 8)])
+@pytest.mark.parametrize("text, want", [("", 0), ("abc", 3), ("\t", 8), ("ab\tc", 9), ("漢字", 4), ("Ａa", 3), ("🙂", 2), ("漢\t", 8), ("\u4dc0\u3040\u303f", 5)])
 def test_width(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(cells.display_width(F.col("t"))).first()[0] == want
 

@@ -51,8 +51,49 @@ def test_ranges_end_at_line_feeds(tmp_path, monkeypatch):
     end = reader.latestOffset()
     parts = reader.partitions({}, end)
     assert len(parts) > 5
-    rows = [r for p in parts for r in reader.read(p)]
-    assert [r[2] for r in rows] == [f"line {i}" for i in range(20)]
+    rows = [t for p in parts for b in reader.read(p) for t in b.column(2).to_pylist()]
+    assert rows == [f"line {i}" for i in range(20)]
+
+
+def test_files_that_are_cut_after_planning(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"".join(b"line %d\n" % i for i in range(20)))
+    reader = tail.TailReader(str(path))
+    parts = reader.partitions({}, reader.latestOffset())
+    path.write_bytes(b"line 0\nline")
+    assert [t for p in parts for b in reader.read(p) for t in b.column(2).to_pylist()] == ["line 0"]
+
+
+def test_batches_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "BLOCK", 7)
+    (tmp_path / "d").mkdir()
+    path = tmp_path / "d" / "a.log"
+    path.write_bytes(b"".join(b"l\xc3\xa9 %d\r\n" % i for i in range(20)) + b"rest")
+    reader = tail.TailReader(f"file://{tmp_path}/*/a*", per_batch=20)
+    start, texts, offsets, steps = reader.initialOffset(), [], [], 0
+    while (end := reader.latestOffset()) != start:
+        for part in reader.partitions(start, end):
+            assert part.end - part.begin < 20 + 9
+            for b in reader.read(part):
+                offsets += b.column(1).to_pylist()
+                texts += b.column(2).to_pylist()
+        start, steps = end, steps + 1
+    assert steps > 5 and texts == [f"lé {i}" for i in range(20)]
+    data = path.read_bytes()
+    assert [data[o:].split(b"\r")[0].decode() for o in offsets] == texts
+
+
+def test_deleted_keys_stay_deleted(spark, tmp_path):
+    for rows in ([("a", 1, "x"), ("b", 2, "y")], [("a", 5, None)], [("a", 3, "late"), ("b", 4, "z")]):
+        spark.createDataFrame(rows, "k string, ts long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = tail.replay_stream(stream, "k", "ts", str(tmp_path / "table"), str(tmp_path / "cp"), value="v").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "table" / "2")).where("v is not null").collect()) == [("b", 4, "z")]
+    assert not (tmp_path / "table" / "0").exists()
 
 
 def test_replay_stream(spark, tmp_path):
