@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions.patterns import Pattern, matches, segments, spans
 from linescope.plans.ordered import BYTES, carried_last, running_sum
+from linescope.sources.lines import number_lines
 
 MAX_HITS = 1_000_000
 
@@ -19,6 +20,13 @@ def search(lines: DataFrame, pattern: Pattern, limit: int | None = None) -> Data
     return lines.where(matches(F.col("text"), pattern.check(), limit))
 
 
+def search_files(raw_lines: DataFrame, pattern: Pattern, boms: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The lines of ``read_lines`` that match, with their numbers and offsets; the text of other lines is not carried."""
+    hit = matches(F.col("text"), pattern.check(), limit)
+    marked = raw_lines.withColumn("text", F.when(hit, F.col("text")))
+    return number_lines(marked, boms).where(F.col("text").isNotNull())
+
+
 def ordinals(hits: DataFrame, width: int | None = BYTES) -> DataFrame:
     """``hit_no`` from 1 within a file."""
     return running_sum(hits, F.lit(1).cast("long"), "byte_off", "hit_no", width=width)

@@ -13,6 +13,7 @@ from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
 from linescope.sources import lines as L
 from linescope.sources.encoding import detect_newline, newline_style, profile_files
+from linescope.sources.files import numbered_files
 from linescope.sources.shared import fresh_folder
 from linescope.streaming import tail
 
@@ -710,6 +711,16 @@ def file_numbers(spark, sf_dir):
     return by_bucket(L.number_lines(raw_lines(spark, written(spark, sf_dir))))
 
 
+@register("file_numbered", "SELECT * FROM flines", (FILE_LINES,))
+def file_numbered(spark, sf_dir):
+    return by_bucket(numbered_files(spark, f"{written(spark, sf_dir)}/bucket=*"))
+
+
+@register("file_search", "SELECT path, line_no, byte_off, text FROM flines WHERE regexp_matches(text, 'license', 'i')", (FILE_LINES,))
+def file_search(spark, sf_dir):
+    return by_bucket(search.search_files(raw_lines(spark, written(spark, sf_dir)), LICENSE)).select("path", "line_no", "byte_off", "text")
+
+
 @register("file_decoded", "SELECT path, COUNT(*) AS n, CAST(SUM(strlen(text)) AS BIGINT) AS chars FROM flines GROUP BY 1", (FILE_LINES,))
 def file_decoded(spark, sf_dir):
     """Read as Latin-1, a text has as many characters as bytes."""

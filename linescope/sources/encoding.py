@@ -88,12 +88,17 @@ def heads(spark: SparkSession, paths: str | list[str], sample: int = SAMPLE) ->
     return files.mapInArrow(read, "path string, size long, head binary")
 
 
-def _head(path: str, sample: int) -> bytes:
+def opened(path: str):
+    """A file of a local path or URI, for reading."""
     if path.startswith("file:"):
         store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     else:
         store, name = fs.FileSystem.from_uri(quote(path, safe=":/@?&="))
-    with store.open_input_file(name) as file:
+    return store.open_input_file(name)
+
+
+def _head(path: str, sample: int) -> bytes:
+    with opened(path) as file:
         return file.read(sample)
 
 

@@ -60,6 +60,43 @@ def test_numbers_and_offsets_over_many_splits(spark, folder):
         assert sorted(found.get(path.name, [])) == want, path.name
 
 
+@pytest.mark.parametrize("size, block", [(20_000, 4 << 20), (1000, 64), (7, 3), (64 << 20, 4 << 20)])
+def test_numbered_files(spark, folder, monkeypatch, size, block):
+    from linescope.sources import files
+
+    monkeypatch.setattr(files, "BLOCK", block)
+    small = [p for p in folder.iterdir() if p.name != "big" or size > 10]
+    for path in small:
+        data = path.read_bytes()
+        got, n = [], 0
+        reader = files.LineReader({"files": f"{len(data)} file:{path}", "count": "false"})
+        monkeypatch.setattr(files, "RANGE", size)
+        for part in reader.partitions():
+            first = n
+            for b in reader.read(part):
+                for k, at, raw in zip(*(b.column(c).to_pylist() for c in (2, 3, 4))):
+                    got.append((first + k, at, len(raw.encode()), raw.removesuffix("\r")))
+                    n = first + k + 1
+        assert got == plain_lines(data, 3 if path.name == "big" else 0), path.name
+    found = {}
+    for r in files.numbered_files(spark, str(folder)).collect():
+        found.setdefault(r["path"].rsplit("/", 1)[1], []).append(tuple(r)[1:])
+    for path in folder.iterdir():
+        assert sorted(found.get(path.name, [])) == plain_lines(path.read_bytes(), 3 if path.name == "big" else 0), path.name
+    assert files.numbered_files(spark, str(folder / "empty")).count() == 0
+
+
+def test_search_of_files(spark, folder):
+    from linescope.functions.patterns import Pattern
+    from linescope.operators import search
+
+    raw = lines.read_lines(spark, str(folder / "big"))
+    all_ = {tuple(r) for r in lines.number_lines(raw).collect()}
+    for pattern in (Pattern("wörd 1"), Pattern("[02468]$", regex=True)):
+        found = {tuple(r) for r in search.search_files(raw, pattern).collect()}
+        assert found == {r for r in all_ if ("wörd 1" in r[4] if pattern.plain else r[4][-1] in "02468")} and found
+
+
 def test_numbers_need_all_lines(spark, folder):
     raw = lines.read_lines(spark, str(folder))
     with pytest.raises(Exception, match="none dropped or moved"):
