@@ -26,7 +26,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, tag: str = "cc") ->
         ends = links.select(F.col("small").alias("node"), F.col("big").alias("other")).union(links.select("big", "small"))
         least = ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
         least = scratch.write(least, f"{tag}-least-{step}")
-        large = links.join(least, F.col("small") == F.col("node")).select("big", F.col("m").alias("small"))
+        large = hung_lower(links, least)
         lowest = scratch.write(large.groupBy("big").agg(F.min("small").alias("low")), f"{tag}-lowest-{step}")
         hung = large.join(lowest.withColumnRenamed("big", "own"), F.col("big") == F.col("own")).where("small <> low")
         fresh = hung.select(F.col("small").alias("big"), F.col("low").alias("small")).union(lowest).distinct()
@@ -42,5 +42,10 @@ def connected_components(scratch: Scratch, edges: DataFrame, tag: str = "cc") ->
     return stars.union(links.select("small", "small").distinct())
 
 
+def hung_lower(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Each link's larger node with the least node that its smaller one sees, ``least(node, m)``."""
+    return links.join(least, F.col("small") == F.col("node")).select("big", F.col("m").alias("small"))
+
+
 def _signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("big", "small"))).first())

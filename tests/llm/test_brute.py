@@ -84,6 +84,26 @@ def test_components(spark):
     assert {(r["node"], r["component"]) for r in got.collect()} == set(want.items())
 
 
+def test_a_hub_of_most_links_is_split(spark):
+    """Written minima give both sides of the join an exchange, and adaptive execution splits the hub's rows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        scratch = Scratch(spark)
+        links = scratch.write(spark.range(1, 40_001, 1, 8).selectExpr("id as big", "if(id % 10 < 7, 0, id - 1) as small"), "links")
+        least = scratch.write(links.groupBy("small").agg({"small": "min"}).toDF("node", "m"), "least")
+        joined = components.hung_lower(links, least)
+        assert len(joined.collect()) == 40_000
+        assert "SortMergeJoin(skew=true)" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 @pytest.fixture(scope="module")
 def plain_ids(texts):
     from tokenizers import Tokenizer
@@ -124,6 +144,28 @@ def test_orc_round_trip(spark, docs, plain_ids):
     assert "doc_id" in stored.where("doc_id = 17")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1][:120]
 
 
+def test_bloom_filter_prunes_what_ranges_cannot(spark):
+    """Odd keys lie within the range of even ones: only the Bloom filter can skip their row groups."""
+    docs = spark.range(8000).selectExpr("id * 2 as doc_id", "concat('word ', id) as text")
+    where = Scratch(spark).path("bloom")
+    orc_ids.write_ids(docs, where, stride=1000)
+    stored = spark.read.schema(orc_ids._stored("doc_id", docs.schema["doc_id"].dataType)).orc(where)
+
+    def looked_at(key):
+        df = stored.where(f"doc_id = {key}").select("n_tokens")
+        plan = df._jdf.queryExecution().executedPlan()
+        found, leaf = df._jdf.queryExecution().executedPlan().executeCollect(), plan.collectLeaves().head()
+        return len(found), leaf.metrics().get("numOutputRows").get().value()
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits, misses = [looked_at(k) for k in range(0, 16_000, 1600)], [looked_at(k) for k in range(1, 16_000, 800)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert all(n == 1 and 0 < rows <= 2000 for n, rows in hits)
+    assert all(n == 0 for n, _ in misses) and sum(rows == 0 for _, rows in misses) >= 18  # of 20
+
+
 def test_packing(docs, plain_ids):
     out = packing.pack(docs, block=64, islands=2).collect()
     per = defaultdict(dict)
@@ -196,6 +238,22 @@ def test_quality_on_held_out_labels(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
 
 
+def test_quality_votes_like_a_plain_count(spark):
+    """Scores are those of all cosines taken one by one, over every document."""
+    where = "/root/testdata/sf0.01"
+    docs, labels = table(spark, where, "documents"), table(spark, where, "labels")
+    model = quality.fit(docs, labels)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    assert len(model.labels) == len(known) and model.prior == pytest.approx(np.mean(list(known.values())))
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    for r in docs.where("doc_id % 7 = 3").collect():
+        v = model.embed(np.minimum(quality.term_counts([(r["text"] or "").encode()]), 60_000))[0]
+        near = sorted(((float(sum(a * b for a, b in zip(v.tolist(), w.tolist()))), i) for i, w in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality.SHARPNESS, model.labels[i]) for c, i in near]
+        want = (sum(w * y for w, y in votes) + quality.PRIOR_VOTES * model.prior) / (sum(w for w, _ in votes) + quality.PRIOR_VOTES)
+        assert got[r["doc_id"]] == pytest.approx(want, abs=1e-3)
+
+
 def feistel(key, kind, a, b, below_a, below_b):
     for i in range(pii.ROUNDS):
         half = b if i % 2 == 0 else a
