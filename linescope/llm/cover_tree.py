@@ -30,8 +30,9 @@ from linescope.llm.components import connected_components
 SAMPLE, FAN, CENTRES, BLOCK = 4096, 256, 32 << 20, 8192
 #: Distances within this of a bound are not pruned, or taken as a whole, but looked at further.
 MARGIN = 1e-3
-#: Distances that are computed at once, and links that are kept before their components are settled.
-AT_ONCE, HELD = 1 << 22, 1 << 21
+#: Distances that are computed at once, pairs from which a node has a matrix of them, pairs that are gathered at once, and
+#: links that are kept before their components are settled.
+AT_ONCE, DENSE, GATHERED, HELD = 1 << 21, 1 << 12, 1 << 18, 1 << 21
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,7 +181,9 @@ def traverse(one: Tree, two: Tree, cosine: float, links: Links) -> tuple[int, in
     for k, (la, lb) in enumerate(zip(one.levels, two.levels)):
         wide = la.radii[p] + lb.radii[q]
         whole = gap + wide < limit - MARGIN
-        for i, j in zip(p[whole].tolist(), q[whole].tolist()):
+        single = whole & (np.diff(la.begins)[p] == 1) & (np.diff(lb.begins)[q] == 1) & ~(same & (p == q))
+        links.pairs(one.rows[la.begins[p[single]]], two.rows[lb.begins[q[single]]])
+        for i, j in zip(p[whole & ~single].tolist(), q[whole & ~single].tolist()):
             a, b = one.rows[la.begins[i] : la.begins[i + 1]], two.rows[lb.begins[j] : lb.begins[j + 1]]
             links.all_pairs(a, b, same and i == j)
         left = (gap <= wide + limit + MARGIN) & ~whole
@@ -189,26 +192,20 @@ def traverse(one: Tree, two: Tree, cosine: float, links: Links) -> tuple[int, in
         first, second = (la.begins, lb.begins) if last else (la.children, lb.children)
         points, others = (one.u, two.u) if last else (one.levels[k + 1].centres, two.levels[k + 1].centres)
         found = []
-        for i, partners in _by_first(p, q):
-            cols = np.concatenate([np.arange(second[j], second[j + 1]) for j in partners])
-            step = max(1, AT_ONCE // len(cols))
-            for at in range(first[i], first[i + 1], step):
-                rows = np.arange(at, min(at + step, first[i + 1]))
-                d = points[rows] @ others[cols].T if last else distances(points[rows], others[cols])
-                if last:
-                    hit = d >= cosine - 1e-4
-                else:
-                    hit = d <= one.levels[k + 1].radii[rows][:, None] + two.levels[k + 1].radii[cols] + limit + MARGIN
-                if same:
-                    hit &= cols >= rows[:, None] + last
-                looked, compared = looked + d.size * (not last), compared + d.size * last
-                r, c = np.nonzero(hit)
-                if last and len(r):
-                    a, b = rows[r], cols[c]
-                    near = np.einsum("ij,ij->i", one.x[a], two.x[b]) >= cosine
-                    links.pairs(one.rows[a[near]], two.rows[b[near]])
-                elif len(r):
-                    found.append((rows[r], cols[c], d[r, c]))
+        for rows, cols, d in _products(first, second, p, q, points, others, last, same):
+            looked, compared = looked + d.size * (not last), compared + d.size * last
+            if last:
+                hit = d >= cosine - 1e-4
+            else:
+                hit = d <= one.levels[k + 1].radii[rows] + two.levels[k + 1].radii[cols] + limit + MARGIN
+            if same:
+                hit &= cols >= rows + last
+            r, c, d = (np.broadcast_to(v, hit.shape)[hit] for v in (rows, cols, d))
+            if last and len(r):
+                near = np.einsum("ij,ij->i", one.x[r], two.x[c]) >= cosine
+                links.pairs(one.rows[r[near]], two.rows[c[near]])
+            elif len(r):
+                found.append((r, c, d))
         if last or not found:
             break
         p, q, gap = (np.concatenate([f[i] for f in found]) for i in range(3))
@@ -219,11 +216,35 @@ def traverse(one: Tree, two: Tree, cosine: float, links: Links) -> tuple[int, in
     return looked, compared
 
 
-def _by_first(p: np.ndarray, q: np.ndarray):
-    """The second nodes of pairs for each first one."""
-    order = np.argsort(p, kind="stable")
-    firsts, begins = np.unique(p[order], return_index=True)
-    return zip(firsts.tolist(), (part.tolist() for part in np.split(q[order], begins[1:])))
+def _products(first, second, p, q, points, others, cosines: bool, same: bool):
+    """(i, j, distance or cosine) of all children i of p[k] and j of q[k], in arrays that broadcast to one shape.
+
+    A node with many pairs has a matrix of them; those of nodes with few are gathered from all nodes.
+    """
+    sizes = (first[p + 1] - first[p]) * (second[q + 1] - second[q])
+    names, which = np.unique(p, return_inverse=True)
+    large = (np.bincount(which, sizes) >= DENSE)[which] if len(p) else np.zeros(0, bool)
+    order = np.flatnonzero(large)[np.argsort(p[large], kind="stable")]
+    begins = np.flatnonzero(np.diff(p[order], prepend=-1))
+    for part in np.split(order, begins[1:]) if len(order) else []:
+        i = p[part[0]]
+        cols = np.concatenate([np.arange(second[j], second[j + 1]) for j in np.sort(q[part]).tolist()])
+        step = max(1, AT_ONCE // len(cols))
+        for at in range(first[i], first[i + 1], step):
+            rows = np.arange(at, min(at + step, first[i + 1]))
+            near = cols[np.searchsorted(cols, at) :] if same else cols
+            d = points[rows] @ others[near].T if cosines else distances(points[rows], others[near])
+            yield rows[:, None], near[None, :], d
+    few = np.flatnonzero(~large)
+    upto = np.cumsum(sizes[few])
+    for part in np.split(few, np.searchsorted(upto, np.arange(GATHERED, upto[-1] if len(few) else 0, GATHERED))):
+        n = sizes[part]
+        pair = np.repeat(part, n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        wide = second[q[pair] + 1] - second[q[pair]]
+        i, j = first[p[pair]] + at // wide, second[q[pair]] + at % wide
+        d = np.einsum("ij,ij->i", points[i], others[j])
+        yield i, j, d if cosines else np.sqrt(np.maximum(0, 2 - 2 * d))
 
 
 def first_levels(sample: np.ndarray, cells: int = FAN, centre: np.ndarray | None = None) -> np.ndarray:
