@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linescope.functions.arrays import let
 from linescope.functions.cells import colour
 from linescope.functions.patterns import Pattern, matches, spans
 
@@ -139,28 +140,41 @@ def rule_spans(lines: DataFrame, rules: list[Rule]) -> DataFrame:
 def resolved(raw: Column) -> Column:
     """Overlapping spans made ascending and disjoint: for each channel the smallest ``rule_pos`` wins at each character.
 
-    All in one row: the spans' borders cut the line into intervals, each channel of an interval takes the winner's
-    colour, and neighbours of equal colours are joined. A colour of 0 wins like any other and then stands for none.
+    All in one row, by a sweep over the spans' borders: between two borders each channel takes the colour of the winner
+    among the spans that are open, and neighbours of equal colours are joined. A colour of 0 wins like any other and then
+    stands for none.
     """
-    ends = F.transform(raw, lambda s: s["start"] + s["len"])
-    borders = F.array_sort(F.array_distinct(F.concat(F.transform(raw, lambda s: s["start"]), ends)))
-    pairs = F.arrays_zip(F.slice(borders, 1, F.greatest(F.size(borders) - 1, F.lit(0))).alias("a"), F.slice(borders, 2, F.greatest(F.size(borders) - 1, F.lit(0))).alias("b"))
 
-    def winner(channel: str, at: Column) -> Column:
-        over = F.filter(raw, lambda s: (s["start"] <= at) & (at < s["start"] + s["len"]) & s[channel].isNotNull())
-        return F.array_min(F.transform(over, lambda s: F.struct(s["rule_pos"].alias("p"), s[channel].alias("c"))))["c"]
+    def border(place: str):
+        def make(s: Column, i: Column) -> Column:
+            at, kind = (s["start"], 1) if place == "start" else (s["start"] + s["len"], 0)
+            return F.struct(at.alias("at"), F.lit(kind).alias("kind"), i.alias("i"), s["rule_pos"].alias("rule_pos"), s["fg"].alias("fg"), s["bg"].alias("bg"))
 
-    cut = F.transform(pairs, lambda x: F.struct(x["a"].alias("start"), (x["b"] - x["a"]).alias("len"), F.coalesce(winner("fg", x["a"]), F.lit(0)).alias("fg"), F.coalesce(winner("bg", x["a"]), F.lit(0)).alias("bg")))
-    coloured = F.filter(cut, lambda x: (x["fg"] != 0) | (x["bg"] != 0))
-    empty = F.expr("cast(array() as array<struct<start: int, len: int, fg: bigint, bg: bigint>>)")
+        return make
 
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        touches = (F.size(acc) > 0) & (last["start"] + last["len"] == x["start"]) & (last["fg"] == x["fg"]) & (last["bg"] == x["bg"])
+    def winner(active: Column, channel: str) -> Column:
+        coloured = F.filter(active, lambda x: x[channel].isNotNull())
+        first = F.array_min(F.transform(coloured, lambda x: F.struct(x["rule_pos"].alias("p"), x[channel].alias("c"))))
+        return F.coalesce(first["c"], F.lit(0).cast("bigint"))
+
+    def joined(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        touches = (last["start"] + last["len"] == x["start"]) & (last["fg"] == x["fg"]) & (last["bg"] == x["bg"])
         wider = F.struct(last["start"].alias("start"), (last["len"] + x["len"]).alias("len"), x["fg"].alias("fg"), x["bg"].alias("bg"))
-        return F.when(F.coalesce(touches, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+        more = F.when(touches, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))).otherwise(F.concat(out, F.array(x)))
+        return F.when(F.size(out) == 0, F.array(x)).otherwise(more)
+
+    def step(acc: Column, e: Column) -> Column:
+        piece = F.struct(acc["at"].alias("start"), (e["at"] - acc["at"]).alias("len"), winner(acc["active"], "fg").alias("fg"), winner(acc["active"], "bg").alias("bg"))
+        out = let(piece, lambda x: F.when((x["len"] > 0) & ((x["fg"] != 0) | (x["bg"] != 0)), joined(acc["out"], x)).otherwise(acc["out"]))
+        span = F.struct(e["i"].alias("i"), e["rule_pos"].alias("rule_pos"), e["fg"].alias("fg"), e["bg"].alias("bg"))
+        active = F.when(e["kind"] == 1, F.concat(acc["active"], F.array(span))).otherwise(F.filter(acc["active"], lambda x: x["i"] != e["i"]))
+        return F.struct(e["at"].alias("at"), active.alias("active"), out.alias("out"))
 
-    return F.aggregate(coloured, empty, join)
+    none = F.expr("cast(array() as array<struct<start: int, len: int, fg: bigint, bg: bigint>>)")
+    idle = F.expr("cast(array() as array<struct<i: int, rule_pos: int, fg: bigint, bg: bigint>>)")
+    borders = F.array_sort(F.concat(F.transform(raw, border("start")), F.transform(raw, border("end"))))
+    return F.aggregate(borders, F.struct(F.lit(0).alias("at"), idle.alias("active"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def painted_spans(lines: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -176,7 +190,7 @@ def overlay_search(lines: DataFrame, rules: list[Rule], pattern: Pattern, bg: in
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("span", F.explode(resolved(F.col("raw")))).select("*", "span.*").drop("span", "raw")
+    return rows.where(F.size("raw") > 0).withColumn("span", F.explode(resolved(F.col("raw")))).select("*", "span.*").drop("span", "raw")
 
 
 def _set(*patterns: str, ignore_case: bool = True) -> list[Rule]:
