@@ -121,7 +121,7 @@ def _fit(counts: np.ndarray, labels: np.ndarray, prior: float) -> Model:
 
 
 def _blocks(batch: pa.RecordBatch, column: int):
-    for part in tokens.slices(batch, column):
+    for part in tokens.slices(batch, column, tokens.FEW):
         for at in range(0, part.num_rows, ROWS):
             yield part.slice(at, ROWS)
 

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces whose ids a worker remembers in each of two generations, and texts' bytes that it encodes at once.
-REMEMBERED, AT_ONCE = 250_000, 4 << 20
+#: Pieces whose ids a worker remembers in each of two generations, texts' bytes that it encodes at once, and bytes that
+#: other operators look at once, which hold more arrays for each byte.
+REMEMBERED, AT_ONCE, FEW = 250_000, 2 << 20, 1 << 20
 #: Longer pieces are not remembered.
 LONGEST = 80
 #: Classes of characters. Texts are put behind each other with a noncharacter between.
@@ -175,12 +176,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: int):
-    """A batch in parts of about ``AT_ONCE`` bytes of the text in ``column``; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE):
+    """A batch in parts of about ``at_once`` bytes of the text in ``column``; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if total + size > AT_ONCE and i > begin:
+        if total + size > at_once and i > begin:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += size
