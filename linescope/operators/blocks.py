@@ -59,7 +59,12 @@ def block_rows(blocks: DataFrame, lines: DataFrame, hits: DataFrame, width: int
     )
     none = F.lit(None)
     gaps = placed.where("block_id > 0").select(
-        "path", (F.col("row0") - 1).alias("row_no"), F.lit("separator").alias("kind"), none.cast("long").alias("line_no"), none.cast("long").alias("hit_no"), none.cast("string").alias("text")
+        "path",
+        (F.col("row0") - 1).alias("row_no"),
+        F.lit("separator").alias("kind"),
+        none.cast("long").alias("line_no"),
+        none.cast("long").alias("hit_no"),
+        none.cast("string").alias("text"),
     )
     return shown.unionByName(gaps)
 

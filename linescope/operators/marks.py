@@ -33,7 +33,8 @@ def replay_edits(log: DataFrame, key: str, value: str, ts: str, tie: str, first:
     deleted; the log's rows are ordered by ``ts`` and ``tie``. ``width`` is in the seconds (or numbers) of ``ts``.
     """
     at = F.struct(F.col(ts).alias("t"), F.col(tie).alias("e"))
-    last = log.groupBy(key).agg(F.max_by(F.struct(F.col(value).alias("v"), at.alias("at")), at).alias("s"), F.max(F.when(F.col(value).isNull(), at)).alias("gone"))
+    newest = F.max_by(F.struct(F.col(value).alias("v"), at.alias("at")), at).alias("s")
+    last = log.groupBy(key).agg(newest, F.max(F.when(F.col(value).isNull(), at)).alias("gone"))
     kept = last.where("s.v is not null")
     if first:
         puts = log.where(F.col(value).isNotNull()).select(key, at.alias("put")).join(kept.select(key, "gone"), key)

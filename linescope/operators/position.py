@@ -30,7 +30,8 @@ def offset_to_line(lines: DataFrame, probes: DataFrame, width: int | None = BYTE
     An as-of join by one ordered pass over line starts and probes together.
     """
     starts = lines.select("path", F.col("byte_off").alias("at"), F.lit(0).alias("kind"), "line_no", F.lit(None).cast("long").alias("probe"))
-    asked = probes.select("path", F.greatest(F.col("offset"), F.lit(0)).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("line_no"), F.col("offset").alias("probe"))
+    at, none = F.greatest(F.col("offset"), F.lit(0)).alias("at"), F.lit(None).cast("long").alias("line_no")
+    asked = probes.select("path", at, F.lit(1).alias("kind"), none, F.col("offset").alias("probe"))
     found = carried_last(starts.unionByName(asked), "line_no", "at", "found", ties=("kind",), width=width)
     return found.where("kind = 1 and found is not null").select("path", "probe", F.col("found").alias("line_no"))
 
@@ -44,7 +45,8 @@ def page_at(lines: DataFrame, probes: DataFrame, rows: int, width: int | None =
     starts = lines.select("path", F.col("byte_off").alias("at"), F.lit(1).alias("kind"), F.col("line_no").alias("first"), none.alias("offset"))
     asked = probes.select("path", F.greatest(F.col("offset"), F.lit(0)).alias("at"), F.lit(0).alias("kind"), none.alias("first"), F.col("offset").cast("long"))
     found = carried_last(starts.unionByName(asked), "first", "at", "found", ties=("kind",), width=width, forward=False)
-    pages = found.where("kind = 0 and found is not null").select("path", "offset", F.posexplode(F.sequence(F.col("found"), F.col("found") + rows - 1)).alias("turn", "line_no"))
+    numbers = F.posexplode(F.sequence(F.col("found"), F.col("found") + rows - 1)).alias("turn", "line_no")
+    pages = found.where("kind = 0 and found is not null").select("path", "offset", numbers)
     return pages.withColumn("turn", F.col("turn") + 1).join(lines, ["path", "line_no"])
 
 
@@ -86,9 +88,10 @@ def line_range(lines: DataFrame, ranges: DataFrame, copy_cap: int = 100_000, blo
     last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
     cut = ranges.join(last, "path").withColumns({"from": F.greatest("top", F.lit(0)), "to": F.least("bottom", "last")}).where("from <= to")
     rows = (F.col("to") - F.col("from") + 1).alias("rows")
-    cut = cut.select("path", "top", "bottom", "from", "to", rows, F.explode(F.sequence(F.floor(F.col("from") / block), F.floor(F.col("to") / block))).alias("_block"))
-    found = lines.withColumn("_block", F.floor(F.col("line_no") / block)).join(cut, ["path", "_block"]).where(F.col("line_no").between(F.col("from"), F.col("to")))
-    return found.drop("_block", "from", "to").withColumn("too_many", F.col("rows") > copy_cap)
+    touched = F.explode(F.sequence(F.floor(F.col("from") / block), F.floor(F.col("to") / block))).alias("_block")
+    cut = cut.select("path", "top", "bottom", "from", "to", rows, touched)
+    found = lines.withColumn("_block", F.floor(F.col("line_no") / block)).join(cut, ["path", "_block"])
+    return found.where("line_no between from and to").drop("_block", "from", "to").withColumn("too_many", F.col("rows") > copy_cap)
 
 
 def clamp_text(lines: DataFrame, max_bytes: int = 65_536, max_chars: int = 8_192) -> DataFrame:

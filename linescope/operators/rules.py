@@ -165,7 +165,8 @@ def resolved(raw: Column) -> Column:
         return F.when(F.size(out) == 0, F.array(x)).otherwise(more)
 
     def step(acc: Column, e: Column) -> Column:
-        piece = F.struct(acc["at"].alias("start"), (e["at"] - acc["at"]).alias("len"), winner(acc["active"], "fg").alias("fg"), winner(acc["active"], "bg").alias("bg"))
+        colours = [winner(acc["active"], c).alias(c) for c in ("fg", "bg")]
+        piece = F.struct(acc["at"].alias("start"), (e["at"] - acc["at"]).alias("len"), *colours)
         out = let(piece, lambda x: F.when((x["len"] > 0) & ((x["fg"] != 0) | (x["bg"] != 0)), joined(acc["out"], x)).otherwise(acc["out"]))
         span = F.struct(e["i"].alias("i"), e["rule_pos"].alias("rule_pos"), e["fg"].alias("fg"), e["bg"].alias("bg"))
         active = F.when(e["kind"] == 1, F.concat(acc["active"], F.array(span))).otherwise(F.filter(acc["active"], lambda x: x["i"] != e["i"]))
@@ -184,7 +185,8 @@ def painted_spans(lines: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def overlay_search(lines: DataFrame, rules: list[Rule], pattern: Pattern, bg: int) -> DataFrame:
     """``painted_spans`` under a search: within its matches the background is ``bg`` and the rules' foreground is gone."""
-    found = F.transform(spans(F.col("text"), pattern.check()), lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.lit(-1).alias("rule_pos"), F.lit(0).cast("bigint").alias("fg"), F.lit(bg).cast("bigint").alias("bg")))
+    first, none, colour_ = F.lit(-1).alias("rule_pos"), F.lit(0).cast("bigint").alias("fg"), F.lit(bg).cast("bigint").alias("bg")
+    found = F.transform(spans(F.col("text"), pattern.check()), lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), first, none, colour_))
     rows = raw_spans(lines, rules)
     return _exploded(rows.withColumn("raw", F.concat("raw", found.cast(SPANS))))
 
@@ -215,25 +217,42 @@ PRESETS = {
 }
 
 
+#: Names of a rule's columns in JSON.
+JSON_NAMES = {
+    "pattern": "Pattern",
+    "is_regex": "IsRegex",
+    "ignore_case": "IgnoreCase",
+    "fg": "Foreground",
+    "bg": "Background",
+    "whole_line": "WholeLine",
+    "enabled": "Enabled",
+}
+
+
 def import_rule_sets(sets: DataFrame, known: DataFrame) -> DataFrame:
     """New rules of imported sets: ``sets`` has (pos, json), a JSON array of {Id, Name, Rules: [...]} each.
 
     Sets with an empty or already known ``set_id`` are skipped, the first of several with one id wins, and imported
     sets can be edited.
     """
-    rule = "struct<Pattern: string, IsRegex: boolean, IgnoreCase: boolean, Foreground: string, Background: string, WholeLine: boolean, Enabled: boolean>"
+    flags = ", ".join(f"{f}: boolean" for f in ("IsRegex", "IgnoreCase", "WholeLine", "Enabled"))
+    rule = f"struct<Pattern: string, Foreground: string, Background: string, {flags}>"
     parsed = sets.select("pos", F.posexplode(F.from_json("json", f"array<struct<Id: string, Name: string, Rules: array<{rule}>>>")).alias("at", "s"))
     parsed = parsed.where("length(s.Id) > 0").join(known.select(F.col("set_id").alias("_known")), F.col("s.Id") == F.col("_known"), "left_anti")
     first = F.row_number().over(Window.partitionBy("s.Id").orderBy("pos", "at"))
     rows = parsed.withColumn("_first", first).where("_first = 1").select("s", F.posexplode_outer("s.Rules").alias("rule_pos", "r"))
     return rows.select(
-        F.col("s.Id").alias("set_id"), F.col("s.Name").alias("set_name"), "rule_pos", F.col("r.Pattern").alias("pattern"), F.col("r.IsRegex").alias("is_regex"),
-        F.col("r.IgnoreCase").alias("ignore_case"), F.col("r.Foreground").alias("fg"), F.col("r.Background").alias("bg"), F.col("r.WholeLine").alias("whole_line"), F.col("r.Enabled").alias("enabled"), F.lit(False).alias("read_only"),
+        F.col("s.Id").alias("set_id"),
+        F.col("s.Name").alias("set_name"),
+        "rule_pos",
+        *[F.col(f"r.{there}").alias(here) for here, there in JSON_NAMES.items()],
+        F.lit(False).alias("read_only"),
     )
 
 
 def export_rule_sets(rules: DataFrame) -> DataFrame:
     """One JSON object ``json`` per set, its rules in order."""
-    item = F.struct("rule_pos", F.struct(F.col("pattern").alias("Pattern"), F.col("is_regex").alias("IsRegex"), F.col("ignore_case").alias("IgnoreCase"), F.col("fg").alias("Foreground"), F.col("bg").alias("Background"), F.col("whole_line").alias("WholeLine"), F.col("enabled").alias("Enabled")).alias("r"))
+    item = F.struct("rule_pos", F.struct(*[F.col(here).alias(there) for here, there in JSON_NAMES.items()]).alias("r"))
     sets = rules.groupBy("set_id", "set_name").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return sets.select("set_id", F.to_json(F.struct(F.col("set_id").alias("Id"), F.col("set_name").alias("Name"), F.col("items.r").alias("Rules"))).alias("json"))
+    whole = F.struct(F.col("set_id").alias("Id"), F.col("set_name").alias("Name"), F.col("items.r").alias("Rules"))
+    return sets.select("set_id", F.to_json(whole).alias("json"))

@@ -41,7 +41,8 @@ def search_summary(lines: DataFrame, pattern: Pattern, max_hits: int = MAX_HITS)
     """Per file, also without hits: ``total_hits`` up to the cap, ``truncated`` once it is reached, hits per line."""
     hit = matches(F.col("text"), pattern.check(), None).cast("long")
     found = lines.groupBy("path").agg(F.sum(hit).alias("n"), F.count("*").alias("lines"))
-    return found.select("path", F.least("n", F.lit(max_hits)).alias("total_hits"), (F.col("n") >= max_hits).alias("truncated"), (F.col("n") / F.col("lines")).alias("hit_ratio"))
+    total, truncated = F.least("n", F.lit(max_hits)).alias("total_hits"), (F.col("n") >= max_hits).alias("truncated")
+    return found.select("path", total, truncated, (F.col("n") / F.col("lines")).alias("hit_ratio"))
 
 
 def search_many(lines: DataFrame, filters: dict[str, Pattern]) -> DataFrame:

@@ -28,4 +28,5 @@ def token_at(lines: DataFrame, probes: DataFrame, mode: str = "wide") -> DataFra
     found = probes.join(lines.select("path", "line_no", "text"), ["path", "line_no"], "left")
     over = F.filter(cells.tokens(F.col("text"), mode), lambda t: (t["start"] <= F.col("index")) & (t["start"] + t["len"] > F.col("index")))
     found = found.withColumn("_t", F.get(over, F.lit(0)))
-    return found.select(*probes.columns, F.col("_t.start").alias("start"), (F.col("_t.start") + F.col("_t.len")).alias("end"), F.col("_t.matched").alias("token"))
+    place = F.col("_t.start").alias("start"), (F.col("_t.start") + F.col("_t.len")).alias("end")
+    return found.select(*probes.columns, *place, F.col("_t.matched").alias("token"))

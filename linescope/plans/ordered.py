@@ -19,7 +19,17 @@ def _ranged(df: DataFrame, on: str, width: int | None) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(on) / width) if width else F.lit(0).cast("long"))
 
 
-def carried_last(df: DataFrame, value: str, on: str, out: str, ties: tuple = (), by: tuple = ("path",), width: int | None = None, forward: bool = True, strict: bool = False) -> DataFrame:
+def carried_last(
+    df: DataFrame,
+    value: str,
+    on: str,
+    out: str,
+    ties: tuple = (),
+    by: tuple = ("path",),
+    width: int | None = None,
+    forward: bool = True,
+    strict: bool = False,
+) -> DataFrame:
     """``df`` with ``out``: the latest non-null ``value`` up to each row in order of ``on`` and ``ties``.
 
     ``forward=False`` looks at the rows behind instead; ``strict`` leaves the row itself out.
@@ -40,7 +50,9 @@ def carried_last(df: DataFrame, value: str, on: str, out: str, ties: tuple = (),
     return joined.withColumn(out, F.coalesce(out, "_carry")).drop("_range", "_carry")
 
 
-def running_sum(df: DataFrame, value: Column, on: str, out: str, ties: tuple = (), by: tuple = ("path",), width: int | None = None) -> DataFrame:
+def running_sum(
+    df: DataFrame, value: Column, on: str, out: str, ties: tuple = (), by: tuple = ("path",), width: int | None = None
+) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the rows up to each one, itself included.
 
     ``by`` may be empty if there is a width: then rows of all paths are one sequence.

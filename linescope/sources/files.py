@@ -90,8 +90,9 @@ class LineReader(DataSourceReader):
                 starts = np.concatenate(([0], ends[:-1] + 1))
                 sizes = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
                 text = pa.StringArray.from_buffers(len(ends), pa.py_buffer(sizes), pa.py_buffer(codes[codes != 10]))
-                rows = (pa.repeat(part.path, len(ends)), pa.repeat(pa.scalar(part.begin, pa.int64()), len(ends)), pa.array(np.arange(n, n + len(ends))), pa.array(at + starts), text)
-                yield pa.RecordBatch.from_arrays([*rows], names=names)
+                file = pa.repeat(part.path, len(ends)), pa.repeat(pa.scalar(part.begin, pa.int64()), len(ends))
+                places = pa.array(np.arange(n, n + len(ends))), pa.array(at + starts)
+                yield pa.RecordBatch.from_arrays([*file, *places, text], names=names)
             n += len(ends)
         if self.count:
             yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([part.begin]), pa.array([n])], names=["path", "block", "n"])

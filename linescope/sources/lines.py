@@ -93,7 +93,8 @@ def _numbered(batches):
             k[:end] += lines
             at[:end] += total
         last, seq, lines, total = block[-1], int(order[-1]), int(k[-1]) + 1, int(at[-1] + sizes[-1])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k), pa.array(at), b.column(2), b.column(3)], names=["ident", "k", "at", "n_bytes", "text"])
+        columns = [b.column(0), pa.array(k), pa.array(at), b.column(2), b.column(3)]
+        yield pa.RecordBatch.from_arrays(columns, names=["ident", "k", "at", "n_bytes", "text"])
 
 
 def lines_from_column(df: DataFrame, key: str | list[str], text: str) -> DataFrame:

@@ -123,7 +123,8 @@ class TailReader(DataSourceStreamReader):
                     offsets.append(at)
                     at += len(line) + 1
                 texts = [line.removesuffix(b"\r").decode("utf-8", "replace") for line in lines]
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(lines)), pa.array(offsets, pa.int64()), pa.array(texts, pa.string())], names=["path", "byte_off", "text"])
+                columns = [pa.repeat(partition.path, len(lines)), pa.array(offsets, pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "byte_off", "text"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -185,7 +186,8 @@ def replay_stream(stream: DataFrame, key: str, ts: str, table: str, checkpoint:
         spark = batch.sparkSession
         rows = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/{number - 1}"))
         ties = [ts, *([F.col(value).isNull()] if value else [])]
-        rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*ties)).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{table}/{number}")
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*ties)).alias("r")).select("r.*")
+        newest.write.mode("overwrite").parquet(f"{table}/{number}")
         if number > 1:
             old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{number - 2}")
             old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
