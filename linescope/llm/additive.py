@@ -153,7 +153,8 @@ def _search(scratch: Scratch, kept: DataFrame, asked: DataFrame, dims: int, k: i
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 codes, norms = model.value.encode(_floats(part.column(1), dims, scale))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))], names=["class", "codes", "norm"])
+                columns = [part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "codes", "norm"])
 
     index = scratch.write(classes.mapInArrow(encode, "class long, codes binary, norm float"), "index" + tag)
     number = index.count()
@@ -214,6 +215,7 @@ def _candidates(index: DataFrame, shared, model) -> DataFrame:
             for begin in range(0, len(codes), 2048):
                 guess = guesses(tables, codes[begin : begin + 2048], norms[begin : begin + 2048])
                 i, j = np.nonzero(guess <= limits[at : at + 256, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(classes[begin + j]), pa.array(guess[i, j])], names=["query_id", "class", "guess"])
+                columns = [pa.array(ids[at + i]), pa.array(classes[begin + j]), pa.array(guess[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "class", "guess"])
 
     return index.mapInArrow(scan, "query_id long, class long, guess float")

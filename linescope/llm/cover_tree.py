@@ -298,9 +298,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
         named = connected_components(scratch, edges)
         stats = totals.join(named, F.col("id") == F.col("node"), "left").select("id", "links", "component")
         members = members.join(stats, "id", "left")
-    joined = vectors.select(key).join(members.groupBy("_key").agg(F.min(F.coalesce("component", "id")).alias("c"), F.max(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n")), F.col(key) == F.col("_key"), "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
+    members = members.groupBy("_key").agg(F.min(F.coalesce("component", "id")).alias("c"), F.max(links).alias("n"))
+    joined = vectors.select(key).join(members, F.col(key) == F.col("_key"), "left")
     component = F.coalesce("c", F.col(key).cast("long"))
-    return joined.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(False)).alias("kept"))
+    kept = F.coalesce(component == F.col(key), F.lit(False)).alias("kept")
+    return joined.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept)
 
 
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:

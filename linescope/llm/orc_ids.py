@@ -52,8 +52,9 @@ def write_ids(
             ids = np.insert(ids.astype(np.int32), bounds[1:], end_id)
             offsets = np.concatenate(([0], ends)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-            columns = [b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(at + offsets[:-1].astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            places = pa.array(np.full(b.num_rows, part, np.int32)), pa.array(at + offsets[:-1].astype(np.int64))
+            sizes = pa.array(np.diff(offsets).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), *places, sizes, lists], names=schema.names)
             at += int(ends[-1])
 
     ordered = docs.select(key, text).repartitionByRange(partitions(docs.sparkSession), key).sortWithinPartitions(key, text)

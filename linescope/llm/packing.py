@@ -287,7 +287,11 @@ def _evolved(scratch: Scratch, blocks: DataFrame, islands: int, epochs: int, lim
             given = given.select("block", "sizes", "island", F.concat("elites", "migrants").alias("elites"))
         dealt = given.select("block", "island", "sizes", "elites").repartition(min(count, 4096), "block", "island")
         fresh = scratch.write(dealt.mapInArrow(epoch(number), schema), f"state-{level}-{number}")
-        state = fresh if state is None else scratch.write(state.join(fresh.select("block").distinct(), "block", "left_anti").union(fresh), f"joined-{level}-{number}")
+        if state is None:
+            state = fresh
+        else:
+            resting = state.join(fresh.select("block").distinct(), "block", "left_anti")
+            state = scratch.write(resting.union(fresh), f"joined-{level}-{number}")
         if _moving(state).isEmpty():
             break
     chosen = state.groupBy("block").agg(F.min_by("elites", F.struct("bins", "island")).alias("elites"))

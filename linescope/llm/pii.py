@@ -62,7 +62,8 @@ def permuted_digits(key: str, kind: str, digits: Column) -> Column:
     tag = F.concat(F.lit(f"{kind}/"), n.cast("string"))
     pair = feistel(key, tag, digits.substr(F.lit(1), u), digits.substr(u + 1, n - u), ten(u), ten(n - u))
     # one evaluation of the pair: an array of one element is mapped to its string
-    return F.element_at(F.transform(F.array(pair), lambda p: F.concat(F.when(u > 0, F.lpad(p["a"].cast("string"), u, "0")).otherwise(F.lit("")), F.lpad(p["b"].cast("string"), n - u, "0"))), 1)
+    left = lambda p: F.when(u > 0, F.lpad(p["a"].cast("string"), u, "0")).otherwise(F.lit(""))
+    return F.element_at(F.transform(F.array(pair), lambda p: F.concat(left(p), F.lpad(p["b"].cast("string"), n - u, "0"))), 1)
 
 
 def luhn_sum(digits: Column) -> Column:

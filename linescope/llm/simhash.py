@@ -232,7 +232,8 @@ def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
             often = counts[which] > 1
             nodes = b.column(0).to_numpy()
             here = np.bincount(owner[often], minlength=len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([here.astype("<i8").tobytes()]), pa.array([nodes.astype("<i8").tobytes()])], names=names)
+            counted = [pa.array([-1], pa.int64()), pa.array([here.astype("<i8").tobytes()]), pa.array([nodes.astype("<i8").tobytes()])]
+            yield pa.RecordBatch.from_arrays(counted, names=names)
             hashes = np.concatenate((distinct[counts > 1], found[~often]))
             mine = np.concatenate((np.full(int((counts > 1).sum()), SHARED), nodes[owner[~often]]))
             place = (hashes >> np.uint64(32)) % np.uint64(buckets)
@@ -253,7 +254,12 @@ def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
 
     names = ["bucket", "left", "nodes"]
     dealt = texts.select("node", "text").mapInArrow(deal, "bucket long, left binary, nodes binary")
-    here = dealt.where("bucket < 0").mapInArrow(lambda batches: (count(pa.Table.from_batches([b])).to_batches()[0] for b in batches if b.num_rows), "node long, shared long")
+    def counted_here(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from count(pa.Table.from_batches([b.slice(i, 1)])).to_batches()
+
+    here = dealt.where("bucket < 0").mapInArrow(counted_here, "node long, shared long")
     there = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(count, "node long, shared long")
     return here.union(there).groupBy("node").agg(F.sum("shared").alias("shared"))
 
