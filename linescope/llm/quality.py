@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     columns = [key, *keep]
 
     def rate(batches):
-        for b in (s for batch in batches for s in _blocks(batch, len(columns))):
+        for b in (s for batch in tokens.tidied(batches) for s in _blocks(batch, len(columns))):
             counts = term_counts(_bytes(b.column(len(columns))))
             scores = np.clip(shared.value.score(np.minimum(counts, 60_000)), 0, 1)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores, pa.float64())], names=[*columns, name])

@@ -45,7 +45,7 @@ HALF, UNCERTAIN = 2, 8
 #: Most of the 64 bits for a first look that may differ: 10 are expected at a similarity of 0.8, with a deviation of 3.
 APART = 22
 #: Shingles in a bucket in which they are counted, and what stands there for several texts.
-IN_BUCKET, SHARED = 1 << 19, -(1 << 63)
+IN_BUCKET, SHARED = 1 << 21, -(1 << 63)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -207,7 +207,7 @@ def signatures(texts: DataFrame, words: int, parts: int, width: int) -> DataFram
     """``(node, size, look, faces)`` of ``texts(node, text)``: how many shingles, and their fingerprint."""
 
     def hashed(batches):
-        for b in (s for batch in batches for s in tokens.slices(batch, 1, tokens.FEW)):
+        for b in (s for batch in tokens.tidied(batches) for s in tokens.slices(batch, 1, tokens.FEW)):
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             prints = [long_fingerprint(s, parts, width) for s in sets]
             columns = [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([p[0] for p in prints], pa.int64())]
@@ -225,7 +225,7 @@ def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
     """
 
     def deal(batches):
-        for b in (s for batch in batches for s in tokens.slices(batch, 1, tokens.FEW)):
+        for b in (s for batch in tokens.tidied(batches) for s in tokens.slices(batch, 1, tokens.FEW)):
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             found, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             distinct, which, counts = np.unique(found, return_inverse=True, return_counts=True)
@@ -289,7 +289,7 @@ def shingled(texts: DataFrame, words: int) -> DataFrame:
     """``(node, shingles)`` of ``texts(node, text)``."""
 
     def hashed(batches):
-        for b in (s for batch in batches for s in tokens.slices(batch, 1, tokens.FEW)):
+        for b in (s for batch in tokens.tidied(batches) for s in tokens.slices(batch, 1, tokens.FEW)):
             sets = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 

@@ -9,6 +9,7 @@ library's Unicode version, are left to its whole ``encode``, and so are all text
 
 from __future__ import annotations
 
+import ctypes
 import json
 import unicodedata
 from array import array
@@ -176,6 +177,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def tidied(batches):
+    """The same batches; at their end the worker, which Spark keeps for later tasks, gives back the memory they took."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, at_once: int = AT_ONCE):
     """A batch in parts of about ``at_once`` bytes of the text in ``column``; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
