@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 #: Pieces whose ids a worker remembers in each of two generations, texts' bytes that it encodes at once, and bytes that
 #: other operators look at once, which hold more arrays for each byte.
-REMEMBERED, AT_ONCE, FEW = 250_000, 2 << 20, 1 << 20
+REMEMBERED, AT_ONCE, FEW = 120_000, 2 << 20, 1 << 20
 #: Longer pieces are not remembered.
 LONGEST = 80
 #: Classes of characters. Texts are put behind each other with a noncharacter between.
