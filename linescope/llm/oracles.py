@@ -32,4 +32,13 @@ SELECT doc_id, size, ss AS source_size, target, taken, CASE WHEN taken > 0 THEN
   WHEN kind = 1 THEN 0.0::DOUBLE + 2.0::DOUBLE * x / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 0.0::DOUBLE * x))
   ELSE 0.0::DOUBLE + 2.0::DOUBLE * x / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * x)) END::DOUBLE END AS position FROM taken"""
 
-ORACLE_SQL = {"op5_additive": NEAREST, "op6_mixing": MIXED, "op9_cover_tree": NEAR}
+#: All lines of a document that are lost are lost together, so a document's lines are joined with the keys it loses.
+COMMON = r"""WITH cut AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM cut),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k, MAX(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING COUNT(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, line, pos, last IS NOT NULL AND last <> doc_id AS gone FROM keyed LEFT JOIN common USING (k))
+SELECT doc_id, COUNT(*) AS n_lines, CAST(SUM(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+ORACLE_SQL = {"op5_additive": NEAREST, "op6_mixing": MIXED, "op9_cover_tree": NEAR, "op11_line_dedup": COMMON}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import additive, cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
+from linescope.llm import additive, cover_tree, line_dedup, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
 from linescope.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -58,6 +58,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.without_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -69,4 +74,5 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_cover_tree": op9_cover_tree,
     "op10_secrets": op10_secrets,
+    "op11_line_dedup": op11_line_dedup,
 }
