@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import additive, cover_tree, line_dedup, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings
+from linescope.llm import additive, cover_tree, line_dedup, mixing, orc_ids, packing, periods, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
 from linescope.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -63,6 +63,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.planted_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -75,4 +79,5 @@ QUERIES = {
     "op9_cover_tree": op9_cover_tree,
     "op10_secrets": op10_secrets,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
