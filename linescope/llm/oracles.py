@@ -41,4 +41,23 @@ marked AS (SELECT doc_id, line, pos, last IS NOT NULL AND last <> doc_id AS gone
 SELECT doc_id, COUNT(*) AS n_lines, CAST(SUM(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
   sha256(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
 
-ORACLE_SQL = {"op5_additive": NEAREST, "op6_mixing": MIXED, "op9_cover_tree": NEAR, "op11_line_dedup": COMMON}
+#: Shares of all kept terms in all sources, also of those that a source lacks.
+DIVERGED = r"""WITH d AS (SELECT row_number() OVER () AS r, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+  translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+each AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+held AS (SELECT r, lang, source, term, COUNT(*) AS n FROM each GROUP BY ALL),
+counts AS (SELECT lang, source, term, SUM(n) AS n, COUNT(*) AS docs FROM held GROUP BY ALL),
+kept AS (SELECT lang, term, SUM(n) AS total FROM counts GROUP BY ALL HAVING SUM(docs) >= 3),
+langs AS (SELECT lang, COUNT(term) AS v, COALESCE(SUM(total), 0) AS size FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+own AS (SELECT lang, source, SUM(n) AS size FROM counts JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, COALESCE(size, 0) AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN own USING (lang, source)),
+shares AS (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n, 1 + 1000000000 * (COALESCE(c.n, 0) + 1) // (g.size + l.v) AS p, 1 + 1000000000 * (k.total + 1) // (l.size + l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, COALESCE(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200"""
+
+ORACLE_SQL = {"op5_additive": NEAREST, "op6_mixing": MIXED, "op9_cover_tree": NEAR, "op11_line_dedup": COMMON, "op13_divergence": DIVERGED}

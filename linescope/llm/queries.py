@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linescope.llm import additive, cover_tree, line_dedup, mixing, orc_ids, packing, periods, pii, quality, secrets, simhash, substrings
+from linescope.llm import additive, cover_tree, divergence, line_dedup, mixing, orc_ids, packing, periods, pii, quality, secrets, simhash, substrings
 from linescope.llm.common import Scratch, table
 from linescope.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -67,6 +67,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.planted_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -80,4 +84,5 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_line_dedup": op11_line_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_divergence": op13_divergence,
 }
