@@ -53,15 +53,73 @@ def head(text: Column, limit: int = MATCH_LIMIT) -> Column:
     return F.when(F.octet_length(text) > limit, F.regexp_replace(cut, "\\x{FFFD}$", "")).otherwise(text)
 
 
+def required(pattern: Pattern) -> str:
+    """The longest text that every match of a case-sensitive expression has, as far as a look at its top level shows.
+
+    Groups, classes and what a quantifier may leave out are passed over; alternatives, flags and escapes with arguments
+    give up (''). A text of one character is not worth looking for.
+    """
+    body, runs, depth, i = pattern.text, [""], 0, 0
+    if pattern.ignore_case or not pattern.regex:
+        return "" if pattern.ignore_case else body
+    while i < len(body):
+        c, i = body[i], i + 1
+        if c == "\\":
+            c, i = body[i : i + 1], i + 1
+            if c == "" or c in "xucpPkNQE0123456789":
+                return ""
+            if depth == 0:
+                runs += [""] if c.isalnum() else []
+                runs[-1] += "" if c.isalnum() else c
+        elif c == "[":
+            open_, i = 1, i + body.startswith("^", i)
+            if body.startswith("]", i):
+                return ""
+            while open_ and i < len(body):
+                c, i = body[i], i + 1
+                if c == "\\":
+                    if body[i : i + 1] in ("Q", "E"):
+                        return ""
+                    i += 1
+                open_ += {"[": 1, "]": -1}.get(c, 0)
+            runs.append("")
+        elif c == "(":
+            if body[i : i + 1] == "?" and body[i + 1 : i + 2] not in (":", "=", "!", "<", ">"):
+                return ""
+            depth += 1
+            runs.append("")
+        elif c == ")":
+            depth -= 1
+            runs.append("")
+        elif depth:
+            continue
+        elif c == "|":
+            return ""
+        elif c in "?*{":
+            runs[-1] = runs[-1][:-1]
+            runs.append("")
+            if c == "{" and "}" not in body[i:]:
+                return ""
+            i = body.index("}", i) + 1 if c == "{" else i
+        elif c in ".^$+":
+            runs.append("")
+        else:
+            runs[-1] += c
+    return max((r for r in runs if len(r) > 1 and not set(r) & {"\r", "\n"}), key=len, default="")
+
+
 def matches(text: Column, pattern: Pattern, limit: int | None = MATCH_LIMIT) -> Column:
     """Whether a line has the pattern: one search strategy by kind of pattern.
 
     Patterns other than plain case-sensitive text see ``limit`` bytes of the line, as in the reference's search; None is
-    the whole line, as the operators have it.
+    the whole line, as the operators have it. What an expression's matches must have is looked for first, by a comparison
+    that sources can take over.
     """
     if pattern.plain:
         return F.lit(False) if set(pattern.text) & {"\r", "\n"} else text.contains(pattern.text)
-    return (text if limit is None else head(text, limit)).rlike(pattern.java())
+    found = (text if limit is None else head(text, limit)).rlike(pattern.java())
+    literal = required(pattern)
+    return text.contains(literal) & found if literal else found
 
 
 #: Characters that stand for nothing in any text; one that a text does not have marks its matches.

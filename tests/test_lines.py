@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from linescope.sources import encoding, lines
+from linescope.sources import encoding, files, lines
 
 
 def plain_lines(data: bytes, bom: int = 0):
@@ -61,31 +62,57 @@ def test_numbers_and_offsets_over_many_splits(spark, folder):
 
 
 @pytest.mark.parametrize("size, block", [(20_000, 4 << 20), (1000, 64), (7, 3), (64 << 20, 4 << 20)])
-def test_numbered_files(spark, folder, monkeypatch, size, block):
-    from linescope.sources import files
-
-    monkeypatch.setattr(files, "BLOCK", block)
-    small = [p for p in folder.iterdir() if p.name != "big" or size > 10]
-    for path in small:
+def test_whole_lines_of_ranges(folder, size, block):
+    for path in (p for p in folder.iterdir() if p.name != "big" or size > 10):
         data = path.read_bytes()
+        found = [files.starts(f"file:{path}", 0, at, min(at + size, len(data))) for at in range(0, len(data), size)]
+        firsts = [f[1] for f in found if f[0]] + [len(data)]
         got, n = [], 0
-        reader = files.LineReader({"files": f"{len(data)} file:{path}", "count": "false"})
-        monkeypatch.setattr(files, "RANGE", size)
-        for part in reader.partitions():
-            first = n
-            for b in reader.read(part):
-                for k, at, raw in zip(*(b.column(c).to_pylist() for c in (2, 3, 4))):
-                    got.append((first + k, at, len(raw.encode()), raw.removesuffix("\r")))
-                    n = first + k + 1
+        for start, stop in zip(firsts, firsts[1:]):
+            for at, part, _ in files.whole_lines(f"file:{path}", start, stop, block=block):
+                begins, lengths, raw = files.split_lines(part)
+                got += [(n + k, at + b, size_, t.removesuffix("\r")) for k, (b, size_, t) in enumerate(zip(begins.tolist(), lengths.tolist(), raw.to_pylist()))]
+                assert files.split_lines(part, bare=True)[2].to_pylist() == [t.removesuffix("\r") for t in raw.to_pylist()]
+                n += len(begins)
         assert got == plain_lines(data, 3 if path.name == "big" else 0), path.name
+        assert sum(f[0] for f in found) == len(got) and (not got or max(f[2] for f in found if f[2] is not None) == got[-1][1])
+
+
+@pytest.mark.parametrize("width", [997, 64 << 20])
+def test_numbered_files(spark, folder, width):
     found = {}
-    for r in files.numbered_files(spark, str(folder)).collect():
+    for r in files.numbered_files(spark, str(folder), width=width).collect():
         found.setdefault(r["path"].rsplit("/", 1)[1], []).append(tuple(r)[1:])
     for path in folder.iterdir():
         assert sorted(found.get(path.name, [])) == plain_lines(path.read_bytes(), 3 if path.name == "big" else 0), path.name
     assert files.numbered_files(spark, str(folder / "empty")).count() == 0
 
 
+def test_a_line_over_many_ranges(spark, tmp_path):
+    """Its bytes are read by one task, in one piece; lines behind it are other tasks'."""
+    long = ("é" * 40_000 + "x") * 40
+    (tmp_path / "long").write_text(f"first\n{long}\nlast\n")
+    ranges = files.ranges_of(files.listed(spark, str(tmp_path)).withColumn("origin", F.lit(0).cast("long")), 50_000)
+    spans = sorted(tuple(r)[1:] for r in files.spans_of(files.measured(ranges)).collect())
+    size = len(long.encode())
+    assert spans == [(0, size + 7, 0), (size + 7, size + 12, 2)]
+    got = [tuple(r)[1:] for r in files.numbered_files(spark, str(tmp_path), width=50_000).orderBy("line_no").collect()]
+    assert got == [(0, 0, 5, "first"), (1, 6, size, long), (2, size + 7, 4, "last")]
+    cut = files.numbered_files(spark, str(tmp_path), width=50_000, longest=10_001).orderBy("line_no").collect()
+    assert [tuple(r)[1:] for r in cut] == [(0, 0, 5, "first"), (1, 6, size, "é" * 5000), (2, size + 7, 4, "last")]
+
+
+def test_lines_beyond_the_limit(tmp_path, monkeypatch):
+    (tmp_path / "long").write_bytes(b"a\n" + b"x" * 1000 + b"\nb\n")
+    path = f"file:{tmp_path}/long"
+    monkeypatch.setattr(files, "LONGEST", 900)
+    with pytest.raises(ValueError, match="give longest="):
+        list(files.whole_lines(path, 0, 1005, block=64))
+    for block in (64, 4096):
+        rows = list(files.whole_lines(path, 0, 1005, longest=100, block=block))
+        assert b"".join(r[1] for r in rows).count(b"x") == (100 if block == 64 else 1000) and sum(r[2] for r in rows) == (900 if block == 64 else 0)
+
+
 def test_search_of_files(spark, folder):
     from linescope.functions.patterns import Pattern
     from linescope.operators import search

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linescope.functions import cells
-from linescope.functions.patterns import Pattern, matches, quoted
+from linescope.functions.patterns import Pattern, matches, quoted, required
 from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
 from linescope.sources import lines as L
@@ -368,3 +368,23 @@ def test_lines_longer_than_64_kib(spark):
     made = [rules.Rule(0, Pattern("tion"), fg=1), rules.Rule(1, Pattern("(T)ion", regex=True), fg=2)]
     assert sorted(r["start"] for r in rules.rule_spans(lines, made).collect()) == sorted([*at, line.index("Tion")])
     assert rules.painted_spans(lines, made).count() == 3
+
+
+@pytest.mark.parametrize(
+    "pattern, want",
+    [("^line [0-9]*99 of", "line "), ("abc|def", ""), ("ab*cd", "cd"), ("(ab)cd", "cd"), (r"x[a\]b]yz", "yz"), ("[[a]b]cd", "cd"), ("(?i)ab", ""), ("(?:ab|cd)efg", "efg")]
+    + [(r"\Qab\E", ""), ("ab+cd", "ab"), ("ab{2,3}cd", "cd"), (r"a\.b\d+foo", "a.b"), ("foo(?=bar)", "foo"), ("a[^]]bcd]", ""), (r"[\\\]]]abc", "]abc"), (r"(a\)b)cde", "cde"), (r"(a)\11bc", ""), ("ab{c", "")],
+)
+def test_what_matches_must_have(pattern, want):
+    assert required(Pattern(pattern, regex=True)) == want
+
+
+def test_searches_with_a_required_text_lose_nothing(spark):
+    rng = random.Random(4)
+    parts = ["a", "b", "ab", "a*", "b+", "(ab)?", "[ab]", "[^a]", "a{1,2}", ".", "(?:a|b)c", "c", "ca", "^", "$", r"\w", "(?=c)"]
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    some = [Pattern("".join(rng.choices(parts, k=4)), regex=True) for _ in range(60)]
+    both = rows.select("text", *[F.struct(matches(F.col("text"), p, None), F.col("text").rlike(p.java())).alias(f"p{i}") for i, p in enumerate(some)])
+    found = [v for r in both.collect() for v in r[1:]]
+    assert all(a == b for a, b in found) and sum(a for a, _ in found) > 500 and sum(bool(required(p)) for p in some) > 20
