@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions.arrays import let
 from linescope.functions.cells import colour
+from linescope.functions.many import FEW, matching
 from linescope.functions.patterns import Pattern, matches, spans
 
 #: Rules in one expression; more are dealt over several, as generated code is limited in size.
@@ -59,17 +60,24 @@ def _each(rules: list[Rule], make) -> Column:
 
 
 def rule_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A row for each line and rule that matches it, in one scan."""
-    hit = _each(rules, lambda r: F.when(matches(F.col("text"), r.pattern, None), F.lit(r.rule_pos)))
-    return lines.withColumn("rule_pos", F.explode(hit))
+    """A row for each line and rule that matches it, in one scan, however many rules there are."""
+    return lines.withColumn("rule_pos", F.explode(_matched(rules)))
 
 
 def classify_lines(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Each line with the first rule that matches it, null if none does."""
+    if len(rules) > FEW:
+        return lines.withColumn("rule_pos", F.get(_matched(rules), F.lit(0)))
     first = F.coalesce(*[F.when(matches(F.col("text"), r.pattern, None), F.lit(r.rule_pos)) for r in rules])
     return lines.withColumn("rule_pos", first)
 
 
+def _matched(rules: list[Rule]) -> Column:
+    """``rule_pos`` of the rules that match a line, in their order."""
+    places = F.array(*[F.lit(r.rule_pos) for r in rules])
+    return F.transform(matching(F.col("text"), [r.pattern for r in rules]), lambda i: F.get(places, i))
+
+
 def _painted_by(r: Rule) -> Column:
     text, pos = F.col("text"), F.lit(r.rule_pos)
     fg, bg = F.lit(r.fg).cast("bigint").alias("fg"), F.lit(r.bg).cast("bigint").alias("bg")

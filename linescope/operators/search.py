@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linescope.functions.many import matching
 from linescope.functions.patterns import Pattern, matches, segments, spans
 from linescope.plans.ordered import BYTES, carried_last, running_sum
 from linescope.sources.lines import number_lines
@@ -46,9 +47,13 @@ def search_summary(lines: DataFrame, pattern: Pattern, max_hits: int = MAX_HITS)
 
 
 def search_many(lines: DataFrame, filters: dict[str, Pattern]) -> DataFrame:
-    """All named filters in one scan: a row for each line and filter that matches it."""
-    names = F.array(*[F.when(matches(F.col("text"), p.check(), None), F.lit(n)) for n, p in filters.items()])
-    return lines.withColumn("filter_name", F.explode(F.array_compact(names)))
+    """All named filters in one scan: a row for each line and filter that matches it.
+
+    More than a few filters are looked for together (``functions.many``), hundreds at little more than the cost of one.
+    """
+    found = matching(F.col("text"), [p.check() for p in filters.values()])
+    names = F.array(*[F.lit(n) for n in filters])
+    return lines.withColumn("filter_name", F.explode(F.transform(found, lambda i: F.get(names, i))))
 
 
 def match_spans(lines: DataFrame, pattern: Pattern) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linescope.functions import cells
+from linescope.functions.many import matching
 from linescope.functions.patterns import Pattern, matches, quoted, required
 from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
@@ -388,3 +389,26 @@ def test_searches_with_a_required_text_lose_nothing(spark):
     both = rows.select("text", *[F.struct(matches(F.col("text"), p, None), F.col("text").rlike(p.java())).alias(f"p{i}") for i, p in enumerate(some)])
     found = [v for r in both.collect() for v in r[1:]]
     assert all(a == b for a, b in found) and sum(a for a, _ in found) > 500 and sum(bool(required(p)) for p in some) > 20
+
+
+def test_many_patterns_are_as_each_alone(spark):
+    """Hundreds of patterns of all kinds together find what each finds alone."""
+    rng = random.Random(9)
+    letters = "abKkSsſKİıiéÉßẞΣσς.é"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    rows = spark.createDataFrame([(None,), ("",), ("abab\r",), *((word(rng.randrange(30)),) for _ in range(300))], "text string")
+    some = [Pattern(word(rng.randrange(1, 4))) for _ in range(60)] + [Pattern(word(rng.randrange(1, 4)), ignore_case=True) for _ in range(60)]
+    some += [Pattern(quoted(word(2)) + rng.choice(["", ".", "[ab]+", "|x"]), regex=True, ignore_case=i % 2 == 0) for i in range(40)]
+    some += [Pattern(word(3).replace(".", "x") + "[a-z]?", regex=True) for _ in range(40)] + [Pattern("ab\r"), some[0], some[61]]
+    alone = [F.coalesce(matches(F.col("text"), p, None), F.lit(False)) for p in some]
+    both = rows.select("text", matching(F.col("text"), some).alias("many"), F.array(*alone).alias("each")).collect()
+    assert all(r["many"] == [i for i, hit in enumerate(r["each"]) if hit] for r in both)
+    assert sum(len(r["many"]) for r in both) > 1500
+    own = [Rule(i * 2, p, fg=i + 1) for i, p in enumerate(some)]
+    lines = rows.where("text is not null")
+    hits = sorted((r["text"], r["rule_pos"]) for r in rules.rule_hits(lines, own).collect())
+    assert hits == sorted((r["text"], i * 2) for r in both if r["text"] is not None for i in r["many"])
+    first = {r["text"]: r["rule_pos"] for r in rules.classify_lines(lines, own).collect()}
+    assert first == {r["text"]: r["many"][0] * 2 if r["many"] else None for r in both if r["text"] is not None}
+    named = search.search_many(lines, {f"f{i}": p for i, p in enumerate(some)})
+    assert sorted((r["text"], r["filter_name"]) for r in named.collect()) == sorted((t, f"f{i // 2}") for t, i in hits)
