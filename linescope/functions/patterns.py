@@ -126,13 +126,19 @@ def matches(text: Column, pattern: Pattern, limit: int | None = MATCH_LIMIT) ->
 MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 
 
+def mark_of(text: Column) -> Column:
+    """A noncharacter that a text does not have; a text that has all of them is an error."""
+    free = [F.when(~text.contains(m), F.lit(m)) for m in MARKS]
+    return F.coalesce(*free, F.when(text.isNotNull(), F.raise_error("a text has all noncharacters: its matches cannot be marked").cast("string")))
+
+
 def _pieces(text: Column, pattern: Pattern) -> Column:
     """The text cut at the borders of its matches: gap, match, gap, match, ..., gap.
 
     The engine itself sets the marks as it replaces, so any pattern is cut where it matches, also one that matches the
     empty string or looks around.
     """
-    mark = F.coalesce(*[F.when(~text.contains(m), F.lit(m)) for m in MARKS])
+    mark = mark_of(text)
     return F.split(F.regexp_replace(text, F.lit(pattern.java()), F.concat(mark, F.lit("$0"), mark)), mark, -1)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linescope.functions.arrays import let
 from linescope.functions.cells import colour
+from linescope.functions.groups import Layout, Syntax, group_spans
 from linescope.functions.many import FEW, matching
 from linescope.functions.patterns import Pattern, matches, spans
 
@@ -45,7 +46,7 @@ def compiled(usable: DataFrame) -> tuple[list[Rule], list[str]]:
     for r in usable.orderBy("rule_pos").collect():
         try:
             pattern = Pattern(r["pattern"], r["is_regex"], r["ignore_case"]).check()
-            if has_groups(pattern):
+            if has_groups(pattern) and not Layout.of(pattern.text):
                 with_groups(pattern)
             good.append(Rule(r["rule_pos"], pattern, r["fg"], r["bg"], r["whole_line"]))
         except ValueError:
@@ -84,20 +85,28 @@ def _painted_by(r: Rule) -> Column:
     if r.whole_line:
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("len"), pos.alias("rule_pos"), fg, bg))
         return F.when(matches(text, r.pattern, None) & (F.length(text) > 0), whole)
-    found = group_spans(r.pattern)(F.when(matches(text, r.pattern, None), text)) if has_groups(r.pattern) else spans(text, r.pattern)
+    if has_groups(r.pattern):
+        seen, layout = F.when(matches(text, r.pattern, None), text), Layout.of(r.pattern.text)
+        found = group_spans(seen, r.pattern, layout) if layout else repeated_groups(r.pattern)(seen)
+    else:
+        found = spans(text, r.pattern)
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), pos.alias("rule_pos"), fg, bg))
 
 
 def has_groups(pattern: Pattern) -> bool:
-    """Whether a regular expression may capture (a parenthesis in a character class counts as one, which does no harm)."""
-    return pattern.regex and bool(regex.search(r"(?<!\\)\((?!\?)|\(\?<[a-zA-Z]", pattern.text))
+    """Whether a regular expression captures."""
+    return pattern.regex and Syntax(pattern.text).count > 0
 
 
 def with_groups(pattern: Pattern) -> regex.Pattern:
     """A pattern with groups for the ``regex`` module, whose syntax has nearly all of Java's; ValueError if it lacks some.
 
-    Quotations, names of groups and ends of text are written anew; ``\\w`` knows no joiners there.
+    Needed only for groups inside something that repeats or looks around. Quotations, names of groups and ends of text
+    are written anew; ``\\w`` knows no joiners there. Classes with others inside or with ``&&`` mean something else there
+    and are refused.
     """
+    if Syntax(pattern.text).sets:
+        raise ValueError(f"groups that repeat are not found beside such classes: {pattern.text!r}")
     parts = []
     for i, part in enumerate(regex.split(r"\\Q(.*?)(?:\\E|$)", pattern.text, flags=regex.DOTALL)):
         if i % 2:
@@ -113,8 +122,8 @@ def with_groups(pattern: Pattern) -> regex.Pattern:
         raise ValueError(f"groups of this pattern cannot be found: {pattern.text!r} ({error})") from error
 
 
-def group_spans(pattern: Pattern):
-    """An Arrow UDF for patterns with groups: spans of the groups that matched something, else of the whole match."""
+def repeated_groups(pattern: Pattern):
+    """An Arrow UDF for patterns with groups that have no layout: spans of the groups that matched something, else of the whole match."""
     compiled = with_groups(pattern)
     source, flags = compiled.pattern, compiled.flags
 

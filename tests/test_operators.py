@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linescope.functions import cells
+from linescope.functions.groups import Layout, Syntax, group_spans
 from linescope.functions.many import matching
 from linescope.functions.patterns import Pattern, matches, quoted, required
 from linescope.operators import blocks, marks, position, rules, search, tokens
@@ -277,8 +278,8 @@ def test_groups_in_java_syntax(spark):
     out = sorted((r["rule_pos"], r["start"], r["len"]) for r in rules.rule_spans(frame(spark, "éax (12-12"), own).collect())
     assert out == [(0, 0, 2), (1, 5, 2), (1, 7, 3)]
     with pytest.raises(ValueError):
-        rules.rule_spans(frame(spark, "a"), [Rule(0, Pattern(r"(\p{javaLowerCase}+)x", regex=True), fg=1)])
-    rows = [("s", i, p, True, False, "#000001", None, False, True) for i, p in enumerate([r"(\p{javaLowerCase})x", r"(a)"])]
+        rules.rule_spans(frame(spark, "a"), [Rule(0, Pattern(r"(?:(\p{javaLowerCase}+)x)+", regex=True), fg=1)])
+    rows = [("s", i, p, True, False, "#000001", None, False, True) for i, p in enumerate([r"((\p{javaLowerCase})x)*", r"(a)"])]
     df = spark.createDataFrame(rows, "set_id string, rule_pos int, pattern string, is_regex boolean, ignore_case boolean, fg string, bg string, whole_line boolean, enabled boolean")
     good, bad = rules.compiled(rules.usable_rules(df))
     assert [r.rule_pos for r in good] == [1] and len(bad) == 1
@@ -412,3 +413,62 @@ def test_many_patterns_are_as_each_alone(spark):
     assert first == {r["text"]: r["many"][0] * 2 if r["many"] else None for r in both if r["text"] is not None}
     named = search.search_many(lines, {f"f{i}": p for i, p in enumerate(some)})
     assert sorted((r["text"], r["filter_name"]) for r in named.collect()) == sorted((t, f"f{i // 2}") for t, i in hits)
+
+
+def java_groups(spark, pattern: Pattern, text: str) -> list[tuple[int, int]]:
+    """What Java's own matcher says (texts without surrogate pairs)."""
+    found, out = spark._jvm.java.util.regex.Pattern.compile(pattern.java()).matcher(text), []
+    while found.find():
+        groups = [(found.start(g), found.end(g) - found.start(g)) for g in range(1, found.groupCount() + 1) if found.start(g) >= 0]
+        groups = [g for g in groups if g[1]] or [(found.start(), found.end() - found.start())]
+        out += [g for g in groups if g[1]]
+    return out
+
+
+GROUPED = [r"\\(a)b", "([a-z&&[^b]]+)", "([a-c[x-z]]+)", "(a)(b)?", "(a|(b))c?", "(?:(a)|b)(c)", "x(a(b)c)x", "(a)*b", "(ab|a)+", r"(\w)\1", r"((a)b)\2", "(?i)A(B)", "a(?i)(B)c", "(?<n>a)b\\k<n>"]
+GROUPED += ["(a{2})", "(a){2}", "(a+?)(a*)", "(?:a(b)?)?c", "()a", "(a)|", "[(](a)[)]", r"\Q(\E(a)", "(?=a)(a)", "(?<=a)(b)", "(a)(?i:(b))", "([]a]+)", "^(a)|(c)$", "(a)(b)(c)(a)(b)(c)(a)(b)(c)(a)(b)"]
+
+
+def random_pattern(rng, depth=3):
+    parts = ["a", "b", "c", ".", "[ab]", "[^c]", r"\w", "\\b", "x?", "b*", "a{1,2}", "(?:ab|c)", "(?=.)"]
+    body = "|".join("".join(rng.choice(parts) if depth == 0 or rng.random() < 0.6 else random_pattern(rng, depth - 1) for _ in range(rng.randrange(1, 4))) for _ in range(rng.choice([1, 1, 2])))
+    return f"({rng.choice(['', '', '?:'])}{body}){rng.choice(['', '', '', '?', '??', '+'])}"
+
+
+def test_groups_like_javas_matcher(spark):
+    """Native spans of groups of 200 expressions are those of Java's matcher."""
+    rng = random.Random(11)
+    some = [p for p in GROUPED if Layout.of(p)]
+    assert len(some) == len(GROUPED)
+    while len(some) < 200:
+        p = "".join(random_pattern(rng) for _ in range(rng.randrange(1, 3)))
+        some += [p] if Layout.of(p) and Syntax(p).count else []
+    texts = ["aab", "", r"\ab (a)", "abcxabcx ABab", "é ba abba", "abcabcabcab"] + ["".join(rng.choice("abcx ") for _ in range(12)) for _ in range(6)]
+    rows = frame(spark, *texts).select("path", "text")
+    for at in range(0, len(some), 25):
+        own = [Pattern(p, regex=True) for p in some[at : at + 25]]
+        found = rows.select("text", *[group_spans(F.col("text"), p, Layout.of(p.text)).alias(f"p{i}") for i, p in enumerate(own)])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        for r in found.collect():
+            for i, p in enumerate(own):
+                assert sorted(map(tuple, r[f"p{i}"])) == sorted(java_groups(spark, p, r["text"])), (p.text, Layout.of(p.text).pattern, r["text"])
+
+
+@pytest.mark.parametrize("pattern", ["(?:x(a))*", "((a)b)+", "(?=(a))a", "(?x)a (b)", "(?<!(a))b", "(?>a(b)|a)c", "(a)++b", "(a)?+b"])
+def test_groups_without_a_layout(spark, pattern):
+    assert Layout.of(pattern) is None and rules.has_groups(Pattern(pattern, regex=True))
+
+
+def test_groups_that_repeat_beside_sets_are_refused(spark):
+    for p in ("(?:([a-z&&[^b]])x)+", "((a)[a-c[x-z]])+"):
+        with pytest.raises(ValueError, match="beside such classes"):
+            rules.with_groups(Pattern(p, regex=True))
+    own = [Rule(0, Pattern("((a)b)+", regex=True), fg=1)]
+    assert sorted((r["start"], r["len"]) for r in rules.rule_spans(frame(spark, "xabab"), own).collect()) == [(3, 1), (3, 2)]
+
+
+def test_a_text_with_all_marks_is_an_error(spark):
+    full = spark.createDataFrame([(1, "".join(chr(c) for c in range(0xFDD0, 0xFDF0)) + "a")], "path long, text string")
+    with pytest.raises(Exception, match="cannot be marked"):
+        search.match_spans(full, Pattern("a")).collect()
