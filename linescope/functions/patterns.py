@@ -153,7 +153,8 @@ def spans(text: Column, pattern: Pattern) -> Column:
 
     empty = F.expr("cast(array() as array<struct<start: int, len: int, matched: string>>)")
     found = let(_pieces(text, pattern), placed)
-    return F.when(text.contains(pattern.text), found).otherwise(empty) if pattern.plain else found
+    has = text.contains(pattern.text) if pattern.plain else matches(text, pattern, None)
+    return F.when(has, found).when(text.isNotNull() | F.lit(pattern.plain), empty)
 
 
 def segments(text: Column, pattern: Pattern) -> Column:

@@ -17,6 +17,8 @@ from linescope.functions.patterns import Pattern, matches, spans
 
 #: Rules in one expression; more are dealt over several, as generated code is limited in size.
 AT_ONCE = 40
+#: Borders of spans in one group of a sweep.
+BORDERS = 256
 SPANS = "array<struct<start: int, len: int, rule_pos: int, fg: bigint, bg: bigint>>"
 
 
@@ -159,7 +161,8 @@ def resolved(raw: Column) -> Column:
 
     All in one row, by a sweep over the spans' borders: between two borders each channel takes the colour of the winner
     among the spans that are open, and neighbours of equal colours are joined. A colour of 0 wins like any other and then
-    stands for none.
+    stands for none. An array grows by copying, so the sweep's pieces are put together in groups of ``BORDERS`` borders:
+    the time stays close to linear in the number of spans.
     """
 
     def border(place: str):
@@ -174,25 +177,57 @@ def resolved(raw: Column) -> Column:
         first = F.array_min(F.transform(coloured, lambda x: F.struct(x["rule_pos"].alias("p"), x[channel].alias("c"))))
         return F.coalesce(first["c"], F.lit(0).cast("bigint"))
 
-    def joined(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        touches = (last["start"] + last["len"] == x["start"]) & (last["fg"] == x["fg"]) & (last["bg"] == x["bg"])
-        wider = F.struct(last["start"].alias("start"), (last["len"] + x["len"]).alias("len"), x["fg"].alias("fg"), x["bg"].alias("bg"))
-        more = F.when(touches, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))).otherwise(F.concat(out, F.array(x)))
-        return F.when(F.size(out) == 0, F.array(x)).otherwise(more)
-
     def step(acc: Column, e: Column) -> Column:
         colours = [winner(acc["active"], c).alias(c) for c in ("fg", "bg")]
         piece = F.struct(acc["at"].alias("start"), (e["at"] - acc["at"]).alias("len"), *colours)
-        out = let(piece, lambda x: F.when((x["len"] > 0) & ((x["fg"] != 0) | (x["bg"] != 0)), joined(acc["out"], x)).otherwise(acc["out"]))
+        shown = F.filter(F.array(piece), lambda x: (x["fg"] != 0) | (x["bg"] != 0))
+        out = F.when(e["at"] > acc["at"], F.concat(acc["out"], shown)).otherwise(acc["out"])
         span = F.struct(e["i"].alias("i"), e["rule_pos"].alias("rule_pos"), e["fg"].alias("fg"), e["bg"].alias("bg"))
         active = F.when(e["kind"] == 1, F.concat(acc["active"], F.array(span))).otherwise(F.filter(acc["active"], lambda x: x["i"] != e["i"]))
         return F.struct(e["at"].alias("at"), active.alias("active"), out.alias("out"))
 
     none = F.expr("cast(array() as array<struct<start: int, len: int, fg: bigint, bg: bigint>>)")
     idle = F.expr("cast(array() as array<struct<i: int, rule_pos: int, fg: bigint, bg: bigint>>)")
-    borders = F.array_sort(F.concat(F.transform(raw, border("start")), F.transform(raw, border("end"))))
-    return F.aggregate(borders, F.struct(F.lit(0).alias("at"), idle.alias("active"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def swept(borders: Column) -> Column:
+        last = F.floor((F.size(borders) - 1) / BORDERS).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(borders, g * BORDERS + 1, F.lit(BORDERS)))
+        state = lambda at, active, out: F.struct(at.alias("at"), active.alias("active"), out.alias("out"))
+
+        def group(acc: Column, part: Column) -> Column:
+            return F.aggregate(part, state(acc["at"], acc["active"], none), step, lambda x: state(x["at"], x["active"], F.concat(acc["out"], F.array(x["out"]))))
+
+        return F.flatten(F.aggregate(groups, state(F.lit(0), idle, F.expr("cast(array() as array<array<struct<start: int, len: int, fg: bigint, bg: bigint>>>)")), group, lambda acc: acc["out"]))
+
+    def joined(pieces: Column) -> Column:
+        """Pieces that touch and have the same colours as one."""
+
+        def opens(x: Column, i: Column) -> Column:
+            before = F.get(pieces, i - 1)
+            touches = (before["start"] + before["len"] == x["start"]) & (before["fg"] == x["fg"]) & (before["bg"] == x["bg"])
+            return F.when(F.coalesce(touches, F.lit(False)), F.lit(None)).otherwise(i)
+
+        def whole(firsts: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                first, last = F.get(pieces, i), F.get(pieces, F.coalesce(F.get(firsts, k + 1), F.size(pieces)) - 1)
+                return F.struct(first["start"].alias("start"), (last["start"] + last["len"] - first["start"]).alias("len"), first["fg"].alias("fg"), first["bg"].alias("bg"))
+
+            return F.transform(firsts, one)
+
+        return let(F.array_compact(F.transform(pieces, opens)), whole)
+
+    def coloured(s: Column) -> Column:
+        fg, bg = (F.coalesce(s[c], F.lit(0).cast("bigint")).alias(c) for c in ("fg", "bg"))
+        return F.struct(s["start"].alias("start"), s["len"].alias("len"), fg, bg)
+
+    def ordered(spans_: Column) -> Column:
+        """Spans in order: if none overlaps the one behind it, they are the pieces."""
+        meets = F.exists(F.sequence(F.lit(1), F.size(spans_) - 1), lambda i: F.get(spans_, i - 1)["start"] + F.get(spans_, i - 1)["len"] > F.get(spans_, i)["start"])
+        alone = F.filter(F.transform(spans_, coloured), lambda x: (x["len"] > 0) & ((x["fg"] != 0) | (x["bg"] != 0)))
+        borders = F.array_sort(F.concat(F.transform(spans_, border("start")), F.transform(spans_, border("end"))))
+        return F.when(F.size(spans_) == 1, alone).otherwise(let(F.when(meets, let(borders, swept)).otherwise(alone), joined))
+
+    return F.when(F.size(raw) == 0, none).otherwise(let(F.array_sort(raw), ordered))
 
 
 def painted_spans(lines: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -209,7 +244,8 @@ def overlay_search(lines: DataFrame, rules: list[Rule], pattern: Pattern, bg: in
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.where(F.size("raw") > 0).withColumn("span", F.explode(resolved(F.col("raw")))).select("*", "span.*").drop("span", "raw")
+    # no filter on the number of spans: it would be moved below them, and find them twice
+    return rows.withColumn("span", F.explode(resolved(F.col("raw")))).select("*", "span.*").drop("span", "raw")
 
 
 def _set(*patterns: str, ignore_case: bool = True) -> list[Rule]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linescope.functions.many import matching
 from linescope.functions.patterns import Pattern, matches, segments, spans
 from linescope.plans.ordered import BYTES, carried_last, running_sum
-from linescope.sources.lines import number_lines
+from linescope.sources.lines import number_lines, with_all
 
 MAX_HITS = 1_000_000
 
@@ -38,12 +38,16 @@ def cap_hits(hits: DataFrame, max_hits: int = MAX_HITS, width: int | None = BYTE
     return ordinals(hits, width).where(F.col("hit_no") <= max_hits)
 
 
-def search_summary(lines: DataFrame, pattern: Pattern, max_hits: int = MAX_HITS) -> DataFrame:
-    """Per file, also without hits: ``total_hits`` up to the cap, ``truncated`` once it is reached, hits per line."""
+def search_summary(lines: DataFrame, pattern: Pattern, max_hits: int = MAX_HITS, files: DataFrame | None = None) -> DataFrame:
+    """Per file, also without hits: ``total_hits`` up to the cap, ``truncated`` once it is reached, hits per line.
+
+    With ``files`` (path), files without lines have a row too: no hits, and a ratio of null.
+    """
     hit = matches(F.col("text"), pattern.check(), None).cast("long")
     found = lines.groupBy("path").agg(F.sum(hit).alias("n"), F.count("*").alias("lines"))
+    found = found if files is None else with_all(found, files, ["path"], ("n", "lines"))
     total, truncated = F.least("n", F.lit(max_hits)).alias("total_hits"), (F.col("n") >= max_hits).alias("truncated")
-    return found.select("path", total, truncated, (F.col("n") / F.col("lines")).alias("hit_ratio"))
+    return found.select("path", total, truncated, F.try_divide("n", "lines").alias("hit_ratio"))
 
 
 def search_many(lines: DataFrame, filters: dict[str, Pattern]) -> DataFrame:

@@ -11,6 +11,7 @@ from linescope.functions.cells import display_width
 from linescope.functions.patterns import Pattern
 from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
+from linescope.sources import index
 from linescope.sources import lines as L
 from linescope.sources.encoding import detect_newline, newline_style, profile_files
 from linescope.sources.files import numbered_files
@@ -108,9 +109,13 @@ def newline_profile(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), newline_style(F.col("text")).alias("newline"))
 
 
-@register("file_stats", "SELECT path, COUNT(*) AS total_lines, CAST(SUM(n_bytes + 1) AS BIGINT) AS size, MIN(n_bytes) AS min_bytes, MAX(n_bytes) AS max_bytes FROM lines GROUP BY path")
+@register(
+    "file_stats",
+    """SELECT doc_id AS path, COUNT(line_no) AS total_lines, CAST(COALESCE(SUM(n_bytes + 1), 0) AS BIGINT) AS size, MIN(n_bytes) AS min_bytes, MAX(n_bytes) AS max_bytes
+  FROM documents LEFT JOIN lines ON path = doc_id GROUP BY doc_id""",
+)
 def file_stats(spark, sf_dir):
-    return L.file_stats(documents(spark, sf_dir))
+    return L.file_stats(documents(spark, sf_dir), files=files(spark, sf_dir))
 
 
 @register(
@@ -258,10 +263,10 @@ def search_capped(spark, sf_dir):
 @register(
     "search_summary",
     """SELECT path, least(n, 5) AS total_hits, n >= 5 AS truncated, n / lines AS hit_ratio FROM
-  (SELECT path, CAST(SUM(CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END) AS BIGINT) AS n, COUNT(*) AS lines FROM lines GROUP BY path)""",
+  (SELECT doc_id AS path, CAST(SUM(CASE WHEN contains(l.text, 'the') THEN 1 ELSE 0 END) AS BIGINT) AS n, NULLIF(COUNT(line_no), 0) AS lines FROM documents LEFT JOIN lines l ON path = doc_id GROUP BY doc_id)""",
 )
 def search_summary(spark, sf_dir):
-    return search.search_summary(documents(spark, sf_dir), THE, 5)
+    return search.search_summary(documents(spark, sf_dir), THE, 5, files(spark, sf_dir))
 
 
 @register("search_many", "SELECT * FROM many", (LINES, MANY))
@@ -269,6 +274,15 @@ def search_many(spark, sf_dir):
     return search.search_many(documents(spark, sf_dir), FILTERS).select("path", "line_no", "filter_name")
 
 
+#: A filter for each two letters and a third one, all looked for at once.
+HUNDREDS = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in "lnrs"]
+
+
+@register("search_hundreds", f"SELECT filter_name, path, line_no FROM lines JOIN (SELECT unnest([{', '.join(repr(h) for h in HUNDREDS)}]) AS filter_name) ON contains(text, filter_name)")
+def search_hundreds(spark, sf_dir):
+    return search.search_many(documents(spark, sf_dir), {h: Pattern(h) for h in HUNDREDS}).select("filter_name", "path", "line_no")
+
+
 @register("filter_counts", "SELECT filter_name, COUNT(*) AS n FROM many GROUP BY 1", (LINES, MANY))
 def filter_counts(spark, sf_dir):
     return search_many(spark, sf_dir).groupBy("filter_name").agg(F.count("*").alias("n"))
@@ -716,6 +730,60 @@ def file_numbered(spark, sf_dir):
     return by_bucket(numbered_files(spark, f"{written(spark, sf_dir)}/bucket=*"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> str:
+    """An index of the documents as text files, of small spans, so that files have many."""
+    where = fresh_folder(spark, "index")
+    index.refresh(spark, f"{written(spark, sf_dir)}/bucket=*", where, stride=8192)
+    return where
+
+
+def some_of(spark: SparkSession, where: str, upto: str, step: int, name: str) -> DataFrame:
+    """Every ``step``-th number from 0 up to a column of the index's manifest."""
+    return index.manifest(spark, where).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1, F.lit(step).cast("long"))).alias(name))
+
+
+@register("index_lines", "SELECT * FROM flines", (FILE_LINES,))
+def index_lines(spark, sf_dir):
+    return by_bucket(index.all_lines(spark, index_of(spark, sf_dir)))
+
+
+@register("index_fetch", "SELECT * FROM flines WHERE line_no % 7 = 0", (FILE_LINES,))
+def index_fetch(spark, sf_dir):
+    where = index_of(spark, sf_dir)
+    return by_bucket(index.fetch_lines(spark, where, some_of(spark, where, "lines", 7, "line_no")))
+
+
+OFFSETS = 'probes AS (SELECT path, unnest(range(0, size, 10007)) AS "offset" FROM (SELECT path, CAST(SUM(n_bytes + 1) AS BIGINT) AS size FROM flines GROUP BY path))'
+
+
+@register("index_offsets", 'SELECT p.path, p."offset" AS probe, l.line_no, l.byte_off FROM probes p ASOF JOIN flines l ON p.path = l.path AND p."offset" >= l.byte_off', (FILE_LINES, OFFSETS))
+def index_offsets(spark, sf_dir):
+    where = index_of(spark, sf_dir)
+    found = index.lines_at(spark, where, some_of(spark, where, "bytes", 10_007, "offset"), 8192)
+    return by_bucket(found.select("path", "probe", "line_no", "byte_off"))
+
+
+@register(
+    "index_pages",
+    """SELECT path, "offset", turn, line_no, text FROM (SELECT p."offset", l.*, row_number() OVER (PARTITION BY p.path, p."offset" ORDER BY byte_off) AS turn
+  FROM probes p JOIN (SELECT path AS at, "offset", MIN(byte_off) AS low FROM probes JOIN flines USING (path) WHERE byte_off >= "offset" GROUP BY ALL) f ON f.at = p.path AND f."offset" = p."offset"
+  JOIN (SELECT path AS there, byte_off AS low, line_no AS first FROM flines) s ON s.there = p.path AND s.low = f.low
+  JOIN flines l ON l.path = p.path AND l.line_no BETWEEN first AND first + 2)""",
+    (FILE_LINES, OFFSETS),
+)
+def index_pages(spark, sf_dir):
+    where = index_of(spark, sf_dir)
+    found = index.pages_at(spark, where, some_of(spark, where, "bytes", 10_007, "offset"), 3, 8192)
+    return by_bucket(found.select("path", "offset", F.col("turn").cast("long").alias("turn"), "line_no", "text"))
+
+
+@register("index_search", "SELECT path, line_no, byte_off, text FROM flines WHERE contains(text, 'tion') AND regexp_matches(text, '^[A-Z].*tion ') AND line_no > 20", (FILE_LINES,))
+def index_search(spark, sf_dir):
+    """Filters on the number and on the text go into the source, with what a match must have."""
+    lines = index.indexed(spark, index_of(spark, sf_dir)).where("line_no > 20")
+    return by_bucket(search.search(lines, Pattern("^[A-Z].*tion ", regex=True)).select("path", "line_no", "byte_off", "text"))
+
+
 @register("file_search", "SELECT path, line_no, byte_off, text FROM flines WHERE regexp_matches(text, 'license', 'i')", (FILE_LINES,))
 def file_search(spark, sf_dir):
     return by_bucket(search.search_files(raw_lines(spark, written(spark, sf_dir)), LICENSE)).select("path", "line_no", "byte_off", "text")

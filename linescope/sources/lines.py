@@ -115,12 +115,23 @@ def lines_from_column(df: DataFrame, key: str | list[str], text: str) -> DataFra
     return rows.select(*keys, F.col("line_no").cast("long").alias("line_no"), F.col("_line.byte_off").alias("byte_off"), F.octet_length(raw).alias("n_bytes"), without_cr(raw).alias("text"))
 
 
-def file_stats(lines: DataFrame, by: str | list[str] = "path") -> DataFrame:
-    """Per file: ``total_lines``, the lines' ``size`` with line feeds, and shortest and longest line in bytes."""
+def file_stats(lines: DataFrame, by: str | list[str] = "path", files: DataFrame | None = None) -> DataFrame:
+    """Per file: ``total_lines``, the lines' ``size`` with line feeds, and shortest and longest line in bytes.
+
+    Lines alone say nothing of files without any: with ``files``, which has the keys, each of them has a row, with zeros
+    and nulls if it has no lines.
+    """
     keys = [by] if isinstance(by, str) else by
-    return lines.groupBy(*keys).agg(
+    found = lines.groupBy(*keys).agg(
         F.count("*").alias("total_lines"), F.sum(F.col("n_bytes") + 1).cast("long").alias("size"), F.min("n_bytes").alias("min_bytes"), F.max("n_bytes").alias("max_bytes")
     )
+    return found if files is None else with_all(found, files, keys, ("total_lines", "size"))
+
+
+def with_all(found: DataFrame, files: DataFrame, keys: list[str], counts: tuple[str, ...]) -> DataFrame:
+    """A row of ``found`` for each key of ``files``; where there is none, ``counts`` are 0 and the rest null."""
+    joined = files.select(*keys).join(found, keys, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts})
 
 
 def line_checkpoints(lines: DataFrame, files: DataFrame, every: int = 256) -> DataFrame:

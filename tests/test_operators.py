@@ -52,6 +52,15 @@ def test_bad_patterns(spark):
     assert quoted("a\\Eb") == "\\Qa\\E\\\\E\\Qb\\E"
 
 
+def test_files_without_lines(spark):
+    """They have rows if the files are given: no lines, no hits."""
+    texts = ["a\nb", "", None, "\n"]
+    lines, all_ = frame(spark, *texts), spark.range(4).withColumnRenamed("id", "path")
+    assert sorted(tuple(r) for r in L.file_stats(lines, files=all_).collect()) == [(0, 2, 4, 1, 1), (1, 0, 0, None, None), (2, 0, 0, None, None), (3, 1, 1, 0, 0)]
+    assert sorted(tuple(r) for r in search.search_summary(lines, Pattern("a"), files=all_).collect()) == [(0, 1, False, 0.5), (1, 0, False, None), (2, 0, False, None), (3, 0, False, 0.0)]
+    assert L.file_stats(lines).count() == search.search_summary(lines, Pattern("a")).count() == 2
+
+
 def test_hits_are_lines(spark):
     hits = search.ordinals(search.search(frame(spark, "xx x\ny\nx", "y"), Pattern("x"))).collect()
     assert sorted((r["path"], r["line_no"], r["byte_off"], r["hit_no"]) for r in hits) == [(0, 0, 0, 1), (0, 2, 7, 2)]
@@ -226,7 +235,9 @@ def painted(text, own):
     return out
 
 
-def test_painting(spark):
+@pytest.mark.parametrize("borders", [256, 3])
+def test_painting(spark, monkeypatch, borders):
+    monkeypatch.setattr(rules, "BORDERS", borders)
     rng = random.Random(9)
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 16))) for _ in range(80)]
     df = frame(spark, *texts)
