@@ -15,6 +15,9 @@ fingerprints are cut into parts, and a part's ball is that of half the radius (`
 those whose counts are nearest to a draw, as these are the ones that edits turn over. A text of which less than four
 fifths of the shingles occur in any other text has no partner and takes no part. Pairs that meet in any part are compared
 by 64 more bits and by the bound that their shared shingles set, and then exactly.
+
+A few shingles say too little of each bit. Where one of two texts has at most ``SHORT`` of them, the ball is one of sets:
+texts emit their subsets that a similar text can have in common with them, and similar texts meet in what they share.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ WORDS, SIMILARITY, LOST = 5, 0.8, 0.008
 HALF, UNCERTAIN = 2, 8
 #: Most of the 64 bits for a first look that may differ: 10 are expected at a similarity of 0.8, with a deviation of 3.
 APART = 22
+#: Shingles of a text up to which its pairs are found by common subsets, all of them.
+SHORT = 14
 #: Shingles in a bucket in which they are counted, and what stands there for several texts.
 IN_BUCKET, SHARED = 1 << 21, -(1 << 63)
 
@@ -285,6 +290,40 @@ def met(nodes: DataFrame, parts: int, width: int) -> DataFrame:
     return rows.where("node <> leader").distinct()
 
 
+def common_subsets(found: np.ndarray, similarity: float, most: int = SHORT) -> np.ndarray:
+    """Hashes (sums) of the subsets of at most ``most`` shingles that a text of this similarity can share with this one."""
+    n, total = len(found), found.astype(np.uint64).sum(dtype=np.uint64)
+    least = math.ceil(similarity * n - 1e-9)
+    out = []
+    for size in range(max(1, least), min(n, most) + 1):
+        gone = np.array(list(combinations(range(n), n - size)), np.int64).reshape(math.comb(n, size), n - size)
+        out.append(total - found[gone].sum(axis=1, dtype=np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def short_pairs(scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: of ``shingled`` sets those with a common subset and its leader, whose components are all short links.
+
+    The leader of a subset is the smallest set that has it. If two others are similar by what they share there, each of
+    them is to the leader too, as that adds the least: so no pairs among followers are needed.
+    """
+    longest = math.floor(SHORT / similarity + 1e-9)
+
+    def spread(batches):
+        for b in batches:
+            nodes, lists = b.column(0).to_numpy(), [np.array(s, np.int64).view(np.uint64) for s in b.column(1).to_pylist()]
+            found = [common_subsets(s, similarity) for s in lists]
+            sizes = [len(f) for f in found]
+            columns = [np.repeat(nodes, sizes), np.repeat([len(s) for s in lists], sizes), np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["node", "size", "subset"])
+
+    some = sets.where(F.size("shingles").between(1, longest))
+    rows = scratch.write(some.mapInArrow(spread, "node long, size long, subset long"), "subsets")
+    leaders = rows.groupBy("subset").agg(F.min(F.struct("size", "node")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    leaders = scratch.write(leaders.select("subset", F.col("least.node").alias("a")), "leaders")
+    return rows.join(leaders, "subset").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def shingled(texts: DataFrame, words: int) -> DataFrame:
     """``(node, shingles)`` of ``texts(node, text)``."""
 
@@ -307,7 +346,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` between nodes of ``texts(node, text)``, nodes being distinct.
 
-    Their components are those of all pairs that meet in a bucket and agree by ``similarity`` or more. Nodes are compared
+    Their components are those of all pairs that meet in a bucket and agree by ``similarity`` or more, and of all such
+    pairs with a node of at most ``SHORT`` shingles. Nodes are compared
     with the leaders of their buckets first; pairs of a leader's followers that these links leave in different
     components are compared after that, all of them.
     """
@@ -330,9 +370,11 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
     led = followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     led = led.join(stats.alias("x"), F.col("a") == F.col("x.node")).join(stats.alias("y"), F.col("b") == F.col("y.node"))
     first = scratch.write(led.where(near("x", "y")).select("a", "b"), "pairs")
-    asked = followers.select("node").union(followers.select("leader")).distinct()
+    few = nodes.where(F.col("size") <= math.floor(SHORT / similarity + 1e-9)).select("node")
+    asked = followers.select("node").union(followers.select("leader")).union(few).distinct()
     held = scratch.write(shingled(texts.join(asked, "node", "left_semi"), words), "sets")
-    links = scratch.write(verified(first, held, similarity), "links")
+    short = short_pairs(scratch, held, similarity)
+    links = scratch.write(verified(first.union(short).distinct(), held, similarity), "links")
 
     found = connected_components(scratch, links, "first")
     members = followers.union(followers.select("part", "leader", "leader").distinct())
