@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linescope.functions.cells import display_width
@@ -16,7 +16,7 @@ from linescope.sources import lines as L
 from linescope.sources.encoding import detect_newline, newline_style, profile_files
 from linescope.sources.files import numbered_files
 from linescope.sources.shared import fresh_folder
-from linescope.streaming import tail
+from linescope.streaming import segments, tables, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -698,10 +698,13 @@ flines AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY doc_id, i)
   CAST(strlen(line) AS INTEGER) AS n_bytes, CASE WHEN ends_with(line, chr(13)) THEN line[:-2] ELSE line END AS text FROM fraw)"""
 
 
-def written(spark: SparkSession, sf_dir: str) -> str:
-    """The folder with the documents as text files."""
+def written(spark: SparkSession, sf_dir: str, mark: bool = False) -> str:
+    """The folder with the documents as text files, with a mark of byte order at their beginning if it is wished."""
     where = fresh_folder(spark, "files")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"), F.floor(F.col("doc_id") / 1000).alias("bucket"))
+    if mark:
+        first = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) == 1
+        docs = docs.withColumn("value", F.when(first, F.concat(F.lit("\ufeff"), F.col("value"))).otherwise(F.col("value")))
     docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("value", "bucket").write.partitionBy("bucket").text(where)
     return where
 
@@ -813,14 +816,19 @@ def lines_table(spark, sf_dir):
     return L.open_lines_table(spark, where)
 
 
-def streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """All rows that a stream has for now, by way of a table."""
-    where = fresh_folder(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/progress").start()
+def finished(writer) -> None:
+    """Run a stream over what there is now."""
+    query = writer.start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
+
+
+def streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows that a stream has for now, by way of a table."""
+    where = fresh_folder(spark, "stream")
+    finished(stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/progress"))
     return by_bucket(spark.read.schema(stream.schema).parquet(f"{where}/rows"))
 
 
@@ -838,3 +846,49 @@ def tail_numbered(spark, sf_dir):
 def tail_search(spark, sf_dir):
     stream = tail.tail_lines(spark, f"{written(spark, sf_dir)}/bucket=*/part-*")
     return streamed(spark, tail.tail_search(stream, {"the": THE, "license": LICENSE}).select("path", "byte_off", "filter_name"))
+
+
+@register("tail_marked", "SELECT path, CASE WHEN byte_off = 0 THEN 3 ELSE byte_off + 3 END AS byte_off, text FROM flines", (FILE_LINES,))
+def tail_marked(spark, sf_dir):
+    """Files that begin with a mark of byte order: it is in no line, and lines stand three bytes further on."""
+    where = written(spark, sf_dir, mark=True)
+    return streamed(spark, tail.tail_lines(spark, f"{where}/bucket=*/part-*"))
+
+
+#: The documents cut into segments that hold 5,000 characters of a thousand documents each, wherever that is in a line.
+SEGMENTS = 5000
+
+
+@register("segment_lines", "SELECT path, line_no, byte_off, text FROM flines", (FILE_LINES,))
+def segment_lines(spark, sf_dir):
+    """Documents as logs of a thousand each, whose segments come as rows of a stream and end anywhere in a line."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 1000).cast("string").alias("log"), "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    size = F.greatest(F.ceil(F.length("text") / SEGMENTS), F.lit(1))
+    cut = docs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    cut = cut.withColumn("content", F.substring(F.col("text"), (F.col("i") * SEGMENTS + 1).cast("int"), F.lit(SEGMENTS)).cast("binary"))
+    place = F.row_number().over(Window.partitionBy("log").orderBy("doc_id", "i")) - 1
+    where = fresh_folder(spark, "segments")
+    cut.select("log", place.cast("long").alias("number"), "content").repartition(7, "number").write.parquet(where)
+    stream = spark.readStream.schema("log string, number long, content binary").option("maxFilesPerTrigger", 3).parquet(where)
+    found = segments.segment_lines(stream).withColumn("path", F.concat(F.lit("bucket="), F.col("path")))
+    return streamed(spark, found)
+
+
+@register("tail_hits", "SELECT path, byte_off, text FROM flines WHERE regexp_matches(text, 'license', 'i')", (FILE_LINES,))
+def tail_hits(spark, sf_dir):
+    """Hits of a tail in a table to which each batch appends its own once."""
+    hits = tail.tail_search(tail.tail_lines(spark, f"{written(spark, sf_dir)}/bucket=*/part-*"), LICENSE)
+    where = fresh_folder(spark, "hits")
+    finished(tables.append_hits(hits, f"{where}/table", f"{where}/progress"))
+    return by_bucket(tables.open_hits(spark, f"{where}/table", hits.schema).drop("batch"))
+
+
+@register("upserted", "SELECT user_id, event_type, ts, event_id FROM last", (LAST_EDITS,))
+def upserted(spark, sf_dir):
+    """The last edit of each user, kept by a stream in buckets."""
+    where = fresh_folder(spark, "upserts")
+    edits(spark, sf_dir).repartition(5).write.parquet(f"{where}/log")
+    schema = spark.read.parquet(f"{where}/log").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/log").withColumn("at", F.struct("ts", "event_id"))
+    finished(tables.upsert_stream(stream, "user_id", "at", f"{where}/table", f"{where}/progress", value="event_type"))
+    return tables.open_upserted(spark, f"{where}/table", stream.schema, "event_type").select("user_id", "event_type", "ts", "event_id")

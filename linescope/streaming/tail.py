@@ -2,7 +2,8 @@
 
 ``TailSource`` is a Python data source. Its offset is the number of bytes of each file up to its last line feed; a batch
 reads the ranges between two offsets on the executors. Only growth is seen: a file that shrinks keeps its offset, and
-what follows the last line feed waits until it is terminated.
+what follows the last line feed waits until it is terminated. A mark of byte order is no part of the first line and shifts
+its offset, as in a file that is read whole; lines may be of any charset that ends them at line feeds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from linescope.functions.patterns import Pattern
 from linescope.operators.search import search, search_many
+from linescope.sources.files import BOM, split_lines
 
 #: Bytes of a range that one task reads, cut at a line feed; of a file that a batch takes up; and of one read.
 RANGE, PER_BATCH, BLOCK = 64 << 20, 64 << 20, 1 << 20
@@ -66,8 +68,8 @@ def next_line(path: str, at: int, end: int) -> int:
 class TailReader(DataSourceStreamReader):
     """``per_batch`` bounds what a batch takes of a file (to the end of a line); the first one after a restart takes all."""
 
-    def __init__(self, pattern: str, per_batch: int = PER_BATCH):
-        self.pattern, self.per_batch, self.last = pattern, per_batch, None
+    def __init__(self, pattern: str, per_batch: int = PER_BATCH, encoding: str = ""):
+        self.pattern, self.per_batch, self.encoding, self.last = pattern, per_batch, encoding, None
 
     def files(self) -> list[str]:
         folder, name = posixpath.split(self.pattern)
@@ -109,27 +111,41 @@ class TailReader(DataSourceStreamReader):
         """Batches of about ``BLOCK`` bytes of lines. A file that has become shorter than planned ends where it ends."""
         store, name = store_of(partition.path)
         with store.open_input_file(name) as file:
-            at, left = partition.begin, b""
+            at, held, size = partition.begin, [], 0
             file.seek(at)
-            while (position := at + len(left)) < partition.end:
-                block = file.read(min(BLOCK, partition.end - position))
-                if not block:
-                    break
-                *lines, left = (left + block).split(b"\n")
-                if not lines:
-                    continue
-                offsets = []
-                for line in lines:
-                    offsets.append(at)
-                    at += len(line) + 1
-                texts = [line.removesuffix(b"\r").decode("utf-8", "replace") for line in lines]
-                columns = [pa.repeat(partition.path, len(lines)), pa.array(offsets, pa.int64()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "byte_off", "text"])
+            while at + size < partition.end and (block := file.read(min(BLOCK, partition.end - at - size))):
+                found = block.rfind(b"\n") + 1
+                if found:
+                    data = b"".join([*held, block[:found]])
+                    yield self.lines(partition.path, at, data)
+                    at, held, size = at + len(data), [], 0
+                if found < len(block):
+                    held.append(block[found:])
+                    size += len(block) - found
+
+    def lines(self, path: str, at: int, data: bytes) -> pa.RecordBatch:
+        """The lines of ``data``, which ends with a line feed and begins at offset ``at``."""
+        mark = len(BOM) if at == 0 and data.startswith(BOM) else 0
+        begins, _, text = split_lines(data[mark:], bare=True)
+        if self.encoding:
+            text = pa.array([t.decode(self.encoding, "replace") for t in text.cast(pa.binary()).to_pylist()], pa.string())
+        elif not _valid(data):
+            text = pa.array([t.decode("utf-8", "replace") for t in text.cast(pa.binary()).to_pylist()], pa.string())
+        columns = [pa.repeat(path, len(begins)), pa.array(at + mark + begins), text]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "byte_off", "text"])
 
     def commit(self, end: dict) -> None:
         pass
 
 
+def _valid(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class TailSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -139,17 +155,21 @@ class TailSource(DataSource):
         return "path string, byte_off bigint, text string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], int(self.options.get("perBatch", PER_BATCH)))
+        return TailReader(self.options["path"], int(self.options.get("perBatch", PER_BATCH)), self.options.get("encoding", ""))
 
 
-def tail_lines(spark: SparkSession, pattern: str, per_batch: int = PER_BATCH) -> DataFrame:
+def tail_lines(spark: SparkSession, pattern: str, per_batch: int = PER_BATCH, encoding: str = "") -> DataFrame:
     """A stream of (path, byte_off, text) of the files that match a pattern in a folder, from their beginning on.
 
     The folder is one that the driver and all executors see: a path, or a URI that ``pyarrow.fs`` knows. ``per_batch``
-    bounds the bytes of a file in a batch.
+    bounds the bytes of a file in a batch. ``encoding`` is a charset by Python's name, UTF-8 if none is given; what it
+    cannot decode becomes U+FFFD. UTF-16 and UTF-32 do not end lines at single bytes and are refused.
     """
+    if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
+        raise ValueError("a tail cannot follow UTF-16 and UTF-32 files")
+    "".encode(encoding or "utf-8")  # an unknown name fails here
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("linescope_tail").option("path", pattern).option("perBatch", per_batch).load()
+    return spark.readStream.format("linescope_tail").option("path", pattern).option("perBatch", per_batch).option("encoding", encoding).load()
 
 
 def tail_numbered(stream: DataFrame) -> DataFrame:
