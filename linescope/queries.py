@@ -892,3 +892,17 @@ def upserted(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/log").withColumn("at", F.struct("ts", "event_id"))
     finished(tables.upsert_stream(stream, "user_id", "at", f"{where}/table", f"{where}/progress", value="event_type"))
     return tables.open_upserted(spark, f"{where}/table", stream.schema, "event_type").select("user_id", "event_type", "ts", "event_id")
+
+
+@register("wide_lines", "SELECT path, line_no, 2 + 2 * (byte_off) AS byte_off, 2 * n_bytes AS n_bytes, text FROM wlines", ("""wsrc AS (SELECT p_partkey % 7 AS path, p_partkey AS k, p_name || ' ' || p_type AS line FROM part),
+wlines AS (SELECT path, line, row_number() OVER w - 1 AS line_no, CAST(COALESCE(SUM(length(line) + 1) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_off,
+  CAST(length(line) AS INTEGER) AS n_bytes, line AS text FROM wsrc WINDOW w AS (PARTITION BY path ORDER BY k))""",))
+def wide_lines(spark, sf_dir):
+    """Names of parts as UTF-16 files with a mark of byte order, read by code units over small ranges."""
+    where = fresh_folder(spark, "wide")
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("bucket"), "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("value"))
+    first = F.row_number().over(Window.partitionBy("bucket").orderBy("p_partkey")) == 1
+    parts = parts.withColumn("value", F.when(first, F.concat(F.lit("\ufeff"), F.col("value"))).otherwise(F.col("value")))
+    dealt = parts.repartition("bucket").sortWithinPartitions("bucket", "p_partkey").select("value", "bucket")
+    dealt.write.partitionBy("bucket").option("encoding", "UTF-16LE").option("header", "false").option("quote", "\0").option("emptyValue", "").csv(where)
+    return by_bucket(numbered_files(spark, f"{where}/bucket=*", "UTF-16LE", width=5000))

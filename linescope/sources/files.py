@@ -203,14 +203,19 @@ def numbered_files(spark: SparkSession, paths: str | list[str], encoding: str |
     """``lines`` of whole files with exact numbers and byte offsets.
 
     The same lines as ``number_lines(read_lines(...))``, in less time: nothing goes to Python and back. A UTF-8 byte
-    order mark is no part of the first line and shifts its offset. ``encoding`` decodes another charset, as there.
+    order mark is no part of the first line and shifts its offset. ``encoding`` decodes another charset, as there;
+    UTF-16LE, UTF-16BE, UTF-32LE and UTF-32BE are read by code units (``sources.wide``).
     A line that fits no row (2 GB) is an error; with ``longest`` lines are cut to that many bytes, whole characters being
     kept, and ``n_bytes`` still is what the file has (2^31 - 1 at most). Files are opened by tasks with ``pyarrow.fs``;
     compressed files are left to ``read_lines``. Files whose numbers are wanted more than once are better indexed
     (``sources.index``), which saves the first pass.
     """
     if encoding and encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32")):
-        raise ValueError("read UTF-16 and UTF-32 files whole: binaryFile, decode, then lines_from_column")
+        from linescope.sources.wide import wide_files  # it is built on this module
+
+        if longest is not None:
+            raise ValueError("lines of UTF-16 and UTF-32 files are not cut")
+        return wide_files(spark, paths, encoding, width)
     ranges = ranges_of(listed(spark, paths).withColumn("origin", F.lit(0).cast("long")), width)
     spans = spans_of(measured(ranges)).repartition(ranges.rdd.getNumPartitions())
     return lines_of_spans(spans, encoding, longest)

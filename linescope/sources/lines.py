@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from linescope.functions.arrays import sums_before
 
-#: Files up to which the sums of their blocks are broadcast.
-FEW_FILES = 100_000
+#: Blocks of files up to which their sums are broadcast, a row each.
+FEW_BLOCKS = 100_000
 
 
 def without_cr(raw: Column) -> Column:
@@ -28,7 +28,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], encoding: str | None
     charset (see ``decode_lines``); UTF-16 and UTF-32 files do not split at line feeds and are refused.
     """
     if encoding and encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32")):
-        raise ValueError("read UTF-16 and UTF-32 files whole: binaryFile, decode, then lines_from_column")
+        raise ValueError("the text source splits at single bytes: numbered_files reads UTF-16 and UTF-32")
     found = spark.read.option("lineSep", "\n").text(paths)
     found = found.select(
         F.col("_metadata.file_path").alias("path"),
@@ -52,8 +52,8 @@ def number_lines(raw_lines: DataFrame, boms: DataFrame | None = None) -> DataFra
     """``lines`` with exact numbers and byte offsets, in two passes that shuffle no text.
 
     The first pass sums up bytes and lines of each block and adds the sums up along the files. The second numbers lines
-    within their block as they are read, in order, and adds the block's base. Bases are one row per block, about as many
-    as the scan has tasks; they are broadcast if there are at most ``FEW_FILES`` files, else Spark chooses the join. Call
+    within their block as they are read, in order, and adds the block's base. Bases are one row per block, at most as many
+    as the scan has files and tasks; they are broadcast if these are ``FEW_BLOCKS`` or fewer, else Spark chooses the join. Call
     it on ``read_lines`` itself: rows that are missing or out of their order make it fail.
     ``boms`` (path, bom_len) shifts offsets by a byte order mark that the reader has dropped.
     """
@@ -64,7 +64,7 @@ def number_lines(raw_lines: DataFrame, boms: DataFrame | None = None) -> DataFra
     bases = blocks.select("path", ident, F.coalesce(F.sum("bytes").over(before), zero).alias("b0"), F.coalesce(F.sum("n").over(before), zero).alias("n0"))
     if boms is not None:
         bases = bases.join(boms.select("path", "bom_len"), "path", "left").withColumn("b0", F.col("b0") + F.coalesce("bom_len", F.lit(0))).drop("bom_len")
-    if len(raw_lines.inputFiles()) <= FEW_FILES:
+    if len(raw_lines.inputFiles()) + raw_lines.rdd.getNumPartitions() <= FEW_BLOCKS:
         bases = F.broadcast(bases)
     rows = raw_lines.select(ident, "seq", F.octet_length("raw").alias("n_bytes"), "text")
     rows = rows.mapInArrow(_numbered, "ident long, k long, at long, n_bytes int, text string")
