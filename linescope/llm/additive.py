@@ -113,8 +113,9 @@ def nearest(
     """
     scratch = Scratch(vectors.sparkSession)
     rows = valid(vectors, key, vector).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "v")
-    equal = Window.partitionBy("v").orderBy("id")
-    kept = rows.select("id", "v", F.row_number().over(equal).alias("turn"), F.min("id").over(equal).alias("class")).where(F.col("turn") <= k + 1)
+    # the limit is applied before the shuffle too, so a vector that most rows have comes with k + 1 of them from each task
+    turn = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    kept = rows.withColumn("turn", turn).where(F.col("turn") <= k + 1).withColumn("class", F.min("id").over(Window.partitionBy("v")))
     kept = scratch.write(kept.withColumn("dims", F.size("v")), "kept")
     asked = valid(queries, key, vector).where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("query_id")).agg(F.min("v").alias("q"))
     asked = scratch.write(asked.withColumn("dims", F.size("q")), "asked")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("linescope.llm")
-from linescope.llm import simhash  # noqa: E402
+from linescope.llm import additive, simhash  # noqa: E402
 from test_brute import groups, plain_shingles, similar_groups  # noqa: E402
 
 
@@ -51,3 +51,30 @@ def test_common_subsets():
         if b and len(a & b) >= 0.8 * len(a | b) and min(len(a), len(b)) <= simhash.SHORT:
             assert x & y
     assert groups([1, 2], [(1, 2)]) == {1: 1, 2: 1} and plain_shingles("a") == {"a"}
+
+
+def test_a_vector_that_most_rows_have(spark):
+    """Its rows are cut to k + 1 before the shuffle, and the nearest are exact, ties by key."""
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(40, 6)).round(3)
+    data = [(i, (own[i // 10] if i % 10 == 0 else own[0]).tolist()) for i in range(400)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(6)
+    asked = rows.where("vec_id % 40 = 0")
+    plans = []
+    write = additive.Scratch.write
+
+    def seen(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    additive.Scratch.write = seen
+    try:
+        got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in additive.nearest(rows, asked, k=5).collect())
+    finally:
+        additive.Scratch.write = write
+    assert "Partial" in next(p for p in plans if "WindowGroupLimit" in p)
+    want = []
+    for i, v in data[::40]:
+        ranked = sorted((np.linalg.norm(np.array(v) - w), j) for j, w in data if j != i)[:5]
+        want += [(i, n, j) for n, (_, j) in enumerate(ranked, 1)]
+    assert got == sorted(want)
