@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 BYTES, LINES = 64 << 20, 1 << 20
 
 
+def width_for(files: DataFrame, size: Column, width: int) -> int | None:
+    """``width``, or None if no file is larger: ranges would only add an aggregate and a join to each window then.
+
+    One small aggregate over ``files``, run at once. ``size`` is in the unit of ``width``, or one that is never smaller
+    (a file has no more lines than bytes).
+    """
+    largest = files.agg(F.max(size)).first()[0]
+    return width if largest is not None and largest > width else None
+
+
 def _ranged(df: DataFrame, on: str, width: int | None) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(on) / width) if width else F.lit(0).cast("long"))
 

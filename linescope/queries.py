@@ -11,6 +11,9 @@ from linescope.functions.cells import display_width
 from linescope.functions.patterns import Pattern
 from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
+from linescope.plans.ordered import BYTES as BYTE_RANGE
+from linescope.plans.ordered import LINES as LINE_RANGE
+from linescope.plans.ordered import width_for
 from linescope.sources import index
 from linescope.sources import lines as L
 from linescope.sources.encoding import detect_newline, newline_style, profile_files
@@ -161,7 +164,7 @@ def line_to_offset(spark, sf_dir):
 def offset_to_line(spark, sf_dir):
     size = F.col("size")
     probes = files(spark, sf_dir).select("path", F.explode(F.array(F.floor(size / 3), F.floor(size / 2), size + 10)).alias("offset"))
-    return position.offset_to_line(documents(spark, sf_dir), probes)
+    return position.offset_to_line(documents(spark, sf_dir), probes, width_of(spark, sf_dir, BYTE_RANGE))
 
 
 @register(
@@ -339,6 +342,11 @@ def match_spans(spark, sf_dir):
     return search.match_spans(documents(spark, sf_dir), Pattern("[a-z]+tion", regex=True)).select("path", "line_no", "start", "len", "matched")
 
 
+def width_of(spark: SparkSession, sf_dir: str, width: int) -> int | None:
+    """Ranges for windows along the documents, if the largest one is large enough to need them."""
+    return width_for(table(spark, sf_dir, "documents"), F.octet_length("text"), width)
+
+
 # --- blocks ----------------------------------------------------------------------------------------------------------
 
 EITHER = Pattern("the|license", regex=True, ignore_case=True)
@@ -357,7 +365,7 @@ def _register_blocks(n: int) -> None:
     @register(f"context_blocks_n{n}", "SELECT path, block_id, start_line, end_line, line_count, n_hits, array_to_string(hit_list, ',') AS hit_lines FROM blocks", (LINES, FILES, HITS_EITHER, blocks_sql(n)))
     def query(spark, sf_dir):
         hits = search.search(documents(spark, sf_dir), EITHER)
-        found = blocks.context_blocks(hits, files(spark, sf_dir), n, hit_list=True)
+        found = blocks.context_blocks(hits, files(spark, sf_dir), n, width_of(spark, sf_dir, LINE_RANGE), hit_list=True)
         return found.withColumn("hit_lines", F.array_join(F.transform("hit_lines", lambda x: x.cast("string")), ","))
 
 
@@ -375,19 +383,19 @@ LICENSE_ROWS = (LINES, FILES, HITS_LICENSE, blocks_sql(1), ROWS)
 
 @register("block_hits", "SELECT path, block_id, line_no FROM numbered", (LINES, FILES, HITS_EITHER, blocks_sql(2)))
 def block_hits(spark, sf_dir):
-    return blocks.block_hits(search.search(documents(spark, sf_dir), EITHER), files(spark, sf_dir), 2).select("path", "block_id", "line_no")
+    return blocks.block_hits(search.search(documents(spark, sf_dir), EITHER), files(spark, sf_dir), 2, width_of(spark, sf_dir, LINE_RANGE)).select("path", "block_id", "line_no")
 
 
 @register("block_rows", "SELECT * FROM result_rows", LICENSE_ROWS)
 def block_rows(spark, sf_dir):
     lines = documents(spark, sf_dir)
-    hits = search.search(lines, LICENSE)
-    return blocks.block_rows(blocks.context_blocks(hits, files(spark, sf_dir), 1), lines, hits)
+    hits, width = search.search(lines, LICENSE), width_of(spark, sf_dir, LINE_RANGE)
+    return blocks.block_rows(blocks.context_blocks(hits, files(spark, sf_dir), 1, width), lines, hits, width)
 
 
 @register("hit_rows", "SELECT path, row_number() OVER w - 1 AS row_no, 'hit' AS kind, line_no, row_number() OVER w AS hit_no, text FROM hits WINDOW w AS (PARTITION BY path ORDER BY line_no)", (LINES, HITS_LICENSE))
 def hit_rows(spark, sf_dir):
-    return blocks.hit_rows(search.search(documents(spark, sf_dir), LICENSE))
+    return blocks.hit_rows(search.search(documents(spark, sf_dir), LICENSE), width_of(spark, sf_dir, LINE_RANGE))
 
 
 @register("select_rows", "SELECT * FROM result_rows r WHERE row_no IN (SELECT unnest([MIN(row_no), MAX(row_no)]) FROM result_rows x WHERE x.path = r.path)", LICENSE_ROWS)

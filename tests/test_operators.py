@@ -14,6 +14,7 @@ from linescope.functions.many import matching
 from linescope.functions.patterns import Pattern, matches, quoted, required
 from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
+from linescope.plans import ordered
 from linescope.sources import lines as L
 
 
@@ -483,3 +484,10 @@ def test_a_text_with_all_marks_is_an_error(spark):
     full = spark.createDataFrame([(1, "".join(chr(c) for c in range(0xFDD0, 0xFDF0)) + "a")], "path long, text string")
     with pytest.raises(Exception, match="cannot be marked"):
         search.match_spans(full, Pattern("a")).collect()
+
+
+def test_ranges_only_where_files_need_them(spark):
+    sizes = spark.createDataFrame([(1, 10), (2, 400), (3, None)], "path long, size long")
+    assert ordered.width_for(sizes, F.col("size"), 100) == 100
+    assert ordered.width_for(sizes, F.col("size"), 400) is None
+    assert ordered.width_for(sizes.where("false"), F.col("size"), 1) is None
