@@ -156,14 +156,14 @@ def split_lines(data: bytes, bare: bool = False) -> tuple[np.ndarray, np.ndarray
     return begins, lengths, pa.StringArray.from_buffers(len(ends), pa.py_buffer(bounds), text)
 
 
-def _lines(longest: int | None):
-    names = ["path", "line_no", "byte_off", "n_bytes", "raw"]
+def _lines(longest: int | None, bare: bool):
+    names = ["path", "line_no", "byte_off", "n_bytes", "text"]
 
     def read(batches):
         for b in batches:
             for path, start, stop, line_no in zip(*(c.to_pylist() for c in b.columns)):
                 for at, data, lost in whole_lines(path, start, stop, longest):
-                    begins, lengths, text = split_lines(data)
+                    begins, lengths, text = split_lines(data, bare)
                     n = len(begins)
                     if lost or (longest is not None and int(lengths.max()) > longest):
                         text = _cut(text, longest)
@@ -192,11 +192,10 @@ def _cut(text: pa.Array, longest: int) -> pa.Array:
 
 def lines_of_spans(spans: DataFrame, encoding: str | None = None, longest: int | None = None) -> DataFrame:
     """``lines`` of spans ``(path, start, stop, line_no)``, each read by one task."""
-    fields = "path string, line_no long, byte_off long, n_bytes int, raw string"
-    lines = spans.select("path", "start", "stop", "line_no").mapInArrow(_lines(longest), fields)
-    raw = F.col("raw")
-    text = F.decode(raw.cast("binary"), encoding) if encoding else raw
-    return lines.select("path", "line_no", "byte_off", "n_bytes", without_cr(text).alias("text"))
+    fields = "path string, line_no long, byte_off long, n_bytes int, text string"
+    # a carriage return goes where lines are cut, unless its byte may be part of a character
+    lines = spans.select("path", "start", "stop", "line_no").mapInArrow(_lines(longest, not encoding), fields)
+    return lines.withColumn("text", without_cr(F.decode(F.col("text").cast("binary"), encoding))) if encoding else lines
 
 
 def numbered_files(spark: SparkSession, paths: str | list[str], encoding: str | None = None, width: int = RANGE, longest: int | None = None) -> DataFrame:
