@@ -307,6 +307,16 @@ def test_more_phones_and_dates(spark):
     assert len(new) == len(old) and not any(re.search(r"^(1[3-9]|[23]\d)/(1[3-9]|[23]\d)/", t) for t in new)
 
 
+def test_social_security_numbers_stay_issued(spark):
+    """A pseudonym is never a number that was left in clear, and no two are the same."""
+    numbers = spark.range(3000).selectExpr("concat_ws('-', lpad(id % 899 + 1, 3, '0'), lpad(id % 97 + 1, 2, '0'), lpad(id % 9973 + 1, 4, '0')) as text")
+    old = [r["text"] for r in numbers.collect()]
+    new = [r["text"] for r in pii.pseudonymise(numbers, "k").collect()]
+    issued = [re.match(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$", t) is not None for t in new]
+    assert [o == n for o, n in zip(old, new)] == [o.startswith("666") for o in old]
+    assert all(i or o.startswith("666") for i, o in zip(issued, old)) and len(set(new)) == len(set(old))
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(2000).selectExpr("cast(date_add(date'1999-01-01', cast(id as int)) as string) as text")
     out = [r["text"] for r in pii.pseudonymise(days, "k").collect()]
