@@ -348,8 +348,8 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
 
     Their components are those of all pairs that meet in a bucket and agree by ``similarity`` or more, and of all such
     pairs with a node of at most ``SHORT`` shingles. Nodes are compared
-    with the leaders of their buckets first; pairs of a leader's followers that these links leave in different
-    components are compared after that, all of them.
+    with the leaders of their buckets first; a leader's followers that these links leave in different
+    components are compared after that (``across``).
     """
     parts, width = shape(texts.count())
     signed = scratch.write(signatures(texts, words, parts, width), "signed")
@@ -381,12 +381,37 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
     placed = members.join(found, "node", "left").select("part", "leader", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("part", "leader").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = scratch.write(mixed.where("low < high").select("part", "leader"), "mixed")
-    left = scratch.write(placed.join(mixed, ["part", "leader"]).join(stats, "node"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    same = (F.col("x.part") == F.col("y.part")) & (F.col("x.leader") == F.col("y.leader"))
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    second = x.join(y, same & apart & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return links.union(scratch.write(verified(second.join(first, ["a", "b"], "left_anti"), held, similarity), "more"))
+    left = placed.join(mixed, ["part", "leader"]).select("node", "component").distinct()
+    left = scratch.write(left.join(held, "node"), "left")
+    second = across(scratch, left, similarity).join(first, ["a", "b"], "left_anti")
+    return links.union(scratch.write(verified(second, held, similarity), "more"))
+
+
+def across(scratch: Scratch, left: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: pairs of nodes of ``left(node, component, shingles)`` in different components that can be similar.
+
+    Of two similar sets a fifth of each one's shingles, those that the fewest sets have, must have one in common. So
+    nodes meet by such shingles, and texts that share only what very many share do not meet at all. Of the nodes that
+    meet, those of the commonest component are compared with the others, not with each other.
+    """
+    size = F.size("shingles")
+    each = scratch.write(left.select("node", "component", size.alias("size"), F.explode("shingles").alias("s")), "each")
+    often = scratch.write(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = each.join(often, "s")
+    of_node = Window.partitionBy("node")
+    turn, many = F.row_number().over(of_node.orderBy("n", "s")), F.count("*").over(of_node)
+    # shingles that no other set has come first: as many of the places are theirs
+    places = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1 - (F.col("size") - F.col("many"))
+    rare = shared.withColumns({"turn": turn, "many": many}).where(F.col("turn") <= places)
+    rare = scratch.write(rare.select("s", "node", "component", "size"), "rare")
+    counts = rare.groupBy("s", "component").agg(F.count("*").alias("n"))
+    commonest = counts.groupBy("s").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
+    commonest = scratch.write(commonest.where("kinds > 1").select("s", "main"), "commonest")
+    others = scratch.write(rare.join(commonest, "s").where("component <> main").drop("main"), "others")
+    x, y = rare.alias("x"), others.alias("y")
+    close = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(similarity) - F.lit(1e-9)
+    pairs = y.join(x, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & close)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
