@@ -26,7 +26,6 @@ def token_at(lines: DataFrame, probes: DataFrame, mode: str = "wide") -> DataFra
     They are null on white space, outside the line, and where there is no such line.
     """
     found = probes.join(lines.select("path", "line_no", "text"), ["path", "line_no"], "left")
-    over = F.filter(cells.tokens(F.col("text"), mode), lambda t: (t["start"] <= F.col("index")) & (t["start"] + t["len"] > F.col("index")))
-    found = found.withColumn("_t", F.get(over, F.lit(0)))
-    place = F.col("_t.start").alias("start"), (F.col("_t.start") + F.col("_t.len")).alias("end")
-    return found.select(*probes.columns, *place, F.col("_t.matched").alias("token"))
+    found = found.withColumn("_t", cells.token_over(F.col("text"), F.col("index"), mode))
+    place = F.col("_t.start").alias("start"), (F.col("_t.start") + F.length("_t.token")).alias("end")
+    return found.select(*probes.columns, *place, F.col("_t.token").alias("token"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linescope.functions import cells
 from linescope.functions.groups import Layout, Syntax, group_spans
 from linescope.functions.many import matching
-from linescope.functions.patterns import Pattern, matches, quoted, required
+from linescope.functions.patterns import Pattern, matches, quoted, required, spans
 from linescope.operators import blocks, marks, position, rules, search, tokens
 from linescope.operators.rules import Rule
 from linescope.plans import ordered
@@ -491,3 +491,29 @@ def test_ranges_only_where_files_need_them(spark):
     assert ordered.width_for(sizes, F.col("size"), 100) == 100
     assert ordered.width_for(sizes, F.col("size"), 400) is None
     assert ordered.width_for(sizes.where("false"), F.col("size"), 1) is None
+
+
+def test_tokens_of_mixed_lines(spark):
+    """Tokens, placed in batches, and those over a place, found from the place alone, agree with the spans of a line."""
+    rng = random.Random(5)
+    signs = ["a", "Z", "9", "_", "é", "e\u0301", "語", "😀", "𝐀", "\u00a0", "\u2028", " ", "\t", "-", ".", "\ufdd0", "\r", "٣", "²"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(300)] + ["", " ", "x", "." * 3000 + "y" * 3000]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)] + [(0, len(texts), None)], "path long, line_no long, text string")
+    for mode in ("wide", "narrow"):
+        rows = df.select("line_no", spans(F.col("text"), cells.TOKENS[mode]).alias("want"), cells.tokens(F.col("text"), mode).alias("got")).collect()
+        assert all(r["got"] == r["want"] for r in rows) and rows[-1]["got"] is None
+        over = {(r["line_no"], at): (s["start"], s["start"] + s["len"], s["matched"]) for r in rows for s in r["want"] or [] for at in range(s["start"], s["start"] + s["len"])}
+        places = [-(1 << 40), -1, *range(65), 2999, 3000, 5999, 6000, 1 << 40]
+        probes = df.select("path", "line_no", F.explode(F.lit(places)).alias("index")).union(spark.createDataFrame([(7, 7, 0), (0, 3, None)], "path long, line_no long, index long"))
+        found = tokens.token_at(df, probes, mode).collect()
+        assert len(found) == (len(texts) + 1) * len(places) + 2
+        assert all((r["start"], r["end"], r["token"]) == (over.get((r["line_no"], r["index"]), (None,) * 3) if r["path"] == 0 else (None,) * 3) for r in found)
+
+
+def test_tokens_are_not_placed_one_by_one(spark, capsys):
+    """No lambda runs for each token (27 to 40 us a token), and a probe does not cut its whole line."""
+    df = spark.createDataFrame([(0, 0, "a b")], "path long, line_no long, text string").localCheckpoint()
+    for rows in (tokens.token_at(df, df.select("path", "line_no", F.length("text").alias("index"))),):
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert "lambda" not in plan and "aggregate(" not in plan
