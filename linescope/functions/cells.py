@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linescope.functions.patterns import Pattern, spans
+from linescope.functions.patterns import Pattern, dense_spans
 
 #: Wide tokens are runs of anything but white space; narrow ones runs of word characters or of other signs. No character is
 #: of two kinds.
@@ -18,7 +18,7 @@ TAB = 8
 
 
 def tokens(text: Column, mode: str = "wide") -> Column:
-    return spans(text, TOKENS[mode])
+    return dense_spans(text, TOKENS[mode])
 
 
 def token_over(text: Column, index: Column, mode: str = "wide") -> Column:

@@ -513,7 +513,7 @@ def test_tokens_of_mixed_lines(spark):
 def test_tokens_are_not_placed_one_by_one(spark, capsys):
     """No lambda runs for each token (27 to 40 us a token), and a probe does not cut its whole line."""
     df = spark.createDataFrame([(0, 0, "a b")], "path long, line_no long, text string").localCheckpoint()
-    for rows in (tokens.token_at(df, df.select("path", "line_no", F.length("text").alias("index"))),):
+    for rows in (tokens.tokens(df), tokens.token_at(df, df.select("path", "line_no", F.length("text").alias("index")))):
         rows.explain()
         plan = capsys.readouterr().out
         assert "lambda" not in plan and "aggregate(" not in plan
