@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ APART = 22
 SHORT = 14
 #: Shingles in a bucket in which they are counted, and what stands there for several texts.
 IN_BUCKET, SHARED = 1 << 21, -(1 << 63)
+#: Classes of shingles in which two texts' counts are compared before the texts are.
+CLASSES = 32
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -226,7 +230,8 @@ def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
     """``(node, shared)``: how many shingles of a text occur in another one of ``texts(node, text)``, nodes being distinct.
 
     Shingles are dealt into buckets by their hash. One that several texts of a slice have is counted where it is and goes
-    to its bucket once, so that a very common one is only as often there as there are slices.
+    to its bucket once, so that a very common one is only as often there as there are slices. A bucket's counts go to the
+    places of their nodes, a row for each place: a row for each node and bucket would be many more with more buckets.
     """
 
     def deal(batches):
@@ -249,23 +254,37 @@ def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
             columns = [[hashes[i:j].tobytes() for i, j in zip(at, at[1:])], [mine[i:j].tobytes() for i, j in zip(at, at[1:])]]
             yield pa.RecordBatch.from_arrays([pa.array(place[order][begins].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
-    def count(table: pa.Table) -> pa.Table:
-        left, mine = (np.concatenate([np.frombuffer(x, "<i8") for x in table[c].to_pylist()]) for c in ("left", "nodes"))
-        if table["bucket"][0].as_py() < 0:
-            return pa.table({"node": mine, "shared": left})
-        _, which, counts = np.unique(left, return_inverse=True, return_counts=True)
-        nodes, shared = np.unique(mine[(counts[which] > 1) & (mine != SHARED)], return_counts=True)
-        return pa.table({"node": nodes, "shared": shared})
+    def joined(column) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, "<i8") for x in column.to_pylist()])
 
-    names = ["bucket", "left", "nodes"]
-    dealt = texts.select("node", "text").mapInArrow(deal, "bucket long, left binary, nodes binary")
     def counted_here(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield from count(pa.Table.from_batches([b.slice(i, 1)])).to_batches()
+                found = [pa.array(joined(b.column(c).slice(i, 1))) for c in (2, 1)]
+                yield pa.RecordBatch.from_arrays(found, names=["node", "shared"])
 
+    def count(table: pa.Table) -> pa.Table:
+        left, mine = joined(table["left"]), joined(table["nodes"])
+        _, which, counts = np.unique(left, return_inverse=True, return_counts=True)
+        found, shared = np.unique(mine[(counts[which] > 1) & (mine != SHARED)], return_counts=True)
+        place = (found.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        begins = np.flatnonzero(np.diff(place[order], prepend=-1))
+        at = np.append(begins, len(order)).tolist()
+        columns = [[x[order[i:j]].astype("<i8").tobytes() for i, j in zip(at, at[1:])] for x in (found, shared)]
+        return pa.table([pa.array(place[order][begins]), *(pa.array(c, pa.binary()) for c in columns)], names=["place", "nodes", "shared"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        found, which = np.unique(joined(table["nodes"]), return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, which, joined(table["shared"]))
+        return pa.table({"node": found, "shared": total})
+
+    names = ["bucket", "left", "nodes"]
+    dealt = texts.select("node", "text").mapInArrow(deal, "bucket long, left binary, nodes binary")
     here = dealt.where("bucket < 0").mapInArrow(counted_here, "node long, shared long")
-    there = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(count, "node long, shared long")
+    there = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(count, "place long, nodes binary, shared binary")
+    there = there.groupBy("place").applyInArrow(summed, "node long, shared long")
     return here.union(there).groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
@@ -377,11 +396,13 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
     links = scratch.write(verified(first.union(short).distinct(), held, similarity), "links")
 
     found = connected_components(scratch, links, "first")
+    # a node has as many places as it has variants at most: its component is joined once, and goes with all of them
     members = followers.union(followers.select("part", "leader", "leader").distinct())
-    placed = members.join(found, "node", "left").select("part", "leader", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("part", "leader").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = scratch.write(mixed.where("low < high").select("part", "leader"), "mixed")
-    left = placed.join(mixed, ["part", "leader"]).select("node", "component").distinct()
+    places = members.groupBy("node").agg(F.collect_list(F.struct("part", "leader")).alias("places"))
+    placed = places.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.inline("places"))
+    led_by = Window.partitionBy("part", "leader")
+    mixed = placed.withColumns({"low": F.min("component").over(led_by), "high": F.max("component").over(led_by)}).where("low < high")
+    left = mixed.select("node", "component").distinct()
     left = scratch.write(left.join(held, "node"), "left")
     second = across(scratch, left, similarity).join(first, ["a", "b"], "left_anti")
     return links.union(scratch.write(verified(second, held, similarity), "more"))
@@ -392,7 +413,9 @@ def across(scratch: Scratch, left: DataFrame, similarity: float) -> DataFrame:
 
     Of two similar sets a fifth of each one's shingles, those that the fewest sets have, must have one in common. So
     nodes meet by such shingles, and texts that share only what very many share do not meet at all. Of the nodes that
-    meet, those of the commonest component are compared with the others, not with each other.
+    meet, those of the commonest component are compared with the others, not with each other. Of ``CLASSES`` classes of
+    shingles two nodes have no more in common than either shares with any other node, class by class: a pair for which
+    the sum of these is too little is none, and texts of one template that were edited in different places do not meet.
     """
     size = F.size("shingles")
     each = scratch.write(left.select("node", "component", size.alias("size"), F.explode("shingles").alias("s")), "each")
@@ -400,16 +423,19 @@ def across(scratch: Scratch, left: DataFrame, similarity: float) -> DataFrame:
     shared = each.join(often, "s")
     of_node = Window.partitionBy("node")
     turn, many = F.row_number().over(of_node.orderBy("n", "s")), F.count("*").over(of_node)
+    classes = {f"c{i}": F.count_if(F.pmod("s", F.lit(CLASSES)) == i).over(of_node).cast("int") for i in range(CLASSES)}
     # shingles that no other set has come first: as many of the places are theirs
     places = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1 - (F.col("size") - F.col("many"))
-    rare = shared.withColumns({"turn": turn, "many": many}).where(F.col("turn") <= places)
-    rare = scratch.write(rare.select("s", "node", "component", "size"), "rare")
+    rare = shared.withColumns({"turn": turn, "many": many, **classes}).where(F.col("turn") <= places)
+    rare = scratch.write(rare.select("s", "node", "component", "size", "many", *classes), "rare")
     counts = rare.groupBy("s", "component").agg(F.count("*").alias("n"))
     commonest = counts.groupBy("s").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds"))
     commonest = scratch.write(commonest.where("kinds > 1").select("s", "main"), "commonest")
     others = scratch.write(rare.join(commonest, "s").where("component <> main").drop("main"), "others")
     x, y = rare.alias("x"), others.alias("y")
-    close = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(similarity) - F.lit(1e-9)
+    needed = (F.col("x.size") + F.col("y.size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)
+    by_class = reduce(add, [F.least(f"x.{c}", f"y.{c}") for c in classes])
+    close = (F.least("x.many", "y.many") >= needed) & (by_class >= needed)
     pairs = y.join(x, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & close)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 

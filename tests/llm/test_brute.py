@@ -707,3 +707,35 @@ def test_keys_without_digits_and_in_groups(spark):
     assert sum(out[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 0.97 * len(keys)
     assert out[len(keys) - 1] == "random:4:23"
     assert all(out[len(keys) + i] == "" for i in range(len(names)))
+
+
+def test_texts_edited_in_other_places_do_not_meet(spark, capsys):
+    """Of one template's copies only those are compared that can be similar, and none of these is lost."""
+    rng, fresh, sets = np.random.default_rng(3), iter(range(1 << 20, 1 << 30)), []
+    for i in range(120):
+        own = [int(x) for x in range(146)]
+        for at in rng.choice(28, 2 + i % 4, replace=False):  # an edited word takes five shingles with it
+            own[at * 5 : at * 5 + 5] = [next(fresh) for _ in range(5)]
+        sets.append(own if i % 10 else sets[i // 2][:140] + [next(fresh) for _ in range(6)] if i else own)
+    mixed = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 1 << 12)
+    rows = [(i, 0 if i % 4 == 0 else i, [int(mixed[s]) if s < 146 else s for s in own]) for i, own in enumerate(sets)]
+    left = spark.createDataFrame(rows, "node long, component long, shingles array<long>")
+    got = {tuple(r) for r in simhash.across(Scratch(spark), left, 0.8).collect()}
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if rows[a][1] != rows[b][1]]
+    similar = {(a, b) for a, b in pairs if len(x := set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b])) - 1e-9 and x}
+    assert similar and similar <= got and len(got) < len(similar) + len(pairs) / 4, (len(similar), len(got), len(pairs))
+
+
+def test_shared_shingles_come_back_by_places(spark, capsys):
+    """A row for each place of a bucket, not one for each of its nodes; counts are those of a plain count."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 40))) for _ in range(200)]
+    found = simhash.shared_shingles(spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(5), 3, 7)
+    sets = [set(simhash.shingles(t, 3).tolist()) for t in texts]
+    often = defaultdict(int)
+    for x in (x for s in sets for x in s):
+        often[x] += 1
+    want = {i: n for i, s in enumerate(sets) if (n := sum(often[x] > 1 for x in s))}
+    assert {r["node"]: r["shared"] for r in found.collect() if r["shared"]} == want
+    found.explain()
+    assert "FlatMapGroupsInArrow [place" in capsys.readouterr().out
