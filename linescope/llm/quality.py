@@ -9,6 +9,7 @@ cosines with all of them are computed in blocks, and its nearest neighbours' lab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ from linescope.llm.common import unused
 LABELLED, RANK, NEIGHBOURS = 4096, 48, 15
 #: Hashed terms: half for words, half for classes of characters.
 TERMS = 2048
-#: Rows for which counts are held at once.
-ROWS = 1024
+#: Rows for which counts are held at once, and bytes of text, for each of which the counting holds some hundred more.
+ROWS, FEW = 256, 1 << 18
 #: Power of the cosine in a vote, and votes of the prior, which decide where nothing is similar.
 SHARPNESS, PRIOR_VOTES = 4, 0.01
 
@@ -121,7 +122,7 @@ def _fit(counts: np.ndarray, labels: np.ndarray, prior: float) -> Model:
 
 
 def _blocks(batch: pa.RecordBatch, column: int):
-    for part in tokens.slices(batch, column, tokens.FEW):
+    for part in tokens.slices(batch, column, FEW):
         for at in range(0, part.num_rows, ROWS):
             yield part.slice(at, ROWS)
 
@@ -164,20 +165,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return _fit(np.minimum(counts, 60_000), found["label"].to_numpy(np.float64), prior)
 
 
+def rated(model: Model, texts: pa.Array) -> pa.Array:
+    """The texts' scores, taken over a bounded part of them at once."""
+    counts = (term_counts(_bytes(b.column(0))) for b in _blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), 0))
+    parts = [np.clip(model.score(np.minimum(c, 60_000)), 0, 1) for c in counts]
+    return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
-    """``(key, *keep, name)`` for every row, ``name`` holding its score; null and empty texts get the model's prior."""
+    """``(key, *keep, name)`` for every row, ``name`` holding its score; null and empty texts get the model's prior.
+
+    Only texts go to Python, and only scores come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [key, *keep]
 
-    def rate(batches):
-        for b in (s for batch in tokens.tidied(batches) for s in _blocks(batch, len(columns))):
-            counts = term_counts(_bytes(b.column(len(columns))))
-            scores = np.clip(shared.value.score(np.minimum(counts, 60_000)), 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(scores, pa.float64())], names=[*columns, name])
+    @F.arrow_udf(T.DoubleType())
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in tokens.tidied(batches):
+            yield rated(shared.value, texts)
 
-    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField(name, T.DoubleType())])
-    body = F.col(text).alias(unused("__text", [*columns, name]))
-    return docs.select(*columns, body).mapInArrow(rate, schema)
+    return docs.select(key, *keep, rate(F.col(text)).alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:

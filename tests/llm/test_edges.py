@@ -1,5 +1,10 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +63,29 @@ def test_quality_keeps_columns(docs, labels):
     assert quality.keep_good(docs, labels, threshold=0.0).columns == docs.columns
 
 
+def test_quality_sends_python_each_text_once(docs, labels):
+    """No other column goes there, and no text comes back."""
+    for out in (quality.keep_good(docs, labels), quality.classify(docs, labels)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+        assert re.findall(r"ArrowEvalPython \[rate\((\w+)#", plan) == ["text"]
+
+
+def test_quality_scores_in_little_memory():
+    """Few arrays at once, over long and over short texts."""
+    rng = np.random.default_rng(5)
+    directions = np.linalg.qr(rng.standard_normal((quality.TERMS, quality.RANK)))[0].astype(np.float32)
+    vectors = quality._unit(rng.standard_normal((quality.LABELLED, quality.RANK)).astype(np.float32))
+    model = quality.Model(np.ones(quality.TERMS, np.float32), directions, vectors, rng.integers(0, 2, len(vectors)).astype(float), 0.5)
+    for texts in (["Word after word, " * 200] * 1200, ["one two three four"] * 3000, []):
+        texts = pa.array(texts, pa.string())
+        tracemalloc.start()
+        scores = quality.rated(model, texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(scores) == len(texts) and most < 32e6
+
+
 def test_simhash_ties_and_null_keys(docs):
     out = {}
     for r in simhash.near_duplicates(docs).collect():
