@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int, key: str,
 
     def cut(batches):
         uid, encoder = TaskContext.get().partitionId() << 40, tokens.encoder(vocabulary)
-        for b in (s for batch in tokens.tidied(batches) for s in tokens.slices(batch, 1)):
+        for b in (s for batch in tokens.tidied(batches, encoder.pieces) for s in tokens.slices(batch, 1)):
             ids, bounds = encoder.encode(b.column(1))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = bounds + np.arange(b.num_rows + 1)

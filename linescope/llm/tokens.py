@@ -100,6 +100,9 @@ class Remembered:
             self.young, self.old = {}, young
         return out
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def by_pieces(settings: dict) -> bool:
     """Whether a tokenizer is plain byte-level BPE, for which ``cuts`` and the byte alphabet hold."""
@@ -178,9 +181,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tidied(batches):
-    """The same batches; at their end the worker, which Spark keeps for later tasks, gives back the memory they took."""
+def tidied(batches, *remembered: Remembered):
+    """The same batches; at their end the worker, which Spark keeps for later tasks, gives back the memory they took.
+
+    With it goes what is ``remembered``, which the workers would else hold beside other operators' arrays.
+    """
     yield from batches
+    for pieces in remembered:
+        pieces.forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:

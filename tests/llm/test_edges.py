@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import re
+import shutil
 import tracemalloc
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("linescope.llm")
-from linescope.llm import additive, cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings  # noqa: E402
+from linescope.llm import additive, cover_tree, mixing, orc_ids, packing, pii, quality, secrets, simhash, substrings, tokens  # noqa: E402
 from linescope.llm.common import Scratch  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, fp string, component_id long, part int, id long, v string"
@@ -224,3 +225,16 @@ def test_pipeline_stages_on_odd_tables(spark, docs, none, labels, tmp_path):
         assert (pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() > 0) == (rows.count() > 0)
     cut = substrings.without_passages(extra.where("doc_id is not null"), substrings.repeated_passages(extra))
     assert cut.columns == extra.columns
+
+
+def test_packing_leaves_no_pieces_in_workers(spark, docs, tmp_path):
+    """Workers are kept for the tasks of other operators; this vocabulary's encoder is this test's alone."""
+    path = shutil.copy(tokens.default_vocabulary(), tmp_path / "vocabulary.json")
+    assert packing.pieces(docs.repartition(4), str(path), 1024, 2, "doc_id", "text").count() > docs.count()
+
+    def held(batches):
+        for b in batches:
+            pieces = tokens.encoder(str(path)).pieces
+            yield pa.RecordBatch.from_arrays([pa.array([len(pieces.young) + len(pieces.old)])], names=["n"])
+
+    assert {r["n"] for r in spark.range(0, 4, 1, 4).mapInArrow(held, "n long").collect()} == {0}
