@@ -53,6 +53,8 @@ APART = 22
 SHORT = 14
 #: Shingles in a bucket in which they are counted, and what stands there for several texts.
 IN_BUCKET, SHARED = 1 << 21, -(1 << 63)
+#: The part of nodes that meet by common subsets.
+BY_SUBSET = -1
 #: Classes of shingles in which two texts' counts are compared before the texts are.
 CLASSES = 32
 
@@ -289,9 +291,10 @@ def shared_shingles(texts: DataFrame, words: int, buckets: int) -> DataFrame:
 
 
 def met(nodes: DataFrame, parts: int, width: int) -> DataFrame:
-    """``(part, leader, node)``: nodes with a variant of a part that another one, the leader, has too.
+    """``(part, leader, rank, node)``: nodes with a variant of a part that another one, the leader, has too.
 
-    A bucket's leader is the node with the fewest shingles of its own (``alone``), the likeliest to be near the others.
+    A bucket's leader is the node with the fewest shingles of its own (``alone``), the likeliest to be near the others;
+    how many these are is its rank.
     """
 
     def spread(batches):
@@ -304,8 +307,9 @@ def met(nodes: DataFrame, parts: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(alone), pa.array(found.ravel())], names=["node", "alone", "bucket"])
 
     rows = nodes.select("node", "alone", "faces").mapInArrow(spread, "node long, alone long, bucket long")
-    least = F.first("node").over(Window.partitionBy("bucket").orderBy("alone", "node"))
-    rows = rows.select(F.shiftright("bucket", width).alias("part"), least.alias("leader"), "node")
+    least = F.first(F.struct("node", "alone")).over(Window.partitionBy("bucket").orderBy("alone", "node"))
+    rows = rows.select(F.shiftright("bucket", width).alias("part"), least.alias("least"), "node")
+    rows = rows.select("part", F.col("least.node").alias("leader"), F.col("least.alone").alias("rank"), "node")
     return rows.where("node <> leader").distinct()
 
 
@@ -321,7 +325,7 @@ def common_subsets(found: np.ndarray, similarity: float, most: int = SHORT) -> n
 
 
 def short_pairs(scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: of ``shingled`` sets those with a common subset and its leader, whose components are all short links.
+    """``(part, leader, rank, node)``: ``shingled`` sets with a leader's subset; components of such links are all short links.
 
     The leader of a subset is the smallest set that has it. If two others are similar by what they share there, each of
     them is to the leader too, as that adds the least: so no pairs among followers are needed.
@@ -339,8 +343,9 @@ def short_pairs(scratch: Scratch, sets: DataFrame, similarity: float) -> DataFra
     some = sets.where(F.size("shingles").between(1, longest))
     rows = scratch.write(some.mapInArrow(spread, "node long, size long, subset long"), "subsets")
     leaders = rows.groupBy("subset").agg(F.min(F.struct("size", "node")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    leaders = scratch.write(leaders.select("subset", F.col("least.node").alias("a")), "leaders")
-    return rows.join(leaders, "subset").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    leaders = leaders.select("subset", F.col("least.node").alias("leader"), F.col("least.size").alias("rank"))
+    led = rows.join(scratch.write(leaders, "leaders"), "subset").where("leader <> node")
+    return led.select(F.lit(BY_SUBSET).alias("part"), "leader", "rank", "node").distinct()
 
 
 def shingled(texts: DataFrame, words: int) -> DataFrame:
@@ -366,9 +371,10 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
     """Links ``(a, b)`` between nodes of ``texts(node, text)``, nodes being distinct.
 
     Their components are those of all pairs that meet in a bucket and agree by ``similarity`` or more, and of all such
-    pairs with a node of at most ``SHORT`` shingles. Nodes are compared
-    with the leaders of their buckets first; a leader's followers that these links leave in different
-    components are compared after that (``across``).
+    pairs with a node of at most ``SHORT`` shingles. Nodes are compared with the leaders of their buckets. A near copy in
+    a large group has hundreds of them, most of which are near copies too: each node is compared with its first leader
+    before, then with its first one of those that this leaves in other components, and with all others only where they
+    still are in other components. So links are about as many as nodes. A leader's followers that all these links leave in different components are compared after that (``across``).
     """
     parts, width = shape(texts.count())
     signed = scratch.write(signatures(texts, words, parts, width), "signed")
@@ -378,6 +384,15 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
     nodes = scratch.write(signed.join(shared, "node").where(enough).withColumn("alone", F.col("size") - F.col("shared")), "nodes")
     stats = nodes.select("node", "size", "look", "shared")
     followers = scratch.write(met(nodes, parts, width), "followers")
+    few = nodes.where(F.col("size") <= math.floor(SHORT / similarity + 1e-9)).select("node")
+    asked = followers.select("node").union(followers.select("leader")).union(few).distinct()
+    held = scratch.write(shingled(texts.join(asked, "node", "left_semi"), words), "sets")
+    followers = followers.union(scratch.write(short_pairs(scratch, held, similarity), "short"))
+    # a node has as many places as it has variants at most: its component is joined once, and goes with all of them
+    members = followers.union(followers.select("part", "leader", "rank", "leader").distinct())
+    places = members.groupBy("node").agg(F.collect_list(F.struct("rank", "leader", "part")).alias("places"))
+    least = lambda short: F.array_min(F.filter("places", lambda p: (p["leader"] != F.col("node")) & ((p["part"] == BY_SUBSET) == F.lit(short))))
+    places = scratch.write(places.select("node", "places", least(False).alias("by_bits"), least(True).alias("by_subset")), "places")
 
     def near(x: str, y: str) -> Column:
         """A first look at two rows: by what they can have in common at most, and by the 64 bits."""
@@ -386,26 +401,39 @@ def similar_nodes(scratch: Scratch, texts: DataFrame, words: int, similarity: fl
         fits = common >= (both - common) * F.lit(similarity) - F.lit(1e-9)
         return fits & (F.bit_count(F.col(f"{x}.look").bitwiseXOR(F.col(f"{y}.look"))) <= APART)
 
-    led = followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    led = led.join(stats.alias("x"), F.col("a") == F.col("x.node")).join(stats.alias("y"), F.col("b") == F.col("y.node"))
-    first = scratch.write(led.where(near("x", "y")).select("a", "b"), "pairs")
-    few = nodes.where(F.col("size") <= math.floor(SHORT / similarity + 1e-9)).select("node")
-    asked = followers.select("node").union(followers.select("leader")).union(few).distinct()
-    held = scratch.write(shingled(texts.join(asked, "node", "left_semi"), words), "sets")
-    short = short_pairs(scratch, held, similarity)
-    links = scratch.write(verified(first.union(short).distinct(), held, similarity), "links")
-
-    found = connected_components(scratch, links, "first")
-    # a node has as many places as it has variants at most: its component is joined once, and goes with all of them
-    members = followers.union(followers.select("part", "leader", "leader").distinct())
-    places = members.groupBy("node").agg(F.collect_list(F.struct("part", "leader")).alias("places"))
-    placed = places.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.inline("places"))
-    led_by = Window.partitionBy("part", "leader")
-    mixed = placed.withColumns({"low": F.min("component").over(led_by), "high": F.max("component").over(led_by)}).where("low < high")
+    def worth(led: DataFrame) -> DataFrame:
+        """``(a, b)``: of rows ``(part, leader, node)`` the pairs to verify; those that share a subset need no first look."""
+        led = led.select(F.col("leader").alias("a"), F.col("node").alias("b"), (F.col("part") == BY_SUBSET).alias("short")).distinct()
+        looked = led.where("not short").join(stats.alias("x"), F.col("a") == F.col("x.node")).join(stats.alias("y"), F.col("b") == F.col("y.node"))
+        return looked.where(near("x", "y")).select("a", "b").union(led.where("short").select("a", "b")).distinct()
+
+    def placed(found: DataFrame) -> DataFrame:
+        """``(node, component, first, rank, leader, part)``: all members of leaders' groups, the leaders too; ``first`` is a node's first leader."""
+        component, first = F.coalesce("component", "node").alias("component"), F.when(by_subset, F.col("by_subset.leader")).otherwise(F.col("by_bits.leader"))
+        rows = places.join(found, "node", "left").select("node", component, "by_bits", "by_subset", F.inline("places"))
+        return rows.select("node", "component", first.alias("first"), "rank", "leader", "part")
+
+    led_by, by_subset = Window.partitionBy("part", "leader"), F.col("part") == BY_SUBSET
+    theirs = F.max(F.when(F.col("node") == F.col("leader"), F.col("component"))).over(led_by)
+    firsts = places.select("node", "by_bits.*").union(places.select("node", "by_subset.*")).where("leader is not null")
+    tried = scratch.write(worth(firsts), "pairs")
+    found = connected_components(scratch, scratch.write(verified(tried, held, similarity), "links"), "first")
+    for turn in ("next", "others"):
+        asked = placed(found).withColumn("theirs", theirs).where("component <> theirs and leader <> first")
+        if turn == "next":
+            asked = asked.groupBy("node", by_subset).agg(F.min(F.struct("rank", "leader", "part")).alias("least")).select("node", "least.*")
+        fresh = scratch.write(worth(asked).join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        links = scratch.write(verified(fresh, held, similarity), f"links-{turn}")
+        links = links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found, tried = connected_components(scratch, links, turn), tried.union(fresh)
+
+    mixed = placed(found).where(~by_subset)
+    mixed = mixed.withColumns({"low": F.min("component").over(led_by), "high": F.max("component").over(led_by)}).where("low < high")
     left = mixed.select("node", "component").distinct()
     left = scratch.write(left.join(held, "node"), "left")
-    second = across(scratch, left, similarity).join(first, ["a", "b"], "left_anti")
-    return links.union(scratch.write(verified(second, held, similarity), "more"))
+    second = across(scratch, left, similarity).join(tried, ["a", "b"], "left_anti")
+    second = scratch.write(verified(second, held, similarity), "more")
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
 
 
 def across(scratch: Scratch, left: DataFrame, similarity: float) -> DataFrame:

@@ -739,3 +739,24 @@ def test_shared_shingles_come_back_by_places(spark, capsys):
     assert {r["node"]: r["shared"] for r in found.collect() if r["shared"]} == want
     found.explain()
     assert "FlatMapGroupsInArrow [place" in capsys.readouterr().out
+
+
+def test_links_of_a_crowd_are_as_many_as_its_texts(spark, monkeypatch):
+    """Near copies have many leaders in common; their components come from few links and comparisons."""
+    rng, rows = random.Random(9), []
+    for words, copies in ((120, 250), (14, 150)):  # those of few words meet by common subsets
+        base = [f"w{words}x{i}" for i in range(words)]
+        for i in range(copies):
+            copy = list(base)
+            for _ in range(rng.randrange(3) if words > 14 else i > 0):
+                copy[rng.choice((0, -1)) if words == 14 else rng.randrange(words)] = f"e{words}y{rng.randrange(40)}"
+            rows.append(" ".join(copy))
+    rows = dict(enumerate(dict.fromkeys(rows)))
+    want = similar_groups(rows)
+    linked, compared = [], []
+    real, verify = simhash.connected_components, simhash.verified
+    monkeypatch.setattr(simhash, "connected_components", lambda scratch, edges, *a: linked.append(edges.count()) or real(scratch, edges, *a))
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: compared.append(pairs.count()) or verify(pairs, *a))
+    kept = simhash.keep_one(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values())
+    assert max(linked) <= 2 * len(rows) and sum(compared) <= 4 * len(rows), (len(rows), linked, compared)
